@@ -12,23 +12,25 @@ def plain_path(rel: Column, root: str = "outputs") -> Column:
 
     Null, blank and segmentless paths give null. A percent sign that starts no valid escape leaves the text as it is.
     ``..`` above the root is dropped."""
-    blank = r"^[\s ]+|[\s ]+$"
+    blank = r"^[\s\x{a0}]+|[\s\x{a0}]+$"
+    # one chain without a repeated operand: Catalyst would evaluate each repetition anew
     x = F.regexp_replace(rel, blank, "")
     x = F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
-    x = F.when(x.rlike(r"^[^?]*\?(?:[^#]*&)?path="), F.regexp_extract(x, r"[?&]path=([^&#]*)", 1)).otherwise(x)
-    # url_decode reads "+" as a blank, which is only right for forms
-    x = F.when(F.instr(x, "%") > 0, F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)).otherwise(x)
+    x = F.regexp_replace(x, r"^[^?]*\?(?:[^#]*&)?path=([^&#]*).*$", "$1")
+    # url_decode reads "+" as a blank, which is only right for forms, and fails on a stray percent sign
+    x = F.url_decode(F.regexp_replace(F.replace(x, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
     x = F.translate(F.regexp_replace(x, blank, ""), "\\", "/")
-    # dot segments are rare: only those paths pay for the fold over their segments
-    parts = F.filter(F.split(x, "/"), lambda s: (s != "") & (s != "."))
-    folded = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
-    )
-    clean = F.array_join(F.when(F.array_contains(parts, ".."), folded).otherwise(parts), "/")
-    clean = F.regexp_replace(clean, rf"^{root}(/|$)", "")
-    return F.when(clean != "", clean)
+    x = F.regexp_replace(F.concat(F.lit("/"), x, F.lit("/")), r"/(?:\.?/)+", "/")
+
+    def climbed(p: Column) -> Column:
+        parts = F.filter(F.split(p, "/"), lambda s: s != "")
+        up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.lit("/"))
+
+    # only paths with ".." pay for the fold over their segments; the lambda's variable stands for the chain above
+    x = F.transform(F.array(x), lambda p: F.when(p.contains("/../"), climbed(p)).otherwise(p))[0]
+    return F.nullif(F.regexp_replace(x, rf"^/+(?:{root}/)?|/+$", ""), F.lit(""))
 
 
 def folder_of(path: Column) -> Column:

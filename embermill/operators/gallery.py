@@ -15,7 +15,9 @@ def stored_files(items: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     as oldest; among equal times a row with a size, then the larger size, then the larger carried values win. Files
     whose latest size is null no longer exist and are left out, as are rows whose ``rel`` resolves to nothing. The
     group-by is on the file, so neither a large folder nor a large job is one group. Other columns are ignored."""
-    rows = items.select(plain_path(F.col("rel")).alias("path"), "scanned_at", "size", *carry).filter(F.col("path").isNotNull())
+    # a filter on the path would be pushed below and evaluate it twice; a generator leaves its nulls out in passing
+    path = F.explode(F.array_compact(F.array(plain_path(F.col("rel"))))).alias("path")
+    rows = items.select(path, "scanned_at", "size", *carry)
     latest = F.max(F.struct("scanned_at", "size", *carry)).alias("s")
     files = rows.groupBy("path").agg(latest).filter(F.col("s.size").isNotNull())
     return files.select("path", folder_of(F.col("path")).alias("folder"), "s.size", *[F.col(f"s.{c}").alias(c) for c in carry])
