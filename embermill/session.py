@@ -48,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     outlives any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share(spark: SparkSession, thing: object):
+    """Broadcast anything, of classes of this package too; gives the function by which a task reads it."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
