@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embermill.session import share
+
 #: Python's \s also takes U+001C to U+001F, which the vocabulary's own pattern doesn't.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the pattern of the vocabulary.
@@ -218,7 +220,7 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _shared(spark: SparkSession, path: str | None):
     path = path or default_path()
-    return f"encoder {path}", spark.sparkContext.broadcast(read_vocabulary(path))
+    return f"encoder {path}", share(spark, read_vocabulary(path))
 
 
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str | None = None, counts_only: bool = False) -> DataFrame:
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary:
     kind = dict(docs.dtypes)[id]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _kept(key, lambda: Encoder(shared.value))
+        encoder = _kept(key, lambda: Encoder(shared()))
         for b in it:
             texts = b.column(1).to_pylist()
             for lo, hi in _slices(texts):
@@ -254,7 +256,7 @@ def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", vocabulary:
     kind = dict(encoded.dtypes)[id]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value.tokens
+        tokens = shared().tokens
         joined = np.frombuffer(b"".join(tokens), np.uint8)
         size = np.array([len(t) for t in tokens], np.int64)
         at = np.cumsum(size) - size
