@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from embermill.llm import knn, packing, quantiles, reading, subset, tokenizer
 from embermill.operators.gallery import stored_files
+from embermill.plans.data_quality import FILES_SQL
 from embermill.sources.tables import table
 
 # Dimensions of the tensors.
@@ -32,7 +33,8 @@ def p2_sketch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(p2_sketch(spark, d), ["backend"], PERCENTILES)
+    p = quantiles.percentiles(p2_sketch(spark, d), ["backend"], PERCENTILES)
+    return p.withColumns({c: F.round(c, 9) for c in ("estimate", "low", "high")})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +93,29 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.grade(docs, reading.train(docs, table(spark, d, "level_labels"))).withColumn("reader_level", F.round("level").cast("int"))
 
 
+_MEASURED = (
+    "WITH "
+    + FILES_SQL.split("files AS")[0].strip().rstrip(",")
+    + r""",
+stored AS (SELECT job_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC NULLS LAST, size DESC NULLS LAST) AS rn FROM n WHERE path <> '') WHERE rn = 1 AND size IS NOT NULL),
+forms AS (SELECT job_id, max((received_at, coalesce(nullif(lower(regexp_replace(backend, '\s+', '', 'g')), ''), 'sd15')))[2] AS backend FROM run_requests GROUP BY 1),
+measured AS (SELECT backend, dist FROM stored JOIN forms USING (job_id) WHERE dist >= 0 AND NOT isnan(dist) AND NOT isinf(dist)),
+sketch AS (SELECT backend, CASE WHEN dist = 0 THEN 0 ELSE 1 END AS sign, CASE WHEN dist = 0 THEN 0 ELSE ceil(ln(dist) / ln(1.01::double / 0.99))::int END AS bucket, count(*) AS n FROM measured GROUP BY ALL)
+"""
+)
+_USABLE = """u AS (SELECT id, tensor, e FROM vectors WHERE len(e) = CASE tensor WHEN 'clip' THEN 64 WHEN 'embeds' THEN 48 END
+  AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM u a JOIN u b ON a.tensor = b.tensor AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s)"""
+
 SQL = {
+    "p2_sketch": _MEASURED + "SELECT * FROM sketch",
+    "p2_percentiles": _MEASURED
+    + f""", run AS (SELECT *, sum(n) OVER (PARTITION BY backend ORDER BY sign, bucket) AS upto, sum(n) OVER (PARTITION BY backend) AS total FROM sketch),
+    q(q) AS (VALUES {", ".join(f"({q}::double)" for q in PERCENTILES)}), gw AS (SELECT ln(1.01::double / 0.99) AS w)
+    SELECT backend, q, round(CASE sign WHEN 0 THEN 0 ELSE exp(bucket * w) * 0.99 END, 9) AS estimate, round(CASE sign WHEN 0 THEN 0 ELSE exp((bucket - 1) * w) END, 9) AS low, round(CASE sign WHEN 0 THEN 0 ELSE exp(bucket * w) END, 9) AS high, total::bigint AS n
+    FROM run, q, gw WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n""",
+    "p4_found": f"WITH {_USABLE} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 5 AND s >= 0.9",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 
