@@ -217,7 +217,8 @@ def nearest_token(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 i = ids[np.isclose(row, m, rtol=0, atol=1e-12)].min()
                 if k not in top or (m, -i) > (top[k][0], -top[k][1]):
                     top[k] = (m, i)
-        yield pd.DataFrame({"q": list(top), "s": [t[0] for t in top.values()], "id": [t[1] for t in top.values()]})
+        if top:
+            yield pd.DataFrame({"q": list(top), "s": [t[0] for t in top.values()], "id": [t[1] for t in top.values()]})
 
     kinds = dict(queries.dtypes)["q"], dict(vocabulary.dtypes)["id"]
     found = vocabulary.select("id", F.col("e").cast("array<double>").alias("e")).crossJoin(F.broadcast(packed)).mapInPandas(best, f"q {kinds[0]}, s double, id {kinds[1]}")

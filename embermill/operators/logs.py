@@ -233,7 +233,8 @@ def count_heads(lines: DataFrame) -> DataFrame:
                 n[w] += 1
                 if n[w] == 1:
                     sample[w] = x
-            yield pd.DataFrame({"words": [list(w) for w in n], "n": list(n.values()), "sample": [sample[w] for w in n]})
+            if n:
+                yield pd.DataFrame({"words": [list(w) for w in n], "n": list(n.values()), "sample": [sample[w] for w in n]})
 
     heads = lines.select("line").mapInPandas(batch, "words array<string>, n bigint, sample string")
     return heads.groupBy("words").agg(F.sum("n").alias("n"), F.min("sample").alias("sample"))
@@ -265,14 +266,16 @@ def mine_templates(heads: DataFrame, support: float = SUPPORT) -> tuple[set[tupl
     return frequent, templates
 
 
-_ENTRY = "job_id bigint, chunk bigint, first_seq bigint, last_seq bigint, ts bigint, part bigint, level string, component string, message string, kind string, has_head boolean, closed boolean"
+_ENTRY = "job_id bigint, chunk bigint, first_seq bigint, last_seq bigint, ts bigint, part bigint, level string, component string, message string, rest string, kind string, has_head boolean, closed boolean"
 
 
 class _Reader:
     """Reads the lines of one chunk after the other; gives rows of ``_ENTRY``.
 
     kind: entry (ends in its chunk), last (the chunk's last entry), open (as last, in a record whose end hasn't
-    come), lead (what comes before the chunk's first head, one for every chunk)."""
+    come), lead (what comes before the chunk's first head, one for every chunk). ``message`` is the head's own, ``rest``
+    the lines after it; of a lead, ``message`` is that of the record it may continue, ``closed`` whether it ends that
+    record, and ``rest`` all its lines; after (beside such a lead) has the lines after that end."""
 
     def __init__(self, frequent, templates, with_message: bool):
         self.frequent, self.templates, self.with_message = frequent, templates, with_message
@@ -310,19 +313,19 @@ class _Reader:
             if self.head is not None:
                 self.end("entry")
             self.head, self.first, self.open, self.indent = head, seq, record, None
-            self.text = [head.msg or ""] if self.with_message else []
+            self.text: list[str] = []
         elif self.head is None:
             self.lead_last = seq
-            if not self.lead_closed:
-                self.lead_closed, self.lead_indent = self.field(self.lead, line, self.lead_indent)
             if self.with_message:
                 self.lead_text.append(line)
+            if not self.lead_closed:
+                self.lead_closed, self.lead_indent = self.field(self.lead, line, self.lead_indent)
+                if self.lead_closed:
+                    self.lead_end = len(self.lead_text)
         elif self.open:
             closed, self.indent = self.field(self.head, line, self.indent)
             if closed:
                 self.open = False
-                if self.with_message:
-                    self.text[0] = self.head.msg or ""
         elif self.with_message:
             self.text.append(line)
         self.seq = seq
@@ -342,7 +345,10 @@ class _Reader:
 
     def end(self, kind: str) -> None:
         h = self.head
-        self.rows.append((*self.at, self.first, self.seq, h.ts, h.part, h.level, h.comp, "\n".join(self.text) if self.with_message else None, kind, True, not self.open))
+        self.rows.append((*self.at, self.first, self.seq, h.ts, h.part, h.level, h.comp, h.msg, self.joined(self.text), kind, True, not self.open))
+
+    def joined(self, lines: list[str]) -> str | None:
+        return "\n".join(lines) if lines else None
 
     def finish(self) -> None:
         if self.at is None:
@@ -350,8 +356,11 @@ class _Reader:
         if self.head is not None:
             self.end("open" if self.open else "last")
         h = self.lead
-        text = "\n".join(self.lead_text) if self.with_message else None
-        self.rows.append((*self.at, None, self.lead_last, h.ts, None, h.level, h.comp, text, "lead", self.head is not None, self.lead_closed))
+        plain = (*self.at, None, self.lead_last, h.ts, None, h.level, h.comp, h.msg, self.joined(self.lead_text))
+        self.rows.append((*plain, "lead", self.head is not None, self.lead_closed))
+        if self.with_message and self.lead_closed:
+            # the lines after the end of the record, for the case that one was open
+            self.rows.append((*plain[:-1], self.joined(self.lead_text[self.lead_end :]), "after", self.head is not None, True))
         self.at = None
 
 
@@ -393,25 +402,30 @@ def parse_entries(lines: DataFrame, jobs: DataFrame, with_message: bool = True,
 
     # one row per chunk: which head the lines before its first head belong to
     lead = rows.filter(F.col("kind") == "lead")
+    if with_message:
+        after = rows.filter(F.col("kind") == "after").select("job_id", "chunk", F.col("rest").alias("after"))
+        lead = lead.join(after, ["job_id", "chunk"], "left")
+    else:
+        lead = lead.withColumn("after", F.lit(None).cast("string"))
     by_chunk = W.partitionBy("job_id").orderBy("chunk")
     owner = F.last(F.when(F.col("has_head"), F.col("chunk")), ignorenulls=True).over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
     lead = lead.withColumn("owner", owner).filter(F.col("owner").isNotNull())
     earlier = W.partitionBy("job_id", "owner").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     lead = lead.withColumn("over", F.coalesce(F.max("closed").over(earlier), F.lit(False)))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & ~F.col("over"), F.col("chunk")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "message"))), lambda s: s["message"]), "\n")
-    tails = lead.groupBy("job_id", F.col("owner").alias("chunk")).agg(
-        F.max("last_seq").alias("l_last"), first("ts").alias("l_ts"), first("level").alias("l_level"), first("component").alias("l_component"), (text if with_message else F.lit(None).cast("string")).alias("l_message")
-    )
-    out = rows.filter(F.col("kind") == "entry").select("job_id", "first_seq", "last_seq", "ts", "part", "level", "component", "message")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & ~F.col("over"), F.col("chunk"))).alias(f"l_{c}")
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", c.alias("x")))), lambda s: s["x"]), "\n")
+    nothing = F.lit(None).cast("string")
+    beyond = F.when(F.col("over"), F.col("rest")).when(F.col("closed"), F.col("after"))
+    texts = {"l_rest": F.when(F.count("rest") > 0, text(F.col("rest"))), "l_beyond": F.when(F.count(beyond) > 0, text(beyond))} if with_message else {"l_rest": nothing, "l_beyond": nothing}
+    tails = lead.groupBy("job_id", F.col("owner").alias("chunk")).agg(F.max("last_seq").alias("l_last"), *[first(c) for c in ("ts", "level", "component", "message")], *[v.alias(k) for k, v in texts.items()])
+    message = lambda *parts: F.concat_ws("\n", F.coalesce(parts[0], F.lit("")), *parts[1:]).alias("message")
+    out = rows.filter(F.col("kind") == "entry").select("job_id", "first_seq", "last_seq", "ts", "part", "level", "component", message(F.col("message"), F.col("rest")))
     last = rows.filter(F.col("kind").isin("last", "open")).join(tails, ["job_id", "chunk"], "left")
     goes_on = F.col("kind") == "open"
+    filled = lambda c: F.when(goes_on, F.coalesce(c, f"l_{c}")).otherwise(F.col(c))
     last = last.select(
-        "job_id", "first_seq", F.coalesce("l_last", "last_seq").alias("last_seq"),
-        F.when(goes_on, F.coalesce("ts", "l_ts")).otherwise(F.col("ts")).alias("ts"), "part",
-        F.when(goes_on, F.coalesce("level", "l_level")).otherwise(F.col("level")).alias("level"),
-        F.when(goes_on, F.coalesce("component", "l_component")).otherwise(F.col("component")).alias("component"),
-        F.when(F.col("l_last").isNotNull() & ~goes_on, F.concat_ws("\n", "message", "l_message")).otherwise(F.col("message")).alias("message"),
+        "job_id", "first_seq", F.coalesce("l_last", "last_seq").alias("last_seq"), filled("ts").alias("ts"), "part", filled("level").alias("level"), filled("component").alias("component"),
+        message(filled("message"), F.col("rest"), F.when(goes_on, F.col("l_beyond")).otherwise(F.col("l_rest"))),
     )
     entries = out.unionByName(last)
 
