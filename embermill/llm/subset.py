@@ -5,7 +5,8 @@ picks from its block, one after the other the row with the largest part outside
 meet pairwise in a tree, where the union is pivoted again, until one set is left. A round stops picking where the
 pivot falls below a share of the round's first one, since later rows hardly differ from what is picked. Then every
 row is deflated: what counts of it is its part outside its most similar picked row, so a large group of similar
-records is spent after few picks while rare kinds stay whole. Rounds repeat until enough records are picked."""
+records is spent after few picks while rare kinds stay whole. Rounds repeat until enough records are picked; a
+tournament plays several such rounds at once, so a large subset takes no more than about eight passes over the data."""
 
 from __future__ import annotations
 
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROUND = 24  # at most so many picks in a round
+from embermill.operators.library import placed
+
+LEAST_ROUND, PASSES = 24, 8  # picks of one pass over the data: at least so many, or the wanted number in so many passes
 SHARE = 0.7  # least pivot, as a share of the round's first
 ZERO = 1e-9
 
@@ -41,6 +44,19 @@ def pivoted(rows: np.ndarray, weight: np.ndarray, most: int, share: float = SHAR
     return picked
 
 
+def deflated(rows: np.ndarray, weight: np.ndarray, most: int, share: float = SHARE) -> list[int]:
+    """Up to ``most`` rows by rounds of ``pivoted``, each followed by deflation."""
+    weight, picked = weight.copy(), []
+    while len(picked) < most:
+        k = pivoted(rows, weight, most - len(picked), share)
+        if not k:
+            break
+        picked += k
+        weight = np.minimum(weight, _weights(rows, rows[k]))
+        weight[picked] = 0
+    return picked
+
+
 def _weights(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The length of each unit row's part outside its most similar chosen row."""
     if not len(chosen):
@@ -57,13 +73,14 @@ def _unit(raw: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def varied(rows: DataFrame, n: int, per_round: int = ROUND, share: float = SHARE) -> DataFrame:
+def varied(rows: DataFrame, n: int, share: float = SHARE) -> DataFrame:
     """(rank, id): ``n`` different rows in the order of picking, or all where there are no more; the first m of them
     are the subset of size m.
 
     ``rows``: id and v (array<double>), usable vectors of one length; of rows with one id one counts. Once everything
     left is a multiple of a picked row, the lowest ids follow. The picked ids and vectors, n rows, are held by the
-    driver and sent to every task; if n reaches the number of rows, nothing is picked and all are returned by id."""
+    driver and sent to every task; if n reaches the number of rows, nothing is picked and all are returned by id.
+    Which of nearly equal rows is picked depends on how the rows lie in tasks; the order within a task doesn't count."""
     spark = rows.sparkSession
     kind = dict(rows.dtypes)["id"]
     out = T.StructType.fromDDL(f"rank int, id {kind}")
@@ -71,13 +88,11 @@ def varied(rows: DataFrame, n: int, per_round: int = ROUND, share: float = SHARE
         return spark.createDataFrame([], out)
     total = rows.select("id").distinct().count()
     if n >= total:
-        from pyspark.sql import Window as W
-
-        return rows.select("id").distinct().withColumn("rank", F.row_number().over(W.orderBy("id"))).select("rank", "id")
+        return placed(rows.select("id").distinct(), [F.col("id")], "rank").select(F.col("rank").cast("int").alias("rank"), "id")
     ids: list = []
     chosen = np.zeros((0, 0))
     while len(ids) < n:
-        most = min(per_round, n - len(ids))
+        most = min(max(LEAST_ROUND, -(-n // PASSES)), n - len(ids))
         got = _tournament(rows, kind, ids, chosen, most, share)
         if not got:
             break
@@ -96,10 +111,10 @@ def _tournament(rows: DataFrame, kind: str, ids: list, chosen: np.ndarray, most:
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast((set(ids), chosen))
 
-    def play(i: np.ndarray, x: np.ndarray, w: np.ndarray, sh: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def play(i: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(i, kind="stable")
         i, x, w = i[order], x[order], w[order]
-        k = pivoted(x, w, most, sh)
+        k = deflated(x, w, most, share)
         return i[k], x[k], w[k]
 
     def nominate(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,13 +130,13 @@ def _tournament(rows: DataFrame, kind: str, ids: list, chosen: np.ndarray, most:
             if best is not None:
                 other = ~np.isin(i, best[0])
                 i, x, w = np.concatenate([best[0], i[other]]), np.vstack([best[1], x[other]]), np.concatenate([best[2], w[other]])
-            best = play(i, x, w, 0.0)  # all ranks: what is small here may be large elsewhere
+            best = play(i, x, w)
         if best is not None and len(best[0]):
             yield pd.DataFrame({"id": best[0], "v": list(best[1]), "w": best[2]})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
-        i, x, w = play(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy(), 0.0)
+        i, x, w = play(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy())
         return pd.DataFrame({"slot": pdf["slot"].iloc[0] // 2, "id": i, "v": list(x), "w": w})
 
     shape = f"id {kind}, v array<double>, w double"
@@ -140,6 +155,6 @@ def _tournament(rows: DataFrame, kind: str, ids: list, chosen: np.ndarray, most:
     sets = [(p["id"].to_numpy(), np.stack(p["v"].to_numpy()), p["w"].to_numpy()) for p in sets]
     while len(sets) > 1:
         pairs = [sets[k : k + 2] for k in range(0, len(sets), 2)]
-        sets = [play(*[np.concatenate(a) for a in zip(*p)], 0.0) if len(p) == 2 else p[0] for p in pairs]
-    i, x, _ = play(*sets[0], share)
+        sets = [play(*[np.concatenate(a) for a in zip(*p)]) if len(p) == 2 else p[0] for p in pairs]
+    i, x, _ = play(*sets[0])
     return [(a.item() if hasattr(a, "item") else a, v) for a, v in zip(i, x)]
