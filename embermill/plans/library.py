@@ -158,7 +158,8 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 @add("taste_band", f"WITH {GAL}, {_MEASURED} SELECT 'all' AS band, {_BAND} FROM m")
 def taste_band(spark: SparkSession, d: str) -> DataFrame:
-    q = L.index_quantiles(_measured(spark, d).withColumn("band", F.lit("all")), ["band"], "dist")
+    one = F.when(F.col("dist") >= 0, "all")  # always; a literal would leave the joins on it without a key
+    q = L.index_quantiles(_measured(spark, d).withColumn("band", one), ["band"], "dist")
     return q.withColumn("mean", rnd("mean", 2))
 
 
@@ -462,3 +463,17 @@ def scale_left_join(spark: SparkSession, d: str) -> DataFrame:
 def scale_anti_join(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))  # noqa: E741
     return table(spark, d, "orders").join(l, "o_orderkey", "left_anti").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+
+
+@add("frontier")
+def frontier(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: novelty and learned preference of every vector, the Pareto layers over both, and the whitened
+    distance of what is shown."""
+    from embermill.operators import distribution as D
+
+    v = vectors(spark, d)
+    both = L.novelty(v).join(S.resonance(v, S.fit_resonance(_training(spark, d))), "id")
+    items = both.select(F.col("id").cast("string").alias("rel"), F.col("novelty").alias("nov"), F.col("resonance").alias("res"), F.lit(None).cast("double").alias("score"))
+    layers = L.pareto_layers(L.rated(items)).withColumn("id", F.col("rel").cast("bigint"))
+    gauge = D.distance(v.join(layers.select("id"), "id", "left_semi").select("tensor", "id", "e"), D.fit(v))
+    return layers.join(gauge, "id").select("id", "layer", "nov", "r", rnd("distance", 3).alias("distance"))
