@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embermill.session import cut
 
@@ -68,11 +69,14 @@ def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str
     and one rest, which is packed like an item; no other item is cut. Null and negative sizes count as 0; items of
     size 0 take a place but no tokens. Without ``max_docs`` a container takes as many documents as tokens, without
     ``max_cost`` the square of its tokens; neither binds items that have tokens. Rows with equal ids are separate
-    items, ties of size go by id. Kinds with null or non-positive capacity are left out; empty tables give no rows."""
-    kind = dict(items.dtypes)[id]
+    items, ties of size go by id. Kinds without name or positive capacity are left out; empty tables give no rows."""
+    spark, kind = items.sparkSession, dict(items.dtypes)[id]
     sized = cut(items.select(F.col(id).alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size")))
-    kinds = containers.select("container", F.col("capacity_tokens").cast("bigint").alias("capacity")).filter(F.col("capacity") > 0).distinct()
-    both = sized.crossJoin(F.broadcast(kinds.limit(1000)))  # a row of settings, not data, for each kind of container
+    kinds = sorted({(r["container"], int(r["capacity_tokens"])) for r in containers.select("container", "capacity_tokens").collect() if r["container"] is not None and (r["capacity_tokens"] or 0) > 0})  # the settings
+    if not kinds:
+        return spark.createDataFrame([], T.StructType.fromDDL(f"container string, bin string, {id} {kind}, piece int, start bigint, n_tokens bigint"))
+    each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in kinds])
+    both = sized.select("id", "size", F.inline(each))
     full = F.floor(F.col("size") / F.col("capacity")).cast("int")
     cuts = both.filter(F.col("size") > F.col("capacity")).withColumn("pieces", full)
     whole = cuts.select("container", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))

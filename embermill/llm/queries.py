@@ -17,23 +17,33 @@ DEFAULT_BACKEND = "sd15"
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    """``backend``, ``day`` (of the file's latest scan) and ``dist`` of every stored image with a request; negative
-    values count as null. Of repeated or late forms of a job the latest received counts; a job without form has no
-    backend and is left out."""
-    files = stored_files(table(spark, d, "items").withColumn("job", F.col("job_id")), ("job", "dist"))
-    files = files.select("job", F.when(F.col("dist") >= 0, F.col("dist")).alias("dist"))
+    """``job``, ``day`` (of the file's time) and ``dist`` of every stored image; negative values count as null."""
+    files = stored_files(table(spark, d, "items").withColumnRenamed("job_id", "job"), ("job", "dist", "mtime"))
+    return files.select("job", F.to_date("mtime").alias("day"), F.when(F.col("dist") >= 0, F.col("dist")).alias("dist"))
+
+
+def backends(spark: SparkSession, d: str) -> DataFrame:
+    """(job, backend): of repeated or late forms of a job the latest received counts; null and blank are the default."""
     name = F.lower(F.regexp_replace("backend", r"\s+", ""))
     forms = table(spark, d, "run_requests").select(F.col("job_id").alias("job"), "received_at", F.coalesce(F.nullif(name, F.lit("")), F.lit(DEFAULT_BACKEND)).alias("backend"))
-    latest = forms.groupBy("job").agg(F.max(F.struct("received_at", "backend"))["backend"].alias("backend"))
-    return files.join(latest, "job").select("backend", "dist")
+    return forms.groupBy("job").agg(F.max(F.struct("received_at", "backend"))["backend"].alias("backend"))
 
 
 def p2_sketch(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.sketch(measured(spark, d), ["backend"], "dist")
+    """Counted by job first, so of a job with most of the images only its buckets are joined and shuffled. Jobs
+    without form have no backend and are left out."""
+    by_job = quantiles.sketch(measured(spark, d), ["job"], "dist").join(backends(spark, d), "job")
+    return quantiles.merge(by_job.select("backend", "sign", "bucket", "n"))
+
+
+def p2_days(spark: SparkSession, d: str) -> DataFrame:
+    """The sketches of separate days; ``merge`` of all of them, without the day, is ``p2_sketch``."""
+    by_job = quantiles.sketch(measured(spark, d), ["job", "day"], "dist").join(backends(spark, d), "job")
+    return quantiles.merge(by_job.select("backend", F.col("day").cast("string").alias("day"), "sign", "bucket", "n"))
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = quantiles.percentiles(p2_sketch(spark, d), ["backend"], PERCENTILES)
+    p = quantiles.percentiles(quantiles.merge(p2_days(spark, d).drop("day")), ["backend"], PERCENTILES)
     return p.withColumns({c: F.round(c, 9) for c in ("estimate", "low", "high")})
 
 
@@ -66,9 +76,12 @@ def p5_picked(spark: SparkSession, d: str) -> DataFrame:
             out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "pick_id int, tensor string, rank int, id bigint, rel string, nov double")
-    out = out.join(v.filter(F.col("id").isNotNull()).select("id", "rel").dropDuplicates(["id"]), "id", "left")
+    # inner joins with the picked rows, so the large sides are filtered where they lie
+    ids = out.select("id").distinct()
+    rels = v.select("id", "rel").join(ids, "id").filter("rel is not null").groupBy("id").agg(F.min("rel").alias("rel"))
     files = stored_files(table(spark, d, "items"), ("nov",)).select(F.col("path").alias("rel"), "nov")
-    return out.join(files, "rel", "left").select("pick_id", "tensor", "rank", "id", "rel", "nov")
+    known = files.join(rels.select("rel").distinct(), "rel")
+    return out.join(rels, "id", "left").join(known, "rel", "left").select("pick_id", "tensor", "rank", "id", "rel", "nov")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -97,10 +110,11 @@ _MEASURED = (
     "WITH "
     + FILES_SQL.split("files AS")[0].strip().rstrip(",")
     + r""",
-stored AS (SELECT job_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC NULLS LAST, size DESC NULLS LAST) AS rn FROM n WHERE path <> '') WHERE rn = 1 AND size IS NOT NULL),
+stored AS (SELECT job_id, mtime::date AS day, dist FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC NULLS LAST, size DESC NULLS LAST) AS rn FROM n WHERE path <> '') WHERE rn = 1 AND size IS NOT NULL),
 forms AS (SELECT job_id, max((received_at, coalesce(nullif(lower(regexp_replace(backend, '\s+', '', 'g')), ''), 'sd15')))[2] AS backend FROM run_requests GROUP BY 1),
-measured AS (SELECT backend, dist FROM stored JOIN forms USING (job_id) WHERE dist >= 0 AND NOT isnan(dist) AND NOT isinf(dist)),
-sketch AS (SELECT backend, CASE WHEN dist = 0 THEN 0 ELSE 1 END AS sign, CASE WHEN dist = 0 THEN 0 ELSE ceil(ln(dist) / ln(1.01::double / 0.99))::int END AS bucket, count(*) AS n FROM measured GROUP BY ALL)
+measured AS (SELECT backend, day, dist FROM stored JOIN forms USING (job_id) WHERE dist >= 0 AND NOT isnan(dist) AND NOT isinf(dist)),
+sketch AS (SELECT backend, CASE WHEN dist = 0 THEN 0 ELSE 1 END AS sign, CASE WHEN dist = 0 THEN 0 ELSE ceil(ln(dist) / ln(1.01::double / 0.99))::int END AS bucket, count(*) AS n FROM measured GROUP BY ALL),
+days AS (SELECT backend, day, CASE WHEN dist = 0 THEN 0 ELSE 1 END AS sign, CASE WHEN dist = 0 THEN 0 ELSE ceil(ln(dist) / ln(1.01::double / 0.99))::int END AS bucket, count(*) AS n FROM measured GROUP BY ALL)
 """
 )
 _USABLE = """u AS (SELECT id, tensor, e FROM vectors WHERE len(e) = CASE tensor WHEN 'clip' THEN 64 WHEN 'embeds' THEN 48 END
@@ -110,6 +124,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM
 
 SQL = {
     "p2_sketch": _MEASURED + "SELECT * FROM sketch",
+    "p2_days": _MEASURED + "SELECT backend, day::varchar AS day, sign, bucket, n FROM days",
     "p2_percentiles": _MEASURED
     + f""", run AS (SELECT *, sum(n) OVER (PARTITION BY backend ORDER BY sign, bucket) AS upto, sum(n) OVER (PARTITION BY backend) AS total FROM sketch),
     q(q) AS (VALUES {", ".join(f"({q}::double)" for q in PERCENTILES)}), gw AS (SELECT ln(1.01::double / 0.99) AS w)
@@ -121,5 +136,5 @@ SQL = {
 
 
 def register(registry) -> None:
-    for f in (p2_percentiles, p2_sketch, p4_found, p4_neighbours, p5_picked, p6_ids, p6_decoded, p7_placed, p8_found, p8_levels):
+    for f in (p2_percentiles, p2_sketch, p2_days, p4_found, p4_neighbours, p5_picked, p6_ids, p6_decoded, p7_placed, p8_found, p8_levels):
         registry.add(f.__name__, SQL.get(f.__name__))(f)
