@@ -14,9 +14,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,7 +65,6 @@ _PATTERNS = {name: p for name, _, p in LAYOUTS}
 
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
 _DIGITS = re.compile(r"\d+")
-_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"')
 _PAIR = re.compile(r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|\S*)(?:\s+|$)')
 _FIELD = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?[\d.]+(?:[eE][+-]?\d+)?|true|false|null|[\[{])')
 _NUMBER = re.compile(r"(\d{9,})(?:\.(\d*))?$")
@@ -76,6 +76,22 @@ COMPONENT_KEYS, MESSAGE_KEYS = ("component", "comp", "logger", "name", "module")
 _EPOCH_DAY = datetime(1970, 1, 1).toordinal()
 
 
+_DAYS: dict[tuple[int, int, int], int | None] = {}
+
+
+def _day(y: int, mo: int, d: int) -> int | None:
+    """Days since 1970."""
+    key = (y, mo, d)
+    if key not in _DAYS:
+        if len(_DAYS) > 10_000:
+            _DAYS.clear()
+        try:
+            _DAYS[key] = datetime(y, mo, d).toordinal() - _EPOCH_DAY
+        except ValueError:
+            _DAYS[key] = None
+    return _DAYS[key]
+
+
 def _millis(g: dict) -> tuple[int | None, int | None]:
     """(milliseconds since 1970 UTC, None), or for a head without a year (None, month-day-and-time code)."""
     h = int(g["h"])
@@ -88,9 +104,8 @@ def _millis(g: dict) -> tuple[int | None, int | None]:
         return None, None
     if not g.get("y"):
         return None, (mo * 100 + d) * 100_000_000 + ms
-    try:
-        day = datetime(int(g["y"]), mo, d).toordinal() - _EPOCH_DAY
-    except ValueError:
+    day = _day(int(g["y"]), mo, d)
+    if day is None:
         return None, None
     z = g.get("z")
     off = 0
@@ -204,9 +219,9 @@ def _grammar(line: str) -> tuple[str, _Head] | None:
     return None
 
 
-def _words(line: str) -> list[str]:
-    """The masked words that begin a line: digits as 0, quoted text as its quotes."""
-    return _DIGITS.sub("0", " ".join(line.split(None, HEAD_WORDS)[:HEAD_WORDS])).split(" ")
+def _words(line: str) -> str:
+    """The masked words that begin a line, one blank between them: runs of digits as 0."""
+    return _DIGITS.sub("0", " ".join(line.split(None, HEAD_WORDS)[:HEAD_WORDS]))
 
 
 def _plain(line: str) -> str:
@@ -221,20 +236,20 @@ def count_heads(lines: DataFrame) -> DataFrame:
 
     def batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            n: Counter[tuple[str, ...]] = Counter()
-            sample: dict[tuple[str, ...], str] = {}
+            n: Counter[str] = Counter()
+            sample: dict[str, str] = {}
             for line in pdf["line"]:
                 if not line or line[0] in " \t\r\n":
                     continue
                 x = _plain(line)
                 if not x.strip() or x[0] in " \t\r\n":
                     continue
-                w = tuple(_words(x))
+                w = _words(x)
                 n[w] += 1
                 if n[w] == 1:
                     sample[w] = x
             if n:
-                yield pd.DataFrame({"words": [list(w) for w in n], "n": list(n.values()), "sample": [sample[w] for w in n]})
+                yield pd.DataFrame({"words": [w.split(" ") for w in n], "n": list(n.values()), "sample": [sample[w] for w in n]})
 
     heads = lines.select("line").mapInPandas(batch, "words array<string>, n bigint, sample string")
     return heads.groupBy("words").agg(F.sum("n").alias("n"), F.min("sample").alias("sample"))
@@ -281,6 +296,7 @@ class _Reader:
         self.frequent, self.templates, self.with_message = frequent, templates, with_message
         self.rows: list[tuple] = []
         self.at: tuple | None = None
+        self.layouts: dict[str, str | None] = {}  # of the masked heads met lately
 
     def begin(self, job: int, chunk: int) -> None:
         self.at = (job, chunk)
@@ -291,8 +307,13 @@ class _Reader:
 
     def read(self, line: str) -> _Head | None:
         words = _words(line)
-        frequent = self.frequent
-        layout = self.templates.get(tuple([w if (i, w) in frequent else "*" for i, w in enumerate(words)]))
+        if words in self.layouts:
+            layout = self.layouts[words]
+        else:
+            layout = self.templates.get(tuple([w if (i, w) in self.frequent else "*" for i, w in enumerate(words.split(" "))]))
+            if len(self.layouts) > 100_000:
+                self.layouts.clear()
+            self.layouts[words] = layout
         if layout and (h := _fit(layout, line)):
             return h
         found = _grammar(line)
@@ -377,28 +398,31 @@ def parse_entries(lines: DataFrame, jobs: DataFrame, with_message: bool = True,
     placed = lines.select("job_id", "seq", "line", "received_at").filter(F.col("job_id").isNotNull() & F.col("seq").isNotNull())
     frequent, templates = mine_templates(cut(count_heads(placed)), support)
     shared = spark.sparkContext.broadcast((frequent, templates))
-    columns = [c.split()[0] for c in _ENTRY.split(", ")]
+    schema = pa.schema([pa.field(n, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in _ENTRY.split(", "))])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(*shared.value, with_message)
         here = None
-        for pdf in it:
-            for job, chunk, seq, line in zip(pdf["job_id"].tolist(), pdf["chunk"].tolist(), pdf["seq"].tolist(), pdf["line"].tolist()):
+        for b in it:
+            for job, chunk, seq, line in zip(*[c.to_numpy().tolist() for c in b.columns[:3]], b.column(3).to_pylist()):
                 if here != (job, chunk):
                     reader.finish()
                     here = (job, chunk)
                     reader.begin(job, chunk)
                 reader.line(seq, line)
             if reader.rows:
-                yield pd.DataFrame(reader.rows, columns=columns).astype({"first_seq": "Int64", "last_seq": "Int64", "ts": "Int64", "part": "Int64"})
+                yield batch_of(reader.rows)
                 reader.rows = []
         reader.finish()
         if reader.rows:
-            yield pd.DataFrame(reader.rows, columns=columns).astype({"first_seq": "Int64", "last_seq": "Int64", "ts": "Int64", "part": "Int64"})
+            yield batch_of(reader.rows)
 
     chunked = placed.withColumn("chunk", F.floor(F.col("seq") / chunk_lines).cast("bigint"))
     ordered = chunked.repartition("job_id", "chunk").sortWithinPartitions("job_id", "chunk", "seq", "received_at", "line")
-    rows = cut(ordered.select("job_id", "chunk", "seq", "line").mapInPandas(read, _ENTRY))
+    rows = cut(ordered.select("job_id", "chunk", "seq", "line").mapInArrow(read, _ENTRY))
 
     # one row per chunk: which head the lines before its first head belong to
     lead = rows.filter(F.col("kind") == "lead")
