@@ -115,17 +115,27 @@ class CompactedTable:
         rows = self.listing().join(wanted, "partition", "left_semi")
         return rows.groupBy("partition").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum(F.xxhash64("path", "size").cast("decimal(20,0)")).alias("mark"))
 
-    def compact(self, min_files: int = MIN_FILES, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, before_commit=None) -> dict:
+    def compact(self, min_files: int = MIN_FILES, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, before_commit=None, batch: int = 10_000) -> dict:
         """Rewrite the suffering partitions into files of about ``target_bytes``; other partitions aren't touched.
 
-        Returns the version and counts. Rows are neither lost nor duplicated: the listing is compared before the
-        overwrite, and the row count of the rewritten partitions after it. ``before_commit`` is called between
-        planning and commit (tests put a second writer there)."""
+        Partitions are taken in batches, each a snapshot of its own; what the driver holds is a row for each partition
+        of a batch. Returns the last version and counts. Rows are neither lost nor duplicated: the listing is compared
+        before the overwrite, and the row count of the rewritten partitions after it. ``before_commit`` is called
+        between planning and commit (tests put a second writer there)."""
+        total = {"version": (self.versions() or [0])[-1], "partitions": 0, "files_before": 0, "files_after": 0}
+        last = None
+        while one := self._compact(min_files, small_bytes, target_bytes, before_commit, batch, last):
+            last = one.pop("last")
+            total = {"version": one["version"]} | {k: total[k] + one[k] for k in ("partitions", "files_before", "files_after")}
+        return total
+
+    def _compact(self, min_files: int, small_bytes: int, target_bytes: int, before_commit, batch: int, after: str | None) -> dict | None:
         seen = (self.versions() or [0])[-1]
         bad = suffering(self.listing(), "partition", "size", min_files, small_bytes)
-        plan = bad.collect()  # one small row per suffering partition
+        bad = bad if after is None else bad.filter(F.col("partition") > after)
+        plan = bad.orderBy("partition").limit(batch).collect()
         if not plan:
-            return {"version": seen, "partitions": 0, "files_before": 0, "files_after": 0}
+            return None
         wanted = self.spark.createDataFrame([(r["partition"],) for r in plan], "partition string")
         marks = {r["partition"]: (r["n"], r["mark"]) for r in self._state(wanted).collect()}
         if before_commit:
@@ -142,7 +152,7 @@ class CompactedTable:
             raise ConflictError("files of a planned partition changed")
         unescape = F.try_url_decode(F.col("partition"))
         sized = self.spark.createDataFrame([(r["partition"], max(1, -(-r["bytes"] // target_bytes))) for r in plan], "partition string, outs int").withColumn(self.partition, F.coalesce(unescape, F.col("partition"))).drop("partition")
-        rows = self.read().join(F.broadcast(sized) if len(plan) < 10_000 else sized, self.partition)
+        rows = self.read().join(F.broadcast(sized), self.partition)  # at most a batch
         n = rows.count()
         salt = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.col("outs"))
         parts = max(1, min(10_000, sum(max(1, -(-r["bytes"] // target_bytes)) for r in plan)))
@@ -152,4 +162,4 @@ class CompactedTable:
         if after != n:
             raise RuntimeError(f"{n} rows before the rewrite, {after} after it")
         left = self._state(wanted).agg(F.sum("n")).first()[0]
-        return {"version": version, "partitions": len(plan), "files_before": sum(r["n_files"] for r in plan), "files_after": int(left)}
+        return {"version": version, "partitions": len(plan), "files_before": sum(r["n_files"] for r in plan), "files_after": int(left), "last": plan[-1]["partition"]}

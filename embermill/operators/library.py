@@ -166,33 +166,40 @@ def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return at.groupBy(*keys, "n", "mean").agg(hit(F.floor(F.col("n") / 4)).alias("lo"), hit(F.floor(3 * F.col("n") / 4)).alias("hi"))
 
 
-def novelty(vectors: DataFrame, asking: DataFrame | None = None, block: int = 2048) -> DataFrame:
+def novelty(vectors: DataFrame, asking: DataFrame | None = None, block: int = 16_384) -> DataFrame:
     """(id, novelty): 1 less the largest cosine to any other vector (by id), 4 digits; nothing for fewer than two.
 
-    Exact and in blocks: rows are numbered into blocks by a hash, every pair of blocks is one matrix product. Work
-    grows with the square, as the definition does; ``asking`` limits the asking side (a stated query set)."""
+    Exact and in blocks: rows are put into blocks by a hash, every pair of blocks meets in one task as a product of
+    two matrices, taken in slices of 2,048 rows. Work grows with the square, as the definition does, and what is moved
+    with the number of blocks; ``asking`` limits the asking side (a stated query set)."""
     v = cut(vectors.select("id", F.col("e").cast("array<double>").alias("e")))
     n = v.count()
     if n < 2:
         return v.limit(0).select("id", F.lit(0.0).alias("novelty"))
-    blocks = max(1, -(-n // block))
+    blocks = max(min(4, -(-n // 256)), -(-n // block))
     kind = dict(vectors.dtypes)["id"]
     b = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed = b.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("e")).alias("m"))  # about `block` rows each
-    q = packed if asking is None else b.join(asking.select("id"), "id", "left_semi").groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("e")).alias("m"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("block").agg(F.collect_list(F.struct("id", "e")).alias("p")).select("block", F.col("p.id").alias("ids"), F.flatten("p.e").alias("m"))  # about `block` rows each
+
+    q = packed(b if asking is None else b.join(asking.select("id"), "id", "left_semi"))
     q = q.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = q.join(packed.select(F.col("block").alias("to"), F.col("ids").alias("ids2"), F.col("m").alias("m2")), "to")
+    pairs = q.join(packed(b).select(F.col("block").alias("to"), F.col("ids").alias("ids2"), F.col("m").alias("m2")), "to")
 
     def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit = lambda m, k: (x := np.asarray(m, float).reshape(k, -1)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
         for pdf in it:
             for r in pdf.itertuples():
                 i, j = np.asarray(r.ids), np.asarray(r.ids2)
-                s = unit(r.m, len(i)) @ unit(r.m2, len(j)).T
-                s[i[:, None] == j[None, :]] = -np.inf
-                yield pd.DataFrame({"id": i, "s": s.max(1)})
-
-    top = pairs.select("ids", "m", "ids2", "m2").mapInPandas(best, f"id {kind}, s double").groupBy("id").agg(F.max("s").alias("s"))
+                x, y = unit(r.m, len(i)), unit(r.m2, len(j)).T
+                for lo in range(0, len(i), 2048):
+                    s = x[lo : lo + 2048] @ y
+                    s[i[lo : lo + 2048, None] == j[None, :]] = -np.inf
+                    yield pd.DataFrame({"id": i[lo : lo + 2048], "s": s.max(1)})
+
+    spread = pairs.select("ids", "m", "ids2", "m2").repartition(max(2, min(blocks * blocks, 4000)))
+    top = spread.mapInPandas(best, f"id {kind}, s double").groupBy("id").agg(F.max("s").alias("s"))
     return top.select("id", F.round(1 - F.col("s"), 4).alias("novelty"))
 
 
@@ -238,6 +245,16 @@ def wipe_candidates(scores: DataFrame, keep: DataFrame, least: float = SMALLEST_
     return scores.filter(F.col("score").isNotNull() & (F.col("score") < least)).join(keep, "rel", "left_anti")
 
 
+def keyframe_tensors(vectors: DataFrame, keys: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """(key, missing, e): for each keyframe the wanted tensors' vectors by name, and the names of those it lacks. Only
+    the wanted tensors are read. ``vectors``: (key, tensor, e); keyframes are a short list."""
+    got = vectors.filter(F.col("tensor").isin(*wanted)).join(F.broadcast(keys.select("key").limit(64)), "key", "left_semi")
+    have = got.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("tensor", "e"))).alias("e"))
+    out = keys.select("key").join(have, "key", "left")
+    names = F.array(*[F.lit(t) for t in wanted])
+    return out.select("key", F.array_except(names, F.coalesce(F.map_keys("e"), F.array().cast("array<string>"))).alias("missing"), "e")
+
+
 def incremental(todo: DataFrame, done: DataFrame, key: str, work) -> DataFrame:
     """What is done already, and ``work`` on the rest: nothing is computed twice, and a repeated run adds nothing."""
     return done.unionByName(work(todo.join(done.select(key), key, "left_anti")))

@@ -22,6 +22,21 @@ def backend_of(name: Column) -> Column:
     return c.otherwise(DEFAULT_BACKEND)
 
 
+def backend_variants(name: Column, sidecar: Column) -> dict[str, Column]:
+    """How the reference's tools tell a backend, which differ: by the name alone; by the sidecar first (films); for
+    refining, where the two flow models count as sdxl; for upscaling, which knows three; for inverting, which wants the
+    backend behind the first word and else gives nothing."""
+    by_name = backend_of(name)
+    three = F.when(F.lower(name).contains("sdxl"), "sdxl").when(F.lower(name).contains("sd2"), "sd2").otherwise(DEFAULT_BACKEND)
+    return {
+        "by_name": by_name,
+        "film": F.coalesce(sidecar, by_name),
+        "refine": F.when(by_name.isin("flux2", "krea2"), "sdxl").otherwise(by_name),
+        "upscale": F.coalesce(sidecar, three),
+        "invert": F.regexp_extract(name, r"^[a-z]+_(sd15|sd2|sdxl|flux2|krea2)_", 1),
+    }
+
+
 def clean_numbers(text: Column) -> Column:
     """A comma-separated list of numbers, trimmed and joined again; null if one is no number."""
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")

@@ -177,6 +177,33 @@ def detect_backend(spark: SparkSession, d: str) -> DataFrame:
     return gallery(spark, d).select("rel", R.backend_of(F.col("name")).alias("backend"))
 
 
+_THREE = "CASE WHEN lower(name) LIKE '%sdxl%' THEN 'sdxl' WHEN lower(name) LIKE '%sd2%' THEN 'sd2' ELSE 'sd15' END"
+
+
+@add(
+    "detect_backend_variants",
+    f"""WITH {GAL}, m AS (SELECT rel, name, CASE WHEN json_valid(meta_raw) THEN meta_raw->>'$.backend' END AS side FROM gal)
+    SELECT rel, {_BACKEND} AS by_name, coalesce(side, {_BACKEND}) AS film, CASE WHEN {_BACKEND} IN ('flux2', 'krea2') THEN 'sdxl' ELSE {_BACKEND} END AS refine, coalesce(side, {_THREE}) AS upscale,
+    regexp_extract(name, '^[a-z]+_(sd15|sd2|sdxl|flux2|krea2)_', 1) AS invert FROM m""",
+)
+def detect_backend_variants(spark: SparkSession, d: str) -> DataFrame:
+    side = F.get_json_object("meta_raw", "$.backend")
+    return gallery(spark, d).select("rel", *[c.alias(k) for k, c in R.backend_variants(F.col("name"), side).items()])
+
+
+@add(
+    "keyframe_tensors",
+    """WITH k AS (SELECT id FROM vectors WHERE id % 500 = 0), g AS (SELECT id, list(tensor) AS have FROM vectors WHERE tensor IN ('clip', 'embeds') GROUP BY 1)
+    SELECT k.id AS key, NOT list_contains(have, 'clip') AS no_clip, NOT list_contains(have, 'embeds') AS no_embeds FROM (SELECT id FROM k ORDER BY id LIMIT 64) k JOIN g USING (id)""",
+)
+def keyframe_tensors(spark: SparkSession, d: str) -> DataFrame:
+    """Keyframes (at most 64 of them) with the tensors a backend needs, and which they lack."""
+    v = table(spark, d, "vectors").select(F.col("id").alias("key"), "tensor", "e")
+    keys = v.filter("key % 500 = 0").select("key").distinct().orderBy("key").limit(64)
+    t = L.keyframe_tensors(v, keys, ("clip", "embeds"))
+    return t.select("key", F.array_contains("missing", "clip").alias("no_clip"), F.array_contains("missing", "embeds").alias("no_embeds"))
+
+
 @add("most_starred", f"WITH {GAL} SELECT {_BACKEND} AS backend, count(*) AS n FROM gal WHERE fav GROUP BY 1 ORDER BY n DESC, backend LIMIT 1")
 def most_starred(spark: SparkSession, d: str) -> DataFrame:
     return gallery(spark, d).filter("fav").groupBy(R.backend_of(F.col("name")).alias("backend")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "backend").limit(1)

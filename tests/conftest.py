@@ -22,8 +22,3 @@ def data() -> str:
     if not DATA.exists():
         pytest.skip("the driver's tables aren't here")
     return str(DATA)
-
-
-def rows(df) -> list[tuple]:
-    """The rows of a frame as sorted tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

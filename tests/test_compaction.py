@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from embermill.operators import compaction as C
@@ -99,3 +99,12 @@ def test_compaction_gives_up_on_conflict(spark, fragmented):
     other = spark.range(6000, 6010).select("id", F.lit("cold").alias("folder"))
     assert t.compact(min_files=10, before_commit=lambda: t.append(other, ["cold"]))["partitions"] == 1
     assert t.read().count() == 4030
+
+
+def test_compaction_in_batches(spark, tmp_path):
+    t = C.CompactedTable(spark, str(tmp_path / "t"), "folder")
+    df = spark.range(600).select("id", F.concat(F.lit("f"), (F.col("id") % 5).cast("string")).alias("folder"))
+    t.append(df.repartition(20, "id"))
+    out = t.compact(min_files=10, batch=2)
+    assert (out["partitions"], out["files_after"]) == (5, 5) and out["files_before"] > 80 and len(t.versions()) == 4
+    assert rows(t.read().select("id", "folder")) == rows(df)

@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from embermill.streaming import tails
@@ -58,3 +58,26 @@ def test_windows_in_batch_and_stream(spark, data, tmp_path):
     q = tails.windowed_counts(spark.readStream.schema(e.schema).parquet(src)).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("windows").select(F.col("start").cast("string"), "event_type", "n")) == whole
+
+
+def test_hunt_goes_on_where_it_stopped(spark, tmp_path):
+    from embermill.streaming import loops
+
+    path = str(tmp_path / "hunt")
+    item = lambda rel, x: spark.createDataFrame([(rel, x)], "rel string, x double")
+    generate = lambda base: lambda n: item(f"g{base + n}", float(base + n))
+    frontier = lambda df: df.filter("rel like 'g%'").select("rel", (-F.col("x")).alias("place"))
+    picks = []
+
+    def explore(picked, n):
+        picks.extend(r["rel"] for r in picked.collect())
+        return picked.select(F.concat(F.lit("e"), "rel").alias("rel"), F.lit(0.0).alias("x"))
+
+    assert loops.hunt(spark, path, generate(0), frontier, explore, 4, every=2, each=1) == {"rounds": 4, "explored": 2}
+    assert loops.hunt(spark, path, generate(10), frontier, explore, 2, every=2, each=3) == {"rounds": 2, "explored": 3}
+    assert picks[:2] == ["g2", "g4"] and picks[2:4] == ["g12", "g11"] and len(set(picks)) == 5
+    assert spark.read.parquet(f"{path}/items").count() == 6 + 5
+    assert loops.hunt(spark, path, generate(20), frontier, explore, 9, stop=lambda: True)["rounds"] == 0
+    assert loops.hunt(spark, path, generate(20), frontier, explore, 9, seconds=-1.0)["rounds"] == 0
+    jobs = spark.createDataFrame([(3,)], "id bigint")
+    assert loops.lost(jobs, 4) and not loops.lost(jobs, 3) and loops.lost(jobs.limit(0), 1)
