@@ -76,20 +76,21 @@ def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str
     if not kinds:
         return spark.createDataFrame([], T.StructType.fromDDL(f"container string, bin string, {id} {kind}, piece int, start bigint, n_tokens bigint"))
     each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in kinds])
-    both = sized.select("id", "size", F.inline(each))
+    # rows are told apart by number, not id: of one id (or none) there may be any number
+    both = sized.select("id", "size", F.monotonically_increasing_id().alias("row"), F.inline(each))
     full = F.floor(F.col("size") / F.col("capacity")).cast("int")
     cuts = both.filter(F.col("size") > F.col("capacity")).withColumn("pieces", full)
     whole = cuts.select("container", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     whole = whole.select("container", F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), F.col("piece").cast("string")).alias("bin"), "id", "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("size"))
     rest = F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size"))
     piece = F.when(F.col("size") > F.col("capacity"), full).otherwise(0)
-    todo = both.filter((F.col("size") <= F.col("capacity")) | (rest > 0)).select("container", "capacity", "id", piece.alias("piece"), (piece * F.col("capacity")).alias("start"), rest.alias("size"))
+    todo = both.filter((F.col("size") <= F.col("capacity")) | (rest > 0)).select("container", "capacity", "row", "id", piece.alias("piece"), (piece * F.col("capacity")).alias("start"), rest.alias("size"))
 
-    schema = f"container string, capacity bigint, bin string, id {kind}, piece int, start bigint, size bigint, again boolean"
+    schema = f"container string, capacity bigint, row bigint, bin string, id {kind}, piece int, start bigint, size bigint, again boolean"
 
     def packed(level: int, reopen: int):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["size", "id", "row"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             cap = int(pdf["capacity"].iloc[0])
             sizes = pdf["size"].to_numpy()
             bins = best_fit(sizes, cap, max_docs or cap, max_cost or float(cap) ** 2, rule)
@@ -111,11 +112,11 @@ def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str
     while True:
         shards = max(1, math.ceil(n / shard_items))
         reopen = REOPEN if shards > 1 else 0
-        sharded = todo.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(level)), F.lit(shards)).cast("int"))
+        sharded = todo.withColumn("shard", F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(shards)).cast("int"))
         done = cut(sharded.repartition(max(2, min(shards * 2, 4000)), "container", "shard").groupBy("container", "shard").applyInPandas(packed(level, reopen), schema))
         out = out.unionByName(done.filter(~F.col("again")).select("container", "bin", "id", "piece", "start", "size"))
         if shards == 1:
             break
-        todo = done.filter("again").select("container", "capacity", "id", "piece", "start", "size")
+        todo = done.filter("again").select("container", "capacity", "row", "id", "piece", "start", "size")
         n, level = math.ceil(n / REOPEN), level + 1
     return out.withColumnsRenamed({"id": id, "size": "n_tokens"})
