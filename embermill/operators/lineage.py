@@ -10,13 +10,12 @@ def ancestors(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(node, ancestor, hop), hop from 1 to ``hops``: each ancestor at its least distance. A node may have several
     parents; cycles end by the bound. Nodes without edges have no rows."""
     e = edges.filter(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
-    step = start.select("node", F.col("node").alias("ancestor"))
-    found = None
-    for hop in range(1, hops + 1):
-        step = step.join(e, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
-        this = step.withColumn("hop", F.lit(hop))
-        found = this if found is None else found.unionByName(this)
-    return found.groupBy("node", "ancestor").agg(F.min("hop").alias("hop"))
+    line = start.select("node", F.array("node").alias("path"))
+    for _ in range(hops):
+        # one join for each hop; a path that has ended meets no edge again
+        line = line.join(e, F.element_at("path", -1) == F.col("child"), "left").select("node", F.when(F.col("parent").isNotNull(), F.concat("path", F.array("parent"))).otherwise(F.col("path")).alias("path"))
+    up = line.select("node", F.posexplode("path").alias("hop", "ancestor")).filter("hop > 0")
+    return up.groupBy("node", "ancestor").agg(F.min("hop").alias("hop"))
 
 
 def root_with(start: DataFrame, edges: DataFrame, fit: DataFrame, tested: int = 5) -> DataFrame:
