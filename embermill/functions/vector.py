@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: DuckDB macros of the same names.
-SQL = """
-CREATE OR REPLACE MACRO em_dot(a, b) AS list_dot_product(a::double[], b::double[]);
-"""
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

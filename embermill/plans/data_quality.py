@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from embermill.operators import compaction, gallery, logs
 from embermill.plans.registry import registry
+from embermill.session import cut
 from embermill.sources.tables import table
 
 #: Stored files in DuckDB: the plain path, then the latest scan.
@@ -49,3 +50,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("p3_entries")
 def p3_entries(spark: SparkSession, d: str) -> DataFrame:
     return logs.parse_entries(table(spark, d, "log_lines"), table(spark, d, "jobs"))
+
+
+@registry.add("p3_templates")
+def p3_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The mined head templates: constants and slots, and the layout that gives the slots their roles."""
+    _, templates = logs.mine_templates(cut(logs.count_heads(table(spark, d, "log_lines"))))
+    return spark.createDataFrame([(" ".join(k), v) for k, v in sorted(templates.items())], "skeleton string, layout string")

@@ -11,7 +11,7 @@ from embermill.operators import library as L
 from embermill.operators import lineage as A
 from embermill.operators import records as R
 from embermill.operators import taste as S
-from embermill.plans.common import GAL, gallery, rnd, values, values_sql, vectors
+from embermill.plans.common import GAL, gallery, rnd, values, vectors
 from embermill.plans.registry import registry
 from embermill.sources.tables import prompt_lines, table
 from embermill.streaming import tails

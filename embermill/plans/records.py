@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from embermill.operators import records as R
-from embermill.plans.common import GAL, gallery, rnd, values, values_sql
+from embermill.plans.common import GAL, gallery, values, values_sql
 from embermill.plans.registry import registry
 from embermill.sources.tables import table
 

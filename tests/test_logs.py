@@ -93,3 +93,10 @@ def test_templates_are_mined(spark):
     assert (1, "0:0:0,0") in frequent and (2, "-") in frequent
     assert "dash" in templates.values()
     assert logs.mine_templates(heads.limit(0)) == (set(), {})
+
+
+def test_one_job_with_all_lines_is_spread(spark):
+    """No chunk of a job is larger than its bound, whatever the job's size."""
+    texts = [f"2025-01-12 00:00:10,480 - INFO - a.b - m{i}" if i % 3 == 0 else "more" for i in range(3000)]
+    got = logs.parse_entries(lines(spark, texts), jobs(spark), with_message=False, chunk_lines=100)
+    assert got.count() == 1000 and got.filter("last_seq - first_seq <> 2").count() == 0
