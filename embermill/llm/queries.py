@@ -97,6 +97,14 @@ def p7_placed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "containers"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers of each kind there are, and how many there must be at least."""
+    capacity = table(spark, d, "containers").select("container", "capacity_tokens").distinct()
+    bins = p7_placed(spark, d).groupBy("container", "bin").agg(F.sum("n_tokens").alias("tokens"))
+    n = bins.groupBy("container").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest")).join(capacity, "container")
+    return n.select("container", "bins", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.demanding(table(spark, d, "documents"), table(spark, d, "level_labels"))
 
@@ -122,6 +130,15 @@ _USABLE = """u AS (SELECT id, tensor, e FROM vectors WHERE len(e) = CASE tensor
 s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM u a JOIN u b ON a.tensor = b.tensor AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s)"""
 
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source by the reader they take (null: no English prose)."""
+    docs = table(spark, d, "documents")
+    graded = reading.grade(docs, reading.train(docs, table(spark, d, "level_labels")), keep=("source",))
+    scale = table(spark, d, "reading_scale")
+    n = graded.groupBy("source", F.round("level").cast("int").alias("reading_level")).agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"))
+    return n.join(scale, "reading_level", "left")
+
+
 SQL = {
     "p2_sketch": _MEASURED + "SELECT * FROM sketch",
     "p2_days": _MEASURED + "SELECT backend, day::varchar AS day, sign, bucket, n FROM days",
@@ -136,5 +153,5 @@ SQL = {
 
 
 def register(registry) -> None:
-    for f in (p2_percentiles, p2_sketch, p2_days, p4_found, p4_neighbours, p5_picked, p6_ids, p6_decoded, p7_placed, p8_found, p8_levels):
+    for f in (p2_percentiles, p2_sketch, p2_days, p4_found, p4_neighbours, p5_picked, p6_ids, p6_decoded, p7_placed, p7_fill, p8_found, p8_levels, p8_profile):
         registry.add(f.__name__, SQL.get(f.__name__))(f)

@@ -45,3 +45,14 @@ def test_dirt(spark):
         Q.sketch(df, ["g"], "x", 1.5)
     with pytest.raises(ValueError):
         Q.percentiles(df, ["g"], (1.5,))
+
+
+def test_a_hot_group_moves_its_buckets_only(spark):
+    """Nine tenths of all rows in one group: what is shuffled are its buckets, summed in each task."""
+    df = spark.range(200_000).selectExpr("case when id % 10 = 0 then 'cold' else 'hot' end as g", "cast(1 + id % 1000 as double) as x")
+    s = Q.sketch(df, ["g"], "x")
+    assert s.count() < 2 * 400
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2  # before and after the exchange
+    got = {r["g"]: r["n"] for r in Q.percentiles(s, ["g"], (0.5,)).collect()}
+    assert got == {"hot": 180_000, "cold": 20_000}
