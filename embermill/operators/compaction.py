@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 MIN_FILES = 24
 SMALL_BYTES = 65_536
 TARGET_BYTES = 128 * 1024 * 1024
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # Spark's directory name for null
 
 
 class ConflictError(RuntimeError):
@@ -150,15 +151,18 @@ class CompactedTable:
         if {r["partition"]: (r["n"], r["mark"]) for r in self._state(wanted).collect()} != marks:
             self._fs.delete(self._p(f"_snapshots/{version:012d}.json"), False)
             raise ConflictError("files of a planned partition changed")
-        unescape = F.try_url_decode(F.col("partition"))
-        sized = self.spark.createDataFrame([(r["partition"], max(1, -(-r["bytes"] // target_bytes))) for r in plan], "partition string, outs int").withColumn(self.partition, F.coalesce(unescape, F.col("partition"))).drop("partition")
-        rows = self.read().join(F.broadcast(sized), self.partition)  # at most a batch
+        # directory names are escaped, and name the null partition
+        decoded = F.try_url_decode(F.replace(F.col("partition"), F.lit("+"), F.lit("%2B")))
+        value = F.when(F.col("partition") != NULL_PARTITION, F.coalesce(decoded, F.col("partition")))
+        sized = self.spark.createDataFrame([(r["partition"], max(1, -(-r["bytes"] // target_bytes))) for r in plan], "partition string, outs int").select(value.alias("_value"), "outs")
+        mine = lambda df: df.join(F.broadcast(sized), F.col(self.partition).eqNullSafe(F.col("_value"))).drop("_value")  # noqa: E731  at most a batch
+        rows = mine(self.read())
         n = rows.count()
         salt = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.col("outs"))
         parts = max(1, min(10_000, sum(max(1, -(-r["bytes"] // target_bytes)) for r in plan)))
         out = rows.withColumn("_salt", salt).repartition(parts, self.partition, "_salt").drop("_salt", "outs")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(self.path)
-        after = self.read().join(sized.drop("outs"), self.partition, "left_semi").count()
+        after = mine(self.read()).count()
         if after != n:
             raise RuntimeError(f"{n} rows before the rewrite, {after} after it")
         left = self._state(wanted).agg(F.sum("n")).first()[0]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if path is None:
         path = tempfile.mkdtemp(prefix="embermill-checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 

@@ -108,3 +108,13 @@ def test_compaction_in_batches(spark, tmp_path):
     out = t.compact(min_files=10, batch=2)
     assert (out["partitions"], out["files_after"]) == (5, 5) and out["files_before"] > 80 and len(t.versions()) == 4
     assert rows(t.read().select("id", "folder")) == rows(df)
+
+
+def test_compaction_of_odd_names(spark, tmp_path):
+    t = C.CompactedTable(spark, str(tmp_path / "t"), "folder")
+    names = ["a+b/c d", "50%", "%2B", None, "ü=1"]
+    df = spark.range(500).withColumn("folder", F.get(F.array(*[F.lit(n) for n in names]), (F.col("id") % 5).cast("int")))
+    t.append(df.repartition(12))
+    out = t.compact(min_files=10)
+    assert (out["partitions"], out["files_after"]) == (5, 5)
+    assert rows(t.read().select("id", "folder")) == rows(df)
