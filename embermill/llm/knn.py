@@ -48,8 +48,9 @@ def near_plan(n: int, bucket: int = 400) -> Plan:
 
 
 #: For the neighbours of stated questions, however far: wide buckets, most of which are asked. Where the nearest
-#: vectors are hardly nearer than the rest, no hashing finds them among less.
-FAR = Plan(tables=2, functions=2, step=2, width=1.4, probes=8)
+#: vectors are hardly nearer than the rest, no hashing finds them among less, so overfull buckets aren't refined: at
+#: any size of the table a question visits all parts of the buckets it asks.
+FAR = Plan(tables=2, functions=2, levels=1, width=1.4, probes=8)
 SIMILAR_DIGITS = 9
 SPARE = 3  # candidates kept beyond k, since one-byte coordinates rank them before the exact distance does
 SLACK = 0.01

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from embermill.llm import knn as K
@@ -51,6 +52,20 @@ def test_recall_of_stated_questions(spark):
     assert (got.groupby("id").size() == 5).all()
 
 
+def test_recall_of_stated_questions_of_a_large_table(spark):
+    """Buckets of more than ``most`` vectors are asked whole too."""
+    x = np.random.default_rng(4).standard_normal((60000, 24))
+    rows = K.usable(spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "tensor": "t", "e": list(x)})), "t", 24)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ask = np.arange(0, len(x), 600)
+    s = u[ask] @ u.T
+    s[np.arange(len(ask)), ask] = -9
+    want = dict(zip(ask.tolist(), np.argpartition(-s, 5, axis=1)[:, :5].tolist()))
+    got = K.neighbours(rows, 5, K.FAR, asking=rows.filter("id % 600 = 0")).toPandas()
+    assert set(got["id"]) == set(want)
+    assert sum(len(set(want[i]) & set(g["neighbour"])) for i, g in got.groupby("id")) >= 0.95 * 5 * len(want)
+
+
 def test_copies(spark):
     """A group of copies links every member to k others, and costs no pair for each pair of copies."""
     x = [[1.0, 0, 0]] * 40 + [[2.0, 0, 0]] * 3 + [[0, 1.0, 0.01]] * 2 + [[0, 1.0, 0.02]]
