@@ -4,8 +4,9 @@ Vectors are scaled to length 1 (so Euclidean distance orders like cosine) and ex
 hashes a vector by several functions floor((a x + b) / w), a drawn from the normal distribution, which is 2-stable. A
 vector lies in its own bucket of every table, and asks its own and the perturbed buckets that most likely hold
 neighbours, in the order of the estimated success of each set of steps (the squared distances to the crossed
-boundaries). Buckets that hold too many vectors are refined by more functions; what stays too large even then is cut
-into parts that every question visits, so no row is left out. Candidates are ranked by exact distance."""
+boundaries). Buckets that hold too many vectors are cut into parts that every question visits, so no row is left out
+however dense a group is. (A plan of several levels first refines them by more functions, of which a question asks only
+its own cells: less work, but neighbours are lost.) Candidates are ranked by exact distance."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -32,10 +33,11 @@ class Plan:
     tables: int = 3
     functions: int = 4  # of the coarsest bucket
     step: int = 3  # functions added at each refinement
-    levels: int = 4
+    levels: int = 1  # more than one loses neighbours in overfull buckets
     width: float = 1.2
     probes: int = 4  # buckets asked in each table, with the own one
-    most: int = 4000  # vectors in a bucket before it is refined
+    most: int = 4000  # vectors in a bucket before it is refined or cut
+    asked: int = 200_000  # questions to a part of a cut bucket that are compared at once
     seed: int = 17
 
 
@@ -50,7 +52,7 @@ def near_plan(n: int, bucket: int = 400) -> Plan:
 #: For the neighbours of stated questions, however far: wide buckets, most of which are asked. Where the nearest
 #: vectors are hardly nearer than the rest, no hashing finds them among less, so overfull buckets aren't refined: at
 #: any size of the table a question visits all parts of the buckets it asks.
-FAR = Plan(tables=2, functions=2, levels=1, width=1.4, probes=8)
+FAR = Plan(tables=2, functions=2, width=1.4, probes=8)
 SIMILAR_DIGITS = 9
 SPARE = 3  # candidates kept beyond k, since one-byte coordinates rank them before the exact distance does
 SLACK = 0.01
@@ -205,22 +207,33 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
     light = index.select("t", *[f"k{i}" for i in range(levels)])
     full = light.select("t", F.posexplode(F.array(*[f"k{i}" for i in range(levels)])).alias("level", "key")).groupBy("t", "level", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     full = cut(full)
+    # how many questions the cut buckets get: these are compared in blocks, so that no task holds all of them
+    last = ask.select("t", F.col(f"k{levels - 1}").alias("key")).groupBy("t", "key").agg(F.count("*").alias("q"))
+    cuts = full.filter(F.col("level") == levels - 1).drop("level").join(last, ["t", "key"], "left")
+    cuts = cut(cuts.select("t", F.col("key").alias(f"k{levels - 1}"), F.ceil(F.col("n") / most).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.coalesce("q", F.lit(0)) / plan.asked)).cast("int").alias("blocks")))
 
     def placed(side: DataFrame) -> DataFrame:
-        """The bucket of each row: that of the first level that isn't overfull, else the last, in parts."""
-        for i in range(levels):
+        """The bucket of each row: that of the first level that isn't overfull, else the last, in parts (of the held
+        vectors) and blocks (of the questions)."""
+        for i in range(levels - 1):
             this = full.filter(F.col("level") == i).select("t", F.col("key").alias(f"k{i}"), F.col("n").alias(f"n{i}"))
             side = side.join(this, ["t", f"k{i}"], "left")
+        side = side.join(cuts, ["t", f"k{levels - 1}"], "left")
         level, key = F.lit(levels - 1), F.col(f"k{levels - 1}")
         for i in reversed(range(levels - 1)):
             level = F.when(F.col(f"n{i}").isNull(), F.lit(i)).otherwise(level)
             key = F.when(F.col(f"n{i}").isNull(), F.col(f"k{i}")).otherwise(key)
-        over = F.when(level == levels - 1, F.coalesce(F.col(f"n{levels - 1}"), F.lit(0))).otherwise(0)
-        parts = F.greatest(F.lit(1), F.ceil(over / most)).cast("int")
-        return side.select("t", level.alias("level"), key.alias("key"), parts.alias("parts"), "class", "u")
+        count = [F.when(level == levels - 1, F.coalesce(c, F.lit(1))).otherwise(1).alias(c) for c in ("parts", "blocks")]
+        return side.select("t", level.alias("level"), key.alias("key"), *count, "class", "u")
 
-    held = placed(index).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    asks = placed(ask).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def one(n: str) -> Column:
+        return F.pmod(F.xxhash64("class", F.lit(n)), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = placed(index).withColumn("part", one("parts")).withColumn("block", every("blocks"))
+    asks = placed(ask).withColumn("part", every("parts")).withColumn("block", one("blocks"))
     keep = k + SPARE
 
     def rank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +259,7 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
         return pd.concat(out)
 
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = ["t", "level", "key", "part"]
+    place = ["t", "level", "key", "part", "block"]
     found = (
         asks.select(*place, "class", "u").repartition(parts, *place).groupBy(*place)
         .cogroup(held.select(*place, "class", "u").repartition(parts, *place).groupBy(*place))

@@ -66,6 +66,32 @@ def test_recall_of_stated_questions_of_a_large_table(spark):
     assert sum(len(set(want[i]) & set(g["neighbour"])) for i, g in got.groupby("id")) >= 0.95 * 5 * len(want)
 
 
+def test_hot_group_of_a_large_table(spark):
+    """A third of all rows lie in one dense group (pairwise cosine about 0.84, of the five nearest about 0.95)."""
+    n, dim, rank = 120_000, 64, 32
+    rng = np.random.default_rng(0)
+    centre = rng.standard_normal(dim)
+    spread = rng.standard_normal((n // 3, rank)) @ rng.standard_normal((rank, dim)) / np.sqrt(dim * rank)
+    x = np.concatenate([centre / np.linalg.norm(centre) + 0.45 * spread, rng.standard_normal((n - n // 3, dim))])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ask = np.arange(0, n // 3, 100)
+    s = x[ask] @ x.T
+    s[np.arange(len(ask)), ask] = -9
+    near = np.argpartition(-s, 5, axis=1)[:, :5]
+    want = {(min(i, j), max(i, j)) for a, (i, row) in enumerate(zip(ask.tolist(), near.tolist())) for j in row if s[a, j] >= 0.9}
+    rows = K.usable(spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "tensor": "t", "e": list(x)})), "t", dim)
+    got = K.similar_pairs(rows).toPandas()
+    assert len(want & set(zip(got["id_a"].tolist(), got["id_b"].tolist()))) >= 0.98 * len(want) > 1000
+
+
+def test_blocks_of_questions_lose_nothing(spark):
+    x = np.random.default_rng(5).standard_normal((300, 8)) + 1
+    rows = K.usable(table(spark, enumerate(x)), "t", 8)
+    plan = dict(tables=2, functions=1, width=2.0, probes=2)
+    whole, blocks = (sorted(map(tuple, K.neighbours(rows, 3, K.Plan(**plan, **limits)).collect())) for limits in ({}, {"most": 40, "asked": 25}))
+    assert whole == blocks
+
+
 def test_copies(spark):
     """A group of copies links every member to k others, and costs no pair for each pair of copies."""
     x = [[1.0, 0, 0]] * 40 + [[2.0, 0, 0]] * 3 + [[0, 1.0, 0.01]] * 2 + [[0, 1.0, 0.02]]
