@@ -3,7 +3,7 @@
 Three steps. ``count_heads`` counts, over all lines, how often each short run of masked words begins an unindented
 line. ``mine_templates`` turns these into position-word counts, keeps the frequent ones as constants, replaces every
 other word by a slot, and keeps the frequent skeletons; a template's slots get their roles (time, level, component)
-from the grammar of ``LAYOUTS``. ``parse_entries`` reads the lines in order, looks up each line's template, and sends
+from the grammar of ``LAYOUTS``, or outside it from the slots' contents (``_mined``). ``parse_entries`` reads the lines in order, looks up each line's template, and sends
 what fits none (rare heads, outliers) through the whole grammar.
 
 Lines are read by chunks of ``chunk_lines`` numbers of a job, so a job with most of the lines is spread over many
@@ -42,6 +42,7 @@ MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oc
 _WORD = "|".join(sorted((w for w in LEVELS if w.isalpha() and len(w) > 1), key=len, reverse=True))
 _ISO = r"(?P<y>\d{4})[-/](?P<mo>\d\d)[-/](?P<d>\d\d)[T ](?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d)(?:[.,](?P<f>\d+))?\s?(?P<z>Z|[+-]\d\d:?\d\d)?"
 _DMY = r"(?P<d>\d\d?)[- ](?P<mon>[A-Za-z]{3})[- ](?P<y>\d{4}) (?P<h>\d\d?):(?P<mi>\d\d):(?P<s>\d\d)(?:[.,](?P<f>\d+))?(?: (?P<ap>[AP]M))?"
+_MONTH_DAY = r"(?P<mon>[A-Z][a-z]{2}) +(?P<d>\d\d?) (?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d)"
 _COMP = r"(?P<c>[A-Za-z_][\w.\-/]*)"
 _LEV = rf"(?P<l>(?i:{_WORD}))"
 
@@ -194,7 +195,7 @@ def _fit(name: str, line: str) -> _Head | None:
         return _record(line)
     if name == "pairs":
         return _pairs(line)
-    m = _PATTERNS[name].match(line)
+    m = (_PATTERNS.get(name) or re.compile(name)).match(line)
     if not m:
         return None
     g = m.groupdict()
@@ -219,6 +220,35 @@ def _grammar(line: str) -> tuple[str, _Head] | None:
     return None
 
 
+def _mined(line: str) -> str | None:
+    """A pattern for heads like the line, outside the grammar: a time, then within the counted words perhaps a level
+    word, and a component before a colon or in brackets. What lies between may be anything."""
+    for time in (_ISO, _DMY, _MONTH_DAY):
+        for a, b in (("", ""), (r"\[", r"\]")):
+            if m := re.match(a + time + b, line):
+                break
+        else:
+            continue
+        break
+    else:
+        return None
+    pattern, level = a + time + b, False
+    for word in line[m.end() :].split()[:HEAD_WORDS]:
+        core = word.strip("[]()<>:|,-")
+        if not core:
+            pattern += r"\s+" + re.escape(word)
+        elif not level and re.fullmatch(_WORD, core, re.I):
+            before, after = word.split(core, 1)
+            pattern, level = pattern + r"\s+" + re.escape(before) + _LEV + re.escape(after), True
+        elif re.fullmatch(rf"{_COMP}(?:\[\d+\])?:", word):
+            return pattern + rf"\s+{_COMP}(?:\[\d+\])?:(?:\s|$)"
+        elif re.fullmatch(rf"\[{_COMP}(?::\d+)?\]:?", word):
+            return pattern + rf"\s+\[{_COMP}(?::\d+)?\]:?(?:\s|$)"
+        else:
+            pattern += r"\s+\S+"
+    return None
+
+
 def _words(line: str) -> str:
     """The masked words that begin a line, one blank between them: runs of digits as 0."""
     return _DIGITS.sub("0", " ".join(line.split(None, HEAD_WORDS)[:HEAD_WORDS]))
@@ -256,8 +286,8 @@ def count_heads(lines: DataFrame) -> DataFrame:
 
 
 def mine_templates(heads: DataFrame, support: float = SUPPORT) -> tuple[set[tuple[int, str]], dict[tuple[str, ...], str]]:
-    """The frequent (position, word) constants and, for each frequent skeleton that the grammar can give roles to,
-    its layout.
+    """The frequent (position, word) constants and, for each frequent skeleton whose slots get roles, its layout: of
+    the grammar, else the pattern that both its samples fit.
 
     At most ``HEAD_WORDS / support`` constants and ``1 / support`` skeletons come to the driver, however many lines
     there are."""
@@ -278,6 +308,8 @@ def mine_templates(heads: DataFrame, support: float = SUPPORT) -> tuple[set[tupl
         fits = [_grammar(x) for x in (r["a"], r["b"])]
         if all(fits) and fits[0][0] == fits[1][0]:
             templates[tuple(r["skeleton"])] = fits[0][0]
+        elif not any(fits) and (pattern := _mined(r["a"])) and _fit(pattern, r["a"]) and _fit(pattern, r["b"]):
+            templates[tuple(r["skeleton"])] = pattern
     return frequent, templates
 
 
@@ -294,6 +326,7 @@ class _Reader:
 
     def __init__(self, frequent, templates, with_message: bool):
         self.frequent, self.templates, self.with_message = frequent, templates, with_message
+        self.mined = sorted({*templates.values()} - {*_PATTERNS, "record", "pairs"})
         self.rows: list[tuple] = []
         self.at: tuple | None = None
         self.layouts: dict[str, str | None] = {}  # of the masked heads met lately
@@ -316,8 +349,10 @@ class _Reader:
             self.layouts[words] = layout
         if layout and (h := _fit(layout, line)):
             return h
-        found = _grammar(line)
-        return found[1] if found else None
+        if found := _grammar(line):
+            return found[1]
+        # rare words after the head of a mined layout
+        return next((h for name in self.mined if (h := _fit(name, line))), None)
 
     def line(self, seq: int, raw: str | None) -> None:
         if seq == self.seq:

@@ -100,3 +100,17 @@ def test_one_job_with_all_lines_is_spread(spark):
     texts = [f"2025-01-12 00:00:10,480 - INFO - a.b - m{i}" if i % 3 == 0 else "more" for i in range(3000)]
     got = logs.parse_entries(lines(spark, texts), jobs(spark), with_message=False, chunk_lines=100)
     assert got.count() == 1000 and got.filter("last_seq - first_seq <> 2").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("head", "ts", "level", "component"),
+    [
+        ("2025-01-12 00:00:10 [INFO] film.loop: ", 1736640010000, "INFO", "film.loop"),
+        ("[2025-01-12T00:00:10Z] worker-3 <WARN> decoder[71]: ", 1736640010000, "WARNING", "decoder"),
+        ("May 12 00:00:10 host-a scanner[12]: ", 1715472010000, "NONE", "scanner"),
+    ],
+)
+def test_frequent_heads_outside_the_grammar_are_mined(spark, head, ts, level, component):
+    texts = [head + f"step {i} done" for i in range(20)] + [head + "seldom said", "  indented", "and not a head: x"]
+    got = parse(spark, texts)
+    assert [g[:5] for g in got] == [(i, i if i < 20 else 22, ts, level, component) for i in range(21)]
