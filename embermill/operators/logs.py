@@ -1,10 +1,11 @@
-"""Log lines of many programs into entries with timestamp, level, component and message.
+"""Log lines of many programs into entries with timestamp, level, component and message, by position-word mining.
 
-Three steps. ``count_heads`` counts, over all lines, how often each short run of masked words begins an unindented
-line. ``mine_templates`` turns these into position-word counts, keeps the frequent ones as constants, replaces every
-other word by a slot, and keeps the frequent skeletons; a template's slots get their roles (time, level, component)
-from the grammar of ``LAYOUTS``, or outside it from the slots' contents (``_mined``). ``parse_entries`` reads the lines in order, looks up each line's template, and sends
-what fits none (rare heads, outliers) through the whole grammar.
+Heads are cut into pieces: values that parse as times, words, numbers, spaces and marks. ``count_heads`` counts the
+beginnings of all unindented lines, ``count_words`` each word at its place (the kinds of what precedes it).
+``mine_templates`` gives the slots their roles from these counts: where level names are frequent lies the level, where
+other words return again and again before a delimiter, beside a time, a level or a bracket, lies the component; marks
+and kinds of a frequent template are its constants. ``parse_entries`` reads the lines in order by the mined templates;
+self-describing records (JSON, key=value) are read by their keys, and what fits no template by fallback rules.
 
 Lines are read by chunks of ``chunk_lines`` numbers of a job, so a job with most of the lines is spread over many
 tasks; entries that run over the end of a chunk are put together afterwards from one row per chunk."""
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import datetime
 
 import pandas as pd
@@ -22,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from embermill.session import cut
+from embermill.session import cut, share
 
 CHUNK_LINES = 8192
-HEAD_WORDS = 5
-SUPPORT = 2e-4  # of the unindented lines: at most 1 / SUPPORT constants at a position, so the templates stay small
+SUPPORT = 2e-4  # of the heads: at most 8 / SUPPORT places and 1 / SUPPORT templates
 
 # Level names as programs write them.
 LEVELS = {
@@ -42,30 +43,8 @@ MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oc
 _WORD = "|".join(sorted((w for w in LEVELS if w.isalpha() and len(w) > 1), key=len, reverse=True))
 _ISO = r"(?P<y>\d{4})[-/](?P<mo>\d\d)[-/](?P<d>\d\d)[T ](?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d)(?:[.,](?P<f>\d+))?\s?(?P<z>Z|[+-]\d\d:?\d\d)?"
 _DMY = r"(?P<d>\d\d?)[- ](?P<mon>[A-Za-z]{3})[- ](?P<y>\d{4}) (?P<h>\d\d?):(?P<mi>\d\d):(?P<s>\d\d)(?:[.,](?P<f>\d+))?(?: (?P<ap>[AP]M))?"
-_MONTH_DAY = r"(?P<mon>[A-Z][a-z]{2}) +(?P<d>\d\d?) (?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d)"
-_COMP = r"(?P<c>[A-Za-z_][\w.\-/]*)"
-_LEV = rf"(?P<l>(?i:{_WORD}))"
-
-#: The grammar of heads: name, the first characters it can begin with, pattern. The first that fits counts.
-LAYOUTS: list[tuple[str, str, re.Pattern[str]]] = [
-    ("dash", "0123456789", re.compile(rf"{_ISO} - {_LEV} - {_COMP}(?: - |$)")),
-    ("dash_name", "0123456789", re.compile(rf"{_ISO} - {_COMP} - {_LEV}(?: - |$)")),
-    ("iso", "0123456789", re.compile(rf"{_ISO}\s+{_LEV}\s+\[{_COMP}(?::\d+)?\](?:\s|$)")),
-    ("pipe", "0123456789", re.compile(rf"{_DMY} \| {_LEV} *\| {_COMP} *(?:\| |\|?$)")),
-    ("pipe_iso", "0123456789", re.compile(rf"{_ISO} \| {_LEV} *\| {_COMP} *(?:\| |\|?$)")),
-    ("brackets", "[", re.compile(rf"\[{_ISO}\] \[(?P<l>(?i:[DIWECF]|{_WORD}))\] \[{_COMP}(?::\d+)?\](?:\s|$)")),
-    ("letter", "DIWECF", re.compile(r"(?P<l>[DIWECF])(?P<mo>\d\d)(?P<d>\d\d) (?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d)(?:\.(?P<f>\d+))?\s+\d+ (?P<c>[\w./\-]+):\d+\](?:\s|$)")),
-    ("colons", "DIWECFdiwecfTtNn", re.compile(rf"{_LEV}:{_COMP}:")),
-    ("tag", "[", re.compile(rf"\[{_COMP}\](?:\s+(?P<l>(?:{_WORD.upper()})):(?=\s|$))?(?:\s|$)")),
-]
-_BY_FIRST: dict[str, list[tuple[str, re.Pattern[str]]]] = {}
-for _name, _first, _pattern in LAYOUTS:
-    for _ch in _first:
-        _BY_FIRST.setdefault(_ch, []).append((_name, _pattern))
-_PATTERNS = {name: p for name, _, p in LAYOUTS}
 
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
-_DIGITS = re.compile(r"\d+")
 _PAIR = re.compile(r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|\S*)(?:\s+|$)')
 _FIELD = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?[\d.]+(?:[eE][+-]?\d+)?|true|false|null|[\[{])')
 _NUMBER = re.compile(r"(\d{9,})(?:\.(\d*))?$")
@@ -175,83 +154,240 @@ def _record(line: str) -> _Head | None:
     return head
 
 
-def _pairs(line: str) -> _Head | None:
-    """A line of key=value pairs that names a component."""
-    head, at, keys = _Head(), 0, []
+def _pairs(line: str, keys: dict[str, str]) -> _Head | None:
+    """A line of key=value pairs that names a time or a level, and a component. ``keys``: mined roles of keys."""
+    head, at, found = _Head(), 0, []
     while m := _PAIR.match(line, at):
-        keys.append(m.groups())
+        found.append(m.groups())
         at = m.end()
         if m.group(1).lower() in MESSAGE_KEYS:
             break
-    if len(keys) < 2 or not {k.lower() for k, _ in keys} & {*TIME_KEYS, *LEVEL_KEYS}:
+    names = {k.lower() for k, _ in found}
+    if len(found) < 2 or not (names & {*TIME_KEYS, *LEVEL_KEYS} or "time" in (known := {keys.get(k) for k in names}) or "level" in known):
         return None
-    _take(head, keys)
+    _take(head, found)
+    if keys:
+        # conventional names first
+        for role, have in (("time", head.ts), ("level", head.level), ("component", head.comp)):
+            if have is None:
+                _take(head, [(role, v) for k, v in found if keys.get(k.lower()) == role])
     return head if head.comp else None
 
 
-def _fit(name: str, line: str) -> _Head | None:
-    """The line read by one layout of the grammar."""
-    if name == "record":
-        return _record(line)
-    if name == "pairs":
-        return _pairs(line)
-    m = (_PATTERNS.get(name) or re.compile(name)).match(line)
+# --- heads in pieces ------------------------------------------------------------------------------------------------
+
+_MON = "|".join(m.capitalize() for m in MONTHS)
+_IDENT = r"[A-Za-z_]\w*(?:[.\-/](?:[A-Za-z_]\w*|\d{1,3}(?!\d)))*"
+#: What a head is cut into. The named kinds are values that parse as (parts of) a time, words, numbers and spaces; any
+#: other character is a mark.
+_PIECE = re.compile(
+    rf"""(?P<ymd>\d{{4}}[-/]\d\d[-/]\d\d(?!\d))|(?P<dmy>\d\d?[-\ ](?:{_MON})[-\ ]\d{{4}}(?!\d))|(?P<md>(?:{_MON})\ +\d\d?(?=\ +\d\d:))
+    |(?P<mmdd>\d{{4}}(?=\ +\d\d?:\d\d:\d\d))|(?P<clock>\d\d?:\d\d:\d\d(?:[.,]\d+)?(?:\ [AP]M\b)?(?:\ ?(?:Z\b|[+-]\d\d:?\d\d\b))?)
+    |(?P<epoch>\d{{10}}(?:\.\d+)?(?![\w.])|\d{{13}}(?![\w.]))|(?P<letter>[A-Z](?=\d{{4}}\ +\d\d?:\d\d:\d\d))|(?P<t>T(?=\d\d:\d\d:\d\d))
+    |(?P<word>{_IDENT})|(?P<number>\d+)|(?P<space>\s+)|(?P<more>\x1e)|(?P<mark>.)""",
+    re.X,
+)
+_TIMES = ("ymd", "dmy", "md", "mmdd", "clock", "epoch")
+_COMPONENT = rf"(?P<c>(?!(?i:{_WORD})(?![\w.\-/]))[A-Za-z_][\w.\-/]*)"
+#: Regular expressions of the kinds, for reading.
+_KINDS = {
+    "ymd": r"(?P<y>\d{4})[-/](?P<mo>\d\d)[-/](?P<d>\d\d)", "dmy": r"(?P<d>\d\d?)[- ](?P<mon>[A-Za-z]{3})[- ](?P<y>\d{4})", "md": r"(?P<mon>[A-Z][a-z]{2}) +(?P<d>\d\d?)",
+    "mmdd": r"(?P<mo>\d\d)(?P<d>\d\d)", "clock": r"(?P<h>\d\d?):(?P<mi>\d\d):(?P<s>\d\d)(?:[.,](?P<f>\d+))?(?: (?P<ap>[AP]M))?(?: ?(?P<z>Z|[+-]\d\d:?\d\d))?",
+    "epoch": r"(?P<e>\d{10,13}(?:\.\d+)?)", "t": "T", "word": r"[A-Za-z_][\w.\-/]*", "number": r"\d+", "space": r"\s+", "component": _COMPONENT,
+    "level_letter": "(?P<l>[DIWECF])", "level_upper": f"(?P<l>{_WORD.upper()})", "level_lower": f"(?P<l>{_WORD})", "level_any": f"(?P<l>(?i:{_WORD}))",
+}
+_CLOSER = {"[": "]", "<": ">", "(": ")"}
+_PLAIN_CLOSERS, _CLOSERS = "]:|-", "]>):|-~#*"
+_SEP = "\x1f"
+
+
+def _pieces(head: str, most: int = 40) -> list[tuple[str, str]]:
+    """(kind, text) of the first pieces; a mark's kind is the mark."""
+    out = []
+    for m in _PIECE.finditer(head):
+        kind = m.lastgroup
+        if kind == "more":
+            out.append(("more", ""))
+            break
+        out.append(("word" if kind == "letter" else m.group() if kind == "mark" else kind, m.group()))
+        if len(out) >= most:
+            out.append(("more", ""))
+            break
+    return out
+
+
+def _after(p: list[tuple[str, str]], i: int, closers: str) -> int | None:
+    """Where the delimiter ends that follows the word at ``i``, a line or process number included; None without one."""
+    kind = lambda j: p[j][0] if j < len(p) else None
+    j = i + 1
+    if kind(j) == ":" and kind(j + 1) == "number":
+        j += 2
+    elif kind(j) in ("[", "(") and kind(j + 1) == "number" and kind(j + 2) == _CLOSER[kind(j)]:
+        j += 3
+    opened = _CLOSER.get(kind(i - 1)) if i else None
+    if opened:
+        if kind(j) != opened:
+            return None
+        j += 1
+        return j + 1 if kind(j) == ":" else j
+    k = j + (kind(j) == "space")
+    m = k
+    while kind(m) and len(kind(m)) == 1 and kind(m) in closers:
+        m += 1
+    if m > k:
+        return m
+    return j if kind(j) is None or (kind(j) == "space" and kind(j + 1) is None) else None
+
+
+def _places(p: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
+    """(index, place, delimiter) of each word: its place is the kinds of all pieces before it."""
+    out, kinds = [], [k for k, _ in p]
+    for i, (kind, _) in enumerate(p):
+        if kind == "word":
+            end = _after(p, i, _CLOSERS)
+            out.append((i, _SEP.join(kinds[:i]), "" if end is None else _SEP.join(kinds[i + 1 : end]) or "$"))
+    return out
+
+
+def _style(word: str) -> str:
+    return "level_letter" if len(word) == 1 else "level_upper" if word.isupper() else "level_lower" if word.islower() else "level_any"
+
+
+def _is_level(word: str) -> bool:
+    return word.lower() in LEVELS and (len(word) > 1 or word in "DIWECF")
+
+
+class _Slots:
+    """What was counted at a word's place: lines, lines with a level name, different other words."""
+
+    def __init__(self, counted: dict[tuple[str, str], tuple[int, int, int]], least: float):
+        self.counted, self.least = counted, least
+
+    def level(self, place: str, after: str, sure: bool) -> bool:
+        """Level names are frequent there; if not ``sure``, they are nearly all there is."""
+        n, names, _ = self.counted.get((place, after), (0, 0, 0))
+        return names >= self.least and (sure or names >= 0.9 * n)
+
+    def component(self, place: str, after: str) -> bool:
+        """Other words are frequent there, and are used again and again."""
+        n, names, words = self.counted.get((place, after), (0, 0, 0))
+        return n - names >= self.least and n - names >= 0.02 * n and words <= max(20, 0.5 * (n - names))
+
+    def share(self, place: str, after: str, of: tuple[str, str]) -> float:
+        return self.counted.get((place, after), (0, 0, 0))[0] / max(self.counted.get(of, (1, 0, 0))[0], 1)
+
+
+def _template(p: list[tuple[str, str]], slots: _Slots | None) -> str | None:
+    """The head's template: constants (marks), kinds, and the slots with their roles, up to the end of the head; None
+    if it isn't the head of an entry.
+
+    With ``slots`` (mined), roles follow the counts at each place. Without, for outliers, only what is beyond doubt is
+    a head: a time or a level name, and a component between the commonest marks."""
+    timed = any(k in _TIMES for k, _ in p)
+    level = comp = None
+    skipped, kinds = 0, [k for k, _ in p]
+    closers = _CLOSERS if slots else _PLAIN_CLOSERS
+    before = False  # a time so far
+    at = -1
+    for i, place, after in _places(p):
+        before = before or any(k in _TIMES for k in kinds[at + 1 : i])
+        at, word = i, p[i][1]
+        if kinds[i + 1 : i + 2] == ["="]:
+            return None
+        end = _after(p, i, closers)
+        if comp is None:
+            enclosed = i > 0 and kinds[i - 1] in _CLOSER
+            if level is None and _is_level(word) and (slots is None or slots.level(place, after, True)):
+                level = i
+                continue
+            first = i == 1 and enclosed  # a tag at the line's start needs no more evidence, if it is frequent
+            if end is not None and not _is_level(word) and (before or (level is not None and not _spaced(kinds, level)) or (first and slots)):
+                if after == "$" and not (timed and level is not None):
+                    return None  # the line ends with a word that might be anything
+                if slots is None or slots.component(place, after):
+                    comp, comp_end, comp_place = i, end, (place, after)
+                    continue
+            skipped += 1
+            if slots is None or skipped > 2 or end is not None:
+                return None
+            continue
+        # the word after the component: a level, or the component itself after the name of a thread
+        if i - comp_end <= 2 and all(k == "space" or k in _CLOSER for k in kinds[comp_end:i]):
+            if level is None and _is_level(word) and (slots.level(place, after, bool(after)) if slots else end is not None and _style(word) == "level_upper"):
+                if end is not None or slots:
+                    level = i
+                    comp_end = max(comp_end, end if end is not None else i + 1)
+            elif slots and end is not None and end > i + 1 and level is not None and slots.component(place, after) and slots.share(place, after, comp_place) >= 0.9:
+                comp, comp_end = i, end
+        break
+    if comp is None:
+        return None
+    out = [("component" if i == comp else _style(p[i][1]) if i == level else k) for i, k in enumerate(kinds[: max(comp_end, (level or 0) + 1)])]
+    if out[-1] == "space":
+        out.pop()
+    return _SEP.join(out)
+
+
+def _spaced(kinds: list[str], level: int) -> bool:
+    """Whether the level name is followed by a colon and a space: what follows is then the message."""
+    return kinds[level + 1 : level + 3] == [":", "space"]
+
+
+_COMPILED: dict[str, re.Pattern[str] | None] = {}
+
+
+def _pattern(template: str) -> re.Pattern[str] | None:
+    if template not in _COMPILED:
+        if len(_COMPILED) > 20_000:
+            _COMPILED.clear()
+        kinds = template.split(_SEP)
+        text = "".join(_KINDS[k] if len(k) > 1 or k == "t" else re.escape(k) for k in kinds)
+        last = kinds[-1]
+        end = r"\s*$" if last == "component" else "" if last == ":" and "space" not in kinds[-2:] else r"(?=\s|$)"
+        try:
+            _COMPILED[template] = re.compile(text + end)
+        except re.error:  # two times of one kind
+            _COMPILED[template] = None
+    return _COMPILED[template]
+
+
+def _fit(template: str, line: str) -> _Head | None:
+    """The line read by a template."""
+    pattern = _pattern(template)
+    m = pattern.match(line) if pattern else None
     if not m:
         return None
     g = m.groupdict()
-    comp = g["c"]
-    if name == "tag" and comp.lower() in LEVELS:
-        return None
-    ts, part = _millis(g) if g.get("h") else (None, None)
-    return _Head(ts, part, _level(g["l"]) if g.get("l") else None, comp, line[m.end() :].strip())
-
-
-def _grammar(line: str) -> tuple[str, _Head] | None:
-    """The whole grammar, for lines of no mined template."""
-    first = line[0]
-    if first == "{":
-        h = _record(line)
-        return ("record", h) if h else None
-    for name, _ in _BY_FIRST.get(first, ()):
-        if h := _fit(name, line):
-            return name, h
-    if "=" in line and (h := _pairs(line)):
-        return "pairs", h
-    return None
-
-
-def _mined(line: str) -> str | None:
-    """A pattern for heads like the line, outside the grammar: a time, then within the counted words perhaps a level
-    word, and a component before a colon or in brackets. What lies between may be anything."""
-    for time in (_ISO, _DMY, _MONTH_DAY):
-        for a, b in (("", ""), (r"\[", r"\]")):
-            if m := re.match(a + time + b, line):
-                break
-        else:
-            continue
-        break
-    else:
+    ts = part = None
+    if g.get("h") and g.get("d"):
+        ts, part = _millis(g)
+    elif g.get("e"):
+        ts = _stamp(g["e"])
+    return _Head(ts, part, LEVELS.get(g["l"].lower()) if g.get("l") else None, g["c"], line[m.end() :].strip())
+
+
+def _begins(template: str, first: str) -> bool:
+    """Whether a line that begins with this character can fit."""
+    kind = template.split(_SEP, 1)[0]
+    if len(kind) == 1:
+        return first == kind
+    return first.isdigit() == (kind in ("ymd", "dmy", "mmdd", "clock", "epoch", "number"))
+
+
+_MAYBE = re.compile(rf".{{0,40}}?\d:\d\d:\d\d|[\[<(]?(?i:{_WORD})[^\w\s]|\W?\d{{10}}")
+
+
+def _outlier(line: str) -> _Head | None:
+    """A line of no mined template, by the rules alone."""
+    if not _MAYBE.match(line):
         return None
-    pattern, level = a + time + b, False
-    for word in line[m.end() :].split()[:HEAD_WORDS]:
-        core = word.strip("[]()<>:|,-")
-        if not core:
-            pattern += r"\s+" + re.escape(word)
-        elif not level and re.fullmatch(_WORD, core, re.I):
-            before, after = word.split(core, 1)
-            pattern, level = pattern + r"\s+" + re.escape(before) + _LEV + re.escape(after), True
-        elif re.fullmatch(rf"{_COMP}(?:\[\d+\])?:", word):
-            return pattern + rf"\s+{_COMP}(?:\[\d+\])?:(?:\s|$)"
-        elif re.fullmatch(rf"\[{_COMP}(?::\d+)?\]:?", word):
-            return pattern + rf"\s+\[{_COMP}(?::\d+)?\]:?(?:\s|$)"
-        else:
-            pattern += r"\s+\S+"
-    return None
-
-
-def _words(line: str) -> str:
-    """The masked words that begin a line, one blank between them: runs of digits as 0."""
-    return _DIGITS.sub("0", " ".join(line.split(None, HEAD_WORDS)[:HEAD_WORDS]))
+    template = _template(_pieces(line), None)
+    return _fit(template, line) if template else None
+
+
+#: The part of a line that may be a head: up to eight words, ending with the first of two plain words in a row.
+_HEAD = re.compile(r"(?:(?![a-z]+ +[a-z]+\b)\S+(?:\s+|$)){0,8}(?:[a-z]+\b)?")
+_MASK = {i: "0" for i in range(48, 58)}
 
 
 def _plain(line: str) -> str:
@@ -259,58 +395,113 @@ def _plain(line: str) -> str:
 
 
 def count_heads(lines: DataFrame) -> DataFrame:
-    """``words`` (array), ``n`` and a ``sample`` line for each run of masked words that begins unindented lines.
+    """``head`` (digits as 0, an end mark where the line goes on) and ``n``: how often each head begins an unindented
+    line that is no JSON record.
 
-    Counts are summed in the Python batch before the shuffle. Null and blank lines and indented ones count for
-    nothing."""
+    Counts are summed in each Python batch before the shuffle. Null, blank and indented lines count for nothing."""
 
-    def batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+    def batch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
             n: Counter[str] = Counter()
-            sample: dict[str, str] = {}
-            for line in pdf["line"]:
-                if not line or line[0] in " \t\r\n":
+            for line in b.column(0).to_pylist():
+                if not line:
                     continue
                 x = _plain(line)
-                if not x.strip() or x[0] in " \t\r\n":
+                if not x or x[0] in " \t\r\n{}":
                     continue
-                w = _words(x)
-                n[w] += 1
-                if n[w] == 1:
-                    sample[w] = x
+                m = _HEAD.match(x)
+                n[m.group() if m.end() == len(x) else m.group() + "\x1e"] += 1
+            masked: Counter[str] = Counter()
+            for head, k in n.items():
+                masked[head.translate(_MASK)] += k
+            if masked:
+                yield pa.RecordBatch.from_arrays([pa.array(masked.keys(), pa.string()), pa.array(masked.values(), pa.int64())], ["head", "n"])
+
+    return lines.select("line").mapInArrow(batch, "head string, n bigint").groupBy("head").agg(F.sum("n").alias("n"))
+
+
+def count_words(heads: DataFrame) -> DataFrame:
+    """``place``, ``after``, ``word`` and ``n``: the position-word counts. A word's place is what comes before it,
+    ``after`` the delimiter behind it. The values of key=value fields are counted at their key, ``word`` then says only
+    what they are (a time, a level, a word, other)."""
+
+    def batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            n: Counter[tuple[str, str, str]] = Counter()
+            for head, k in zip(pdf["head"], pdf["n"]):
+                if _PAIR.match(head):
+                    for key, v in _PAIR.findall(head.rstrip("\x1e")):
+                        kind = _value_kind(_unquote(v))
+                        n[key.lower() + "=", kind, v if kind in ("level", "word") else ""] += k
+                    continue
+                p = _pieces(head)
+                for i, place, after in _places(p):
+                    n[place, after, p[i][1]] += k
             if n:
-                yield pd.DataFrame({"words": [w.split(" ") for w in n], "n": list(n.values()), "sample": [sample[w] for w in n]})
+                yield pd.DataFrame([(*key, k) for key, k in n.items()], columns=["place", "after", "word", "n"])
+
+    counted = heads.mapInPandas(batch, "place string, after string, word string, n bigint")
+    return counted.groupBy("place", "after", "word").agg(F.sum("n").alias("n"))
 
-    heads = lines.select("line").mapInPandas(batch, "words array<string>, n bigint, sample string")
-    return heads.groupBy("words").agg(F.sum("n").alias("n"), F.min("sample").alias("sample"))
 
+def _value_kind(v: str) -> str:
+    if any(k in _TIMES and k != "epoch" for k, _ in _pieces(v, 3)):
+        return "time"
+    return "level" if _is_level(v) and len(v) > 1 else "word" if re.fullmatch(_IDENT, v) else "other"
 
-def mine_templates(heads: DataFrame, support: float = SUPPORT) -> tuple[set[tuple[int, str]], dict[tuple[str, ...], str]]:
-    """The frequent (position, word) constants and, for each frequent skeleton whose slots get roles, its layout: of
-    the grammar, else the pattern that both its samples fit.
 
-    At most ``HEAD_WORDS / support`` constants and ``1 / support`` skeletons come to the driver, however many lines
-    there are."""
+@dataclass
+class Mined:
+    """Templates with their counts, and the roles of keys in key=value lines."""
+
+    templates: dict[str, int] = field(default_factory=dict)
+    keys: dict[str, str] = field(default_factory=dict)
+
+
+def mine_templates(heads: DataFrame, support: float = SUPPORT) -> Mined:
+    """The frequent templates of heads, their slots with roles by what was counted at each place.
+
+    Places and templates of fewer than ``support`` of the heads are left to the fallback rules, so at most 8 / support
+    places and 1 / support templates come to the driver, however many lines there are."""
     total = heads.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return set(), {}
-    least = max(2.0, support * total)
-    at = heads.select(F.posexplode("words").alias("pos", "word"), "n")
-    constants = at.groupBy("pos", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    frequent = {(r["pos"], r["word"]) for r in constants.select("pos", "word").collect()}
-    known = F.broadcast(constants.select("pos", F.col("word"), F.lit(True).alias("known")))  # bounded by the support
-    slots = heads.withColumn("id", F.xxhash64("words")).select("id", "n", "sample", F.posexplode("words").alias("pos", "word")).join(known, ["pos", "word"], "left")
-    slot = F.when(F.col("known"), F.col("word")).otherwise("*")
-    skeletons = slots.groupBy("id").agg(F.first("n").alias("n"), F.first("sample").alias("sample"), F.transform(F.array_sort(F.collect_list(F.struct("pos", slot.alias("w")))), lambda s: s["w"]).alias("skeleton"))
-    found = skeletons.groupBy("skeleton").agg(F.sum("n").alias("n"), F.min("sample").alias("a"), F.max("sample").alias("b")).filter(F.col("n") >= least)
-    templates = {}
-    for r in found.collect():
-        fits = [_grammar(x) for x in (r["a"], r["b"])]
-        if all(fits) and fits[0][0] == fits[1][0]:
-            templates[tuple(r["skeleton"])] = fits[0][0]
-        elif not any(fits) and (pattern := _mined(r["a"])) and _fit(pattern, r["a"]) and _fit(pattern, r["b"]):
-            templates[tuple(r["skeleton"])] = pattern
-    return frequent, templates
+        return Mined()
+    least = max(1.0, support * total)
+    name = F.lower("word").isin(*[w for w in LEVELS if len(w) > 1]) | F.col("word").isin(*"DIWECF")
+    words = cut(count_words(heads))
+    by_place = words.groupBy("place", "after").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(name, F.col("n"))), F.lit(0)).alias("names"), F.count(F.when(~name, 1)).alias("words"))
+    frequent = by_place.filter((F.col("n") >= least)).collect()
+    counted = {(r["place"], r["after"]): (r["n"], r["names"], r["words"]) for r in frequent if not r["place"].endswith("=")}
+    shared = heads.sparkSession.sparkContext.broadcast((counted, least))
+
+    def batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = _Slots(*shared.value)
+        for pdf in it:
+            n: Counter[str] = Counter()
+            for head, k in zip(pdf["head"], pdf["n"]):
+                if not _PAIR.match(head) and (t := _template(_pieces(head), slots)):
+                    n[t] += k
+            if n:
+                yield pd.DataFrame({"template": list(n), "n": list(n.values())})
+
+    found = heads.mapInPandas(batch, "template string, n bigint").groupBy("template").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return Mined({r["template"]: r["n"] for r in found.collect()}, _key_roles(frequent))
+
+
+def _key_roles(frequent: list) -> dict[str, str]:
+    """Roles of keys by the kinds of their values; conventional names need no counts."""
+    at: dict[str, dict[str, tuple[int, int]]] = {}
+    for r in frequent:
+        if r["place"].endswith("="):
+            at.setdefault(r["place"][:-1], {})[r["after"]] = (r["n"], r["words"])
+    roles = {}
+    for key, kinds in at.items():
+        n = sum(k for k, _ in kinds.values())
+        for kind, role in (("time", "time"), ("level", "level"), ("word", "component")):
+            k, different = kinds.get(kind, (0, 0))
+            if k >= 0.9 * n and (role != "component" or (different <= 0.1 * k and key not in MESSAGE_KEYS)):
+                roles[key] = role
+    return roles
 
 
 _ENTRY = "job_id bigint, chunk bigint, first_seq bigint, last_seq bigint, ts bigint, part bigint, level string, component string, message string, rest string, kind string, has_head boolean, closed boolean"
@@ -324,12 +515,13 @@ class _Reader:
     the lines after it; of a lead, ``message`` is that of the record it may continue, ``closed`` whether it ends that
     record, and ``rest`` all its lines; after (beside such a lead) has the lines after that end."""
 
-    def __init__(self, frequent, templates, with_message: bool):
-        self.frequent, self.templates, self.with_message = frequent, templates, with_message
-        self.mined = sorted({*templates.values()} - {*_PATTERNS, "record", "pairs"})
+    def __init__(self, mined: Mined, with_message: bool):
+        self.keys, self.with_message = mined.keys, with_message
+        # the longest template first, then the commonest
+        self.templates = sorted(mined.templates, key=lambda t: (-len(t.split(_SEP)), -mined.templates[t], t))
+        self.by_first: dict[str, list[str]] = {}
         self.rows: list[tuple] = []
         self.at: tuple | None = None
-        self.layouts: dict[str, str | None] = {}  # of the masked heads met lately
 
     def begin(self, job: int, chunk: int) -> None:
         self.at = (job, chunk)
@@ -339,20 +531,17 @@ class _Reader:
         self.head: _Head | None = None
 
     def read(self, line: str) -> _Head | None:
-        words = _words(line)
-        if words in self.layouts:
-            layout = self.layouts[words]
-        else:
-            layout = self.templates.get(tuple([w if (i, w) in self.frequent else "*" for i, w in enumerate(words.split(" "))]))
-            if len(self.layouts) > 100_000:
-                self.layouts.clear()
-            self.layouts[words] = layout
-        if layout and (h := _fit(layout, line)):
+        first = line[0]
+        if first == "{":
+            return _record(line)
+        if first not in self.by_first:
+            self.by_first[first] = [t for t in self.templates if _begins(t, first)]
+        for t in self.by_first[first]:
+            if h := _fit(t, line):
+                return h
+        if "=" in line and (h := _pairs(line, self.keys)):
             return h
-        if found := _grammar(line):
-            return found[1]
-        # rare words after the head of a mined layout
-        return next((h for name in self.mined if (h := _fit(name, line))), None)
+        return _outlier(line)
 
     def line(self, seq: int, raw: str | None) -> None:
         if seq == self.seq:
@@ -431,15 +620,14 @@ def parse_entries(lines: DataFrame, jobs: DataFrame, with_message: bool = True,
     are ignored; empty tables give no rows."""
     spark = lines.sparkSession
     placed = lines.select("job_id", "seq", "line", "received_at").filter(F.col("job_id").isNotNull() & F.col("seq").isNotNull())
-    frequent, templates = mine_templates(cut(count_heads(placed)), support)
-    shared = spark.sparkContext.broadcast((frequent, templates))
+    shared = share(spark, mine_templates(cut(count_heads(placed)), support))
     schema = pa.schema([pa.field(n, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in _ENTRY.split(", "))])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(*shared.value, with_message)
+        reader = _Reader(shared(), with_message)
         here = None
         for b in it:
             for job, chunk, seq, line in zip(*[c.to_numpy().tolist() for c in b.columns[:3]], b.column(3).to_pylist()):

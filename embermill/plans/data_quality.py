@@ -54,6 +54,7 @@ def p3_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("p3_templates")
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
-    """The mined head templates: constants and slots, and the layout that gives the slots their roles."""
-    _, templates = logs.mine_templates(cut(logs.count_heads(table(spark, d, "log_lines"))))
-    return spark.createDataFrame([(" ".join(k), v) for k, v in sorted(templates.items())], "skeleton string, layout string")
+    """The mined head templates, their pieces separated by blanks, and the roles of keys in key=value lines."""
+    mined = logs.mine_templates(cut(logs.count_heads(table(spark, d, "log_lines"))))
+    found = [("head", t.replace("\x1f", " "), n) for t, n in sorted(mined.templates.items())] + [("key", f"{k}={role}", None) for k, role in sorted(mined.keys.items())]
+    return spark.createDataFrame(found, "kind string, template string, n bigint")

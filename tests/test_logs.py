@@ -89,10 +89,38 @@ def test_dirt(spark):
 def test_templates_are_mined(spark):
     texts = [f"2025-01-12 00:00:{i % 60:02d},480 - INFO - {c} - step {i}" for i in range(40) for c in ("a.b", "c.d")] + ["[film] x", "free text"]
     heads = logs.count_heads(lines(spark, texts))
-    frequent, templates = logs.mine_templates(heads, 0.05)
-    assert (1, "0:0:0,0") in frequent and (2, "-") in frequent
-    assert "dash" in templates.values()
-    assert logs.mine_templates(heads.limit(0)) == (set(), {})
+    mined = logs.mine_templates(heads, 0.05)
+    assert mined.templates == {"ymd space clock space - space level_upper space - space component space -".replace(" ", "\x1f"): 80}
+    assert logs.mine_templates(heads.limit(0)) == logs.Mined()
+
+
+def test_a_frequent_layout_that_no_rule_lists_is_mined(spark, monkeypatch):
+    texts = [f"<{level}> 12:00:{i % 60:02d}.{i:03d} 2024-03-08 worker-{i % 7} >> did step {i}" for i in range(250) for level in ("INFO", "WARN")]
+    texts += ["Traceback (most recent call last):", "  in a.py", "KeyError: 'x'"]
+    got = parse(spark, texts)
+    assert len(got) == 500 and got[-1][:2] == (499, 502)
+    assert got[3][:5] == (3, 3, 1709899201001, "WARNING", "worker-1") and got[3][5] == "did step 1"
+    monkeypatch.setattr(logs, "mine_templates", lambda heads, support: logs.Mined())
+    assert parse(spark, texts) == []  # what isn't mined is left to rules that believe only the common
+
+
+def test_roles_come_from_the_counts(spark):
+    """The same shape of line, once with few names before the colon, once with ever new ones; keys with unknown names."""
+    named = [f"2024-03-08 12:00:00 {('scanner', 'decoder')[i % 2]}: m{i}" for i in range(200)]
+    new = [f"2024-03-08 12:00:00 {chr(97 + i % 26)}{chr(97 + i // 26)}x: m{i}" for i in range(200)]
+    assert {r[4] for r in parse(spark, named)} == {"scanner", "decoder"} and len(parse(spark, named)) == 200
+    heads = logs.count_heads(lines(spark, new))
+    assert logs.mine_templates(heads).templates == {}
+    keyed = [f'at=2024-03-08T12:00:00Z sev={("info", "err")[i % 2]} part={("queue", "vae")[i % 2]} text="m {i}"' for i in range(100)]
+    got = parse(spark, keyed)
+    assert len(got) == 100 and {r[2:5] for r in got} == {(1709899200000, "INFO", "queue"), (1709899200000, "ERROR", "vae")}
+
+
+def test_mining_makes_a_difference_on_the_tables(spark, data, monkeypatch):
+    args = spark.read.parquet(f"{data}/log_lines.parquet"), spark.read.parquet(f"{data}/jobs.parquet"), False
+    whole = logs.parse_entries(*args).count()
+    monkeypatch.setattr(logs, "mine_templates", lambda heads, support: logs.Mined())
+    assert logs.parse_entries(*args).count() < whole
 
 
 def test_one_job_with_all_lines_is_spread(spark):
