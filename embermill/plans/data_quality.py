@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embermill.operators import compaction, gallery, logs
 from embermill.plans.registry import registry
-from embermill.session import cut
+from embermill.session import checkpoint_dir, cut
 from embermill.sources.tables import table
 
 #: Stored files in DuckDB: the plain path, then the latest scan.
@@ -42,6 +44,23 @@ def p1_packs(spark: SparkSession, d: str) -> DataFrame:
     return packs.groupBy("folder", "pack").agg(F.count("*").alias("n_images"), F.sum("size").alias("bytes"))
 
 
+#: Folders are far too many for partitions of a table; the first part of a path is the partition here.
+_SECTION = "CASE WHEN folder = '' THEN NULL ELSE split_part(folder, '/', 1) END"
+
+
+@registry.add("p1_rewritten", f"WITH {FILES_SQL} SELECT {_SECTION} AS section, path, size FROM files")
+def p1_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """The stored files as a table of many small files, written by several appends, after its compaction. The table
+    lies in the checkpoint folder."""
+    section = F.nullif(F.substring_index("folder", "/", 1), F.lit(""))
+    files = cut(gallery.stored_files(table(spark, d, "items")).select("path", "size", section.alias("section")))
+    t = compaction.CompactedTable(spark, f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}", "section")
+    for half in range(2):
+        t.append(files.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == half).repartition(16, "path"))
+    t.compact(min_files=24, small_bytes=1 << 20)
+    return t.read().select("section", "path", "size")
+
+
 @registry.add("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return logs.parse_entries(table(spark, d, "log_lines"), table(spark, d, "jobs"), with_message=False)

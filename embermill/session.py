@@ -33,13 +33,16 @@ def get_session(app: str = "embermill", cores: int | str = "*", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, a laptop)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local (tests,
+    a laptop). A cluster's executors share no temporary folder, so there the setting is required."""
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="embermill-checkpoint-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)

@@ -68,37 +68,81 @@ def fragmented(spark, tmp_path):
     path = str(tmp_path / "t")
     t = C.CompactedTable(spark, path, "folder")
     df = spark.range(4000).select("id", F.when(F.col("id") % 10 < 8, "hot one").otherwise("cold").alias("folder"))
-    t.append(df.filter("folder = 'hot one'").repartition(30), ["hot one"])
-    t.append(df.filter("folder = 'cold'").coalesce(1), ["cold"])
+    t.append(df.filter("folder = 'hot one'").repartition(30))
+    t.append(df.filter("folder = 'cold'").coalesce(1))
     return t, df
 
 
+def files_of(t, partition):
+    return sum(r["files"] for r in t.live().collect() if r["partition"] == partition)
+
+
 def test_compaction_keeps_the_rows(fragmented):
     t, df = fragmented
     before = rows(t.read().select("id", "folder"))
-    untouched = sorted(r["path"] for r in t.listing().filter("partition = 'cold'").collect())
     out = t.compact(min_files=10, target_bytes=1 << 20)
     assert (out["partitions"], out["files_before"], out["files_after"]) == (1, 30, 1)
     assert rows(t.read().select("id", "folder")) == before == rows(df)
-    assert sorted(r["path"] for r in t.listing().filter("partition = 'cold'").collect()) == untouched
+    assert (files_of(t, "hot one"), files_of(t, "cold")) == (1, 1)
     assert t.compact(min_files=10)["partitions"] == 0
     assert t.snapshot(out["version"])["op"] == "compact"
+    # a reader of an earlier snapshot keeps its rows until these are removed
+    assert rows(t.read(2).select("id", "folder")) == before
+    assert t.vacuum() == 1
+    assert rows(t.read().select("id", "folder")) == before and t.compact(min_files=10)["partitions"] == 0
+    t.append(df.limit(5))
+    assert t.read().count() == 4005
+
 
+def more(spark, lo, n=10, folder="hot one"):
+    return spark.range(lo, lo + n).select("id", F.lit(folder).alias("folder"))
 
-def test_compaction_gives_up_on_conflict(spark, fragmented):
+
+def test_an_append_beside_a_compaction_loses_nothing(spark, fragmented):
+    t, df = fragmented
+    want = rows(df.union(more(spark, 5000)))
+    # published between the plan and the commit
+    out = t.compact(min_files=10, before_commit=lambda: t.append(more(spark, 5000)))
+    assert out["partitions"] == 1 and rows(t.read().select("id", "folder")) == want
+    # an append whose files are there when the compaction plans and commits, published afterwards
+    t.append(more(spark, 6000, 300).repartition(30))
+    done = []
+    t.append(more(spark, 7000), before_publish=lambda: done.append(t.compact(min_files=10)))
+    want = sorted(want + [tuple(r) for r in more(spark, 6000, 300).union(more(spark, 7000)).collect()], key=repr)
+    assert done[0]["partitions"] == 1 and rows(t.read().select("id", "folder")) == want
+    # a writer that dies before it publishes has written nothing, and is cleared away
+    with pytest.raises(ZeroDivisionError):
+        t.append(more(spark, 8000), before_publish=lambda: 1 / 0)
+    assert rows(t.read().select("id", "folder")) == want
+    with pytest.raises(ZeroDivisionError):
+        t.append(more(spark, 9000, 300).repartition(30))
+        t.compact(min_files=10, before_commit=lambda: 1 / 0)
+    want = sorted(want + [tuple(r) for r in more(spark, 9000, 300).collect()], key=repr)
+    assert rows(t.read().select("id", "folder")) == want
+    t.vacuum(grace=0)
+    assert rows(t.read().select("id", "folder")) == want
+    assert t.compact(min_files=10)["partitions"] == 1 and rows(t.read().select("id", "folder")) == want
+
+
+def test_two_compactions_of_one_partition_conflict(spark, fragmented):
     t, df = fragmented
-    more = spark.range(5000, 5010).select("id", F.lit("hot one").alias("folder"))
-    with pytest.raises(C.ConflictError):
-        t.compact(min_files=10, before_commit=lambda: t.append(more, ["hot one"]))
-    assert t.read().count() == 4010
-    # a writer that leaves no snapshot is seen by the listing
     with pytest.raises(C.ConflictError):
-        t.compact(min_files=10, before_commit=lambda: more.write.mode("append").partitionBy("folder").parquet(t.path))
-    assert t.read().count() == 4020
-    # a change of another partition is no conflict
-    other = spark.range(6000, 6010).select("id", F.lit("cold").alias("folder"))
-    assert t.compact(min_files=10, before_commit=lambda: t.append(other, ["cold"]))["partitions"] == 1
-    assert t.read().count() == 4030
+        t.compact(min_files=10, before_commit=lambda: C.CompactedTable(spark, t.path, "folder").compact(min_files=10))
+    assert rows(t.read().select("id", "folder")) == rows(df) and files_of(t, "hot one") == 1
+
+
+def test_a_version_is_published_once(fragmented):
+    t, _ = fragmented
+    assert not t._publish(2, {"op": "append"})
+    assert t.snapshot(2)["op"] == "append" and t.versions() == [1, 2]
+
+
+def test_what_isn_t_taken(spark, fragmented):
+    t, df = fragmented
+    for bad in (df.withColumn("_gen", F.lit("x")), df.withColumn("folder", F.lit(1)), df.withColumn("id", F.lit("x")), df.withColumn("extra", F.lit(1))):
+        with pytest.raises(ValueError):
+            t.append(bad)
+    assert t.append(df.limit(0)) == 3 and rows(t.read().select("id", "folder")) == rows(df)
 
 
 def test_compaction_in_batches(spark, tmp_path):
@@ -115,6 +159,9 @@ def test_compaction_of_odd_names(spark, tmp_path):
     names = ["a+b/c d", "50%", "%2B", None, "ü=1"]
     df = spark.range(500).withColumn("folder", F.get(F.array(*[F.lit(n) for n in names]), (F.col("id") % 5).cast("int")))
     t.append(df.repartition(12))
+    t.append(df.filter("id < 0"))
     out = t.compact(min_files=10)
     assert (out["partitions"], out["files_after"]) == (5, 5)
     assert rows(t.read().select("id", "folder")) == rows(df)
+    t.append(df.limit(7))
+    assert t.vacuum() == 2 and t.read().count() == 507  # the replaced generation and the empty one
