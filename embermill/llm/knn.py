@@ -4,9 +4,11 @@ Vectors are scaled to length 1 (so Euclidean distance orders like cosine) and ex
 hashes a vector by several functions floor((a x + b) / w), a drawn from the normal distribution, which is 2-stable. A
 vector lies in its own bucket of every table, and asks its own and the perturbed buckets that most likely hold
 neighbours, in the order of the estimated success of each set of steps (the squared distances to the crossed
-boundaries). Buckets that hold too many vectors are cut into parts that every question visits, so no row is left out
-however dense a group is. (A plan of several levels first refines them by more functions, of which a question asks only
-its own cells: less work, but neighbours are lost.) Candidates are ranked by exact distance."""
+boundaries). How many tables, functions and probes are needed is measured on a bounded sample (``fitted_plan``).
+
+Buckets that hold too many vectors are cut into parts that every question visits, and the questions of one bucket into
+blocks, so no row is left out and no task holds an unbounded side, however dense a group is. Coordinates travel as two
+bytes each; all candidates that their rounding may have put in a wrong order are ranked by exact distance."""
 
 from __future__ import annotations
 
@@ -16,11 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from embermill.functions.vector import dot, let, norm
 from embermill.session import cut, share
@@ -31,13 +34,11 @@ class Plan:
     """Parameters of the index."""
 
     tables: int = 3
-    functions: int = 4  # of the coarsest bucket
-    step: int = 3  # functions added at each refinement
-    levels: int = 1  # more than one loses neighbours in overfull buckets
+    functions: int = 4
     width: float = 1.2
     probes: int = 4  # buckets asked in each table, with the own one
-    most: int = 4000  # vectors in a bucket before it is refined or cut
-    asked: int = 200_000  # questions to a part of a cut bucket that are compared at once
+    most: int = 4000  # vectors in a bucket before it is cut into parts
+    asked: int = 30_000  # questions to one part that are compared in one task
     seed: int = 17
 
 
@@ -50,12 +51,16 @@ def near_plan(n: int, bucket: int = 400) -> Plan:
 
 
 #: For the neighbours of stated questions, however far: wide buckets, most of which are asked. Where the nearest
-#: vectors are hardly nearer than the rest, no hashing finds them among less, so overfull buckets aren't refined: at
-#: any size of the table a question visits all parts of the buckets it asks.
+#: vectors are hardly nearer than the rest, no hashing finds them among less.
 FAR = Plan(tables=2, functions=2, width=1.4, probes=8)
+NEAR = 0.9  # the similarity from which on ``near_plan`` is for
 SIMILAR_DIGITS = 9
-SPARE = 3  # candidates kept beyond k, since one-byte coordinates rank them before the exact distance does
-SLACK = 0.01
+SLACK = 5e-4  # by how much two-byte coordinates may misplace a similarity, with a margin
+#: Bounds of the sample on which a plan is fitted: rows, and of these the questions.
+SAMPLE_ROWS, SAMPLE_QUESTIONS = 4_000, 300
+TARGET = 0.95  # recall on the sample
+MOVE = 200  # comparisons that cost as much as moving a question to a bucket
+SMALL = 500_000  # rows of two numbers that may be broadcast
 
 
 def usable(vectors: DataFrame, tensor: str, dim: int, vector: str = "e", id: str = "id") -> DataFrame:
@@ -66,21 +71,15 @@ def usable(vectors: DataFrame, tensor: str, dim: int, vector: str = "e", id: str
     return vectors.filter((F.col("tensor") == tensor) & F.col(id).isNotNull()).filter((F.size(e) == dim) & fine).select(F.col(id).alias("id"), e.cast("array<double>").alias("v"))
 
 
-def _unit(raw: pd.Series) -> np.ndarray:
-    x = np.stack(raw.to_numpy()).astype(np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 class _Hashes:
     """The functions of all tables; the same on every worker."""
 
     def __init__(self, p: Plan, dim: int):
         rng = np.random.default_rng(p.seed)
-        self.p, self.depth = p, p.functions + p.step * (p.levels - 1)
-        self.a = rng.standard_normal((p.tables, dim, self.depth))
-        self.b = rng.uniform(0, p.width, (p.tables, 1, self.depth))
-        self.mix = rng.integers(1, 2**63 - 1, self.depth, dtype=np.int64) | 1
+        self.p = p
+        self.a = rng.standard_normal((p.tables, dim, p.functions))
+        self.b = rng.uniform(0, p.width, (p.tables, 1, p.functions))
+        self.mix = rng.integers(1, 2**63 - 1, (p.tables, p.functions), dtype=np.int64) | 1
         self.sets = self._order(p.functions, p.probes)
 
     @staticmethod
@@ -99,73 +98,192 @@ class _Hashes:
                 heapq.heappush(heap, (s - score[j - 1] + score[j], (*a[:-1], j)))
         return np.array([[j in a for j in range(2 * m)] for a in out])
 
-    def keys(self, cells: np.ndarray) -> np.ndarray:
-        """The bucket keys of each level: rows x levels."""
-        p = self.p
+    def keys(self, cells: np.ndarray, t: int) -> np.ndarray:
+        """The keys of buckets; equal ones of different buckets only add comparisons."""
         with np.errstate(over="ignore"):
-            run = np.cumsum((cells.astype(np.int64) + 7919) * self.mix, axis=1)
-        return run[:, [p.functions - 1 + p.step * k for k in range(p.levels)]]
+            return ((cells.astype(np.int64) + 7919) * self.mix[t]).sum(1) + t
 
-    def home(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    def _cells(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         u = (x @ self.a[t] + self.b[t]) / self.p.width
         cells = np.floor(u)
         return cells, u - cells
 
-    def ask(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, keys of each level) of the asked buckets of table ``t``: steps are taken in the functions of the
-        coarsest level; a refined bucket is asked in the question's own cells of the finer functions."""
+    def home(self, x: np.ndarray, t: int) -> np.ndarray:
+        return self.keys(self._cells(x, t)[0], t)
+
+    def ask(self, x: np.ndarray, t: int) -> np.ndarray:
+        """The keys of the asked buckets of table ``t``, probes x rows."""
         m = self.p.functions
-        cells, part = self.home(x, t)
-        to = np.concatenate([part[:, :m], 1 - part[:, :m]], axis=1)
+        cells, part = self._cells(x, t)
+        to = np.concatenate([part, 1 - part], axis=1)
         order = np.argsort(to, axis=1, kind="stable")
-        rows, keys = [], []
+        out = []
         for s in self.sets:
             c = cells.copy()
             for j in np.flatnonzero(s):
                 which = order[:, j]
                 c[np.arange(len(x)), which % m] += np.where(which < m, -1, 1)
-            rows.append(np.arange(len(x)))
-            keys.append(self.keys(c))
-        return np.concatenate(rows), np.concatenate(keys)
+            out.append(self.keys(c, t))
+        return np.array(out)
 
 
 def _codes(x: np.ndarray) -> np.ndarray:
-    """Coordinates as one byte each, in units of the vector's largest."""
-    return np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+    """Coordinates as two bytes each, in units of the vector's largest."""
+    return np.rint(x * (32767 / np.abs(x).max(1, keepdims=True))).astype(np.int16)
 
 
-def _coded(raw: pd.Series) -> np.ndarray:
+def _coded(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The unit vectors of a column of codes."""
-    x = np.frombuffer(b"".join(raw.tolist()), np.int8).reshape(len(raw), -1).astype(np.float32)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(flat):
+        return np.zeros((0, 1), np.float32)
+    ends = np.frombuffer(flat.buffers()[1], np.int64 if pa.types.is_large_binary(flat.type) else np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    x = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int16).reshape(len(flat), -1).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _binary(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    step = x.shape[1] * x.itemsize
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(step)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per direction: class and v; the class of every id). Directions equal to nine digits are one class, so
-    copies, whatever their number, are hashed and compared once."""
+    """(one row per direction: class and code; the class of every id). Directions equal to nine digits are one class,
+    so copies, whatever their number, are hashed and compared once."""
 
-    def keyed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for pdf in it:
-            if len(pdf):
-                x = _unit(pdf["v"])
-                yield pd.DataFrame({"id": pdf["id"], "key": [hashlib.md5(r.tobytes()).digest() for r in np.round(x, SIMILAR_DIGITS) + 0.0], "u": [c.tobytes() for c in _codes(x)]})
+        for b in it:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                key = [hashlib.md5(r.tobytes()).digest() for r in np.round(x, SIMILAR_DIGITS) + 0.0]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), _binary(_codes(x))], ["id", "key", "u"])
 
     kind = dict(rows.dtypes)["id"]
-    k = rows.mapInPandas(keyed, f"id {kind}, key binary, u binary")
+    k = rows.select("id", "v").mapInArrow(keyed, f"id {kind}, key binary, u binary")
     k = cut(k.groupBy("id").agg(F.min(F.struct("key", "u")).alias("s")).select("id", "s.key", "s.u"))
     first = k.groupBy("key").agg(F.min("id").alias("class"), F.min_by("u", "id").alias("u"), F.count("*").alias("copies"))
     members = k.select("id", "key").join(first.select("key", "class", "copies"), "key").select("id", "class", "copies")
-    return first.select("class", "u", "copies"), members
+    return first.select("class", "u"), members
+
+
+def fitted_plan(first: DataFrame, k: int, target: float = TARGET) -> Plan:
+    """The cheapest plan by which the questions of a sample find a share of at least ``target`` of their ``k`` nearest
+    among all rows, found by comparing them with every row. ``first``: class and u (codes).
+
+    The sample is bounded (``SAMPLE_ROWS``, ``SAMPLE_QUESTIONS``; by a hash). Where no plan of less reaches the target,
+    everything is compared."""
+    n = first.count()
+    some = first.select("class", "u").orderBy(F.xxhash64("class"), "class").limit(SAMPLE_ROWS).toArrow()
+    held = _coded(some["u"])
+    questions, ids = held[:SAMPLE_QUESTIONS], some["class"].to_numpy()[:SAMPLE_QUESTIONS]
+    shared = share(first.sparkSession, (questions, ids))
+    kind = dict(first.dtypes)["class"]
+
+    def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = shared()
+        for b in it:
+            for lo in range(0, b.num_rows, 20_000):
+                part = b.slice(lo, 20_000)
+                s = q @ _coded(part.column(1)).T
+                s[own[:, None] == part.column(0).to_numpy()[None, :]] = -9
+                at = np.argsort(-s, axis=1)[:, :k]
+                r = np.repeat(np.arange(len(q)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), part.column(0).take(pa.array(at.ravel())), pa.array(s[r, at.ravel()].astype(float)), part.column(1).take(pa.array(at.ravel()))], ["q", "class", "s", "u"])
+
+    found = first.select("class", "u").mapInArrow(nearest, f"q int, class {kind}, s double, u binary")
+    order = W.partitionBy("q").orderBy(F.desc("s"), "class")
+    true = found.filter("s > -2").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("q", "u").toArrow()
+    everything = Plan(tables=1, functions=1, width=100.0, probes=3)
+    if not true.num_rows:
+        return everything
+    of, near = true["q"].to_numpy(), _coded(true["u"])
+    best, least = everything, math.inf
+    for functions in range(1, 17):
+        for width in (1.2, 1.8):
+            plan = Plan(4, functions, width, min(64, 3**functions))
+            h = _Hashes(plan, held.shape[1])
+            rank, share_of = [], []
+            for t in range(plan.tables):
+                asked = h.ask(questions, t)
+                hit = asked[:, of] == h.home(near, t)[None, :]
+                rank.append(np.where(hit.any(0), hit.argmax(0), 10**6))
+                keys, sizes = np.unique(h.home(held, t), return_counts=True)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                share_of.append((np.where(keys[at] == asked, sizes[at], 0) / len(held)).mean(1).cumsum())
+            for tables in range(1, plan.tables + 1):
+                first_hit = np.min(rank[:tables], axis=0)
+                for probes in range(1, len(share_of[0]) + 1):
+                    cost = n * sum(c[probes - 1] for c in share_of[:tables]) + MOVE * tables * (probes + 1)
+                    if cost < least and (first_hit < probes).mean() >= target:
+                        best, least = Plan(tables, functions, width, probes), cost
+    return best
+
+
+def _sides(first: DataFrame, asked: DataFrame, plan: Plan, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(place, class, u) of the questions and of the held vectors. A place is one part of a bucket with one block of
+    its questions: neither side has many more rows than ``plan.asked`` and ``plan.most``."""
+    hashes, kind = share(first.sparkSession, _Hashes(plan, dim)), dict(first.dtypes)["class"]
+
+    def counts(side: str):
+        def batch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h = hashes()
+            for b in it:
+                x = _coded(b.column(0))
+                if len(x):
+                    key, n = np.unique(np.concatenate([h.home(x, t) if side == "held" else h.ask(x, t).ravel() for t in range(plan.tables)]), return_counts=True)
+                    none = np.zeros(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n if side == "held" else none), pa.array(none if side == "held" else n)], ["key", "held", "asked"])
+
+        return batch
+
+    def homes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashes()
+        for b in it:
+            x = _coded(b.column(1))
+            for t in range(plan.tables if len(x) else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(h.home(x, t)), b.column(0), b.column(1)], ["key", "class", "u"])
+
+    def questions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashes()
+        for b in it:
+            x = _coded(b.column(1))
+            for t in range(plan.tables if len(x) else 0):
+                for keys in h.ask(x, t):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), b.column(1)], ["key", "class", "u"])
+
+    # the buckets that hold or are asked too much, counted in the batches first
+    size = "key bigint, held bigint, asked bigint"
+    load = first.select("u").mapInArrow(counts("held"), size).unionByName(asked.select("u").mapInArrow(counts("asked"), size))
+    load = load.groupBy("key").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).filter((F.col("held") > 0) & ((F.col("held") > plan.most) | (F.col("asked") > plan.asked)))
+    cuts = cut(load.select("key", F.ceil(F.col("held") / plan.most).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("asked") / plan.asked)).cast("int").alias("blocks")))
+    cuts = F.broadcast(cuts) if cuts.count() <= SMALL else cuts
+    shape = f"key bigint, class {kind}, u binary"
+
+    def placed(side: DataFrame, one: str, every: str) -> DataFrame:
+        """The part (of the held vectors) and block (of the questions) of each row: one of the ones, all others."""
+        side = side.join(cuts, "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "blocks")})
+        side = side.withColumn(one, F.pmod(F.xxhash64("class", F.lit(one)), F.col(one)).cast("int"))
+        side = side.withColumn(every, F.explode(F.sequence(F.lit(0), F.col(every) - 1)))
+        return side.select(F.xxhash64("key", "parts", "blocks").alias("place"), "class", "u")
+
+    held = placed(first.select("class", "u").mapInArrow(homes, shape), "parts", "blocks")
+    asks = placed(asked.select("class", "u").mapInArrow(questions, shape), "blocks", "parts")
+    return asks, held
 
 
 def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: DataFrame | None = None, least: float = -1.0) -> DataFrame:
     """(id, neighbour, rank, similarity): for every row (or every one of ``asking``, with column id) the ``k`` most
     similar other rows that the index finds, by cosine similarity, ties by id.
 
-    ``rows``: id and v (array<double>), all usable and of one length; repeated rows count once. With ``least``, only neighbours of at
-    least that similarity. A row's copies are its neighbours of similarity 1; of larger groups of copies each row
+    ``rows``: id and v (array<double>), all usable and of one length; repeated rows count once. With ``least``, only
+    neighbours of at least that similarity. Without a plan, ``near_plan`` serves a ``least`` of 0.9 or more, and
+    ``fitted_plan`` any other. A row's copies are its neighbours of similarity 1; of larger groups of copies each row
     gets ``k``. Rows without any other row in their buckets come out without neighbours."""
     spark = rows.sparkSession
     head = rows.select(F.size("v")).first()
@@ -175,101 +293,47 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
     dim = head[0]
     first, members = _classes(rows)
     first, members = cut(first), cut(members)
-    plan = plan or near_plan(first.count())
+    if plan is None:
+        plan = near_plan(first.count()) if least >= NEAR else fitted_plan(first, k)
     asked = first if asking is None else first.join(members.join(asking.select("id"), "id", "left_semi").select("class").distinct(), "class")
-    shared = share(spark, _Hashes(plan, dim))
-    levels, most, tables = plan.levels, plan.most, plan.tables
-    level_columns = ", ".join(f"k{i} bigint" for i in range(levels))
-
-    def homes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = shared()
-        for pdf in it:
-            if len(pdf):
-                x = _coded(pdf["u"])
-                for t in range(tables):
-                    keys = h.keys(h.home(x, t)[0])
-                    yield pd.DataFrame({"t": t, "class": pdf["class"], "u": pdf["u"], **{f"k{i}": keys[:, i] for i in range(levels)}})
-
-    def questions(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = shared()
-        for pdf in it:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
-                x = _coded(part["u"])
-                for t in range(tables):
-                    row, keys = h.ask(x, t)
-                    yield pd.DataFrame({"t": t, "class": part["class"].to_numpy()[row], "u": part["u"].to_numpy()[row], **{f"k{i}": keys[:, i] for i in range(levels)}})
-
-    shape = f"t int, class {kind}, u binary, {level_columns}"
-    index = first.select("class", "u").mapInPandas(homes, shape)
-    ask = asked.select("class", "u").mapInPandas(questions, shape)
-    # how full each bucket is, by level; only the overfull ones are kept
-    light = index.select("t", *[f"k{i}" for i in range(levels)])
-    full = light.select("t", F.posexplode(F.array(*[f"k{i}" for i in range(levels)])).alias("level", "key")).groupBy("t", "level", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    full = cut(full)
-    # how many questions the cut buckets get: these are compared in blocks, so that no task holds all of them
-    last = ask.select("t", F.col(f"k{levels - 1}").alias("key")).groupBy("t", "key").agg(F.count("*").alias("q"))
-    cuts = full.filter(F.col("level") == levels - 1).drop("level").join(last, ["t", "key"], "left")
-    cuts = cut(cuts.select("t", F.col("key").alias(f"k{levels - 1}"), F.ceil(F.col("n") / most).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.coalesce("q", F.lit(0)) / plan.asked)).cast("int").alias("blocks")))
-
-    def placed(side: DataFrame) -> DataFrame:
-        """The bucket of each row: that of the first level that isn't overfull, else the last, in parts (of the held
-        vectors) and blocks (of the questions)."""
-        for i in range(levels - 1):
-            this = full.filter(F.col("level") == i).select("t", F.col("key").alias(f"k{i}"), F.col("n").alias(f"n{i}"))
-            side = side.join(this, ["t", f"k{i}"], "left")
-        side = side.join(cuts, ["t", f"k{levels - 1}"], "left")
-        level, key = F.lit(levels - 1), F.col(f"k{levels - 1}")
-        for i in reversed(range(levels - 1)):
-            level = F.when(F.col(f"n{i}").isNull(), F.lit(i)).otherwise(level)
-            key = F.when(F.col(f"n{i}").isNull(), F.col(f"k{i}")).otherwise(key)
-        count = [F.when(level == levels - 1, F.coalesce(c, F.lit(1))).otherwise(1).alias(c) for c in ("parts", "blocks")]
-        return side.select("t", level.alias("level"), key.alias("key"), *count, "class", "u")
-
-    def one(n: str) -> Column:
-        return F.pmod(F.xxhash64("class", F.lit(n)), F.col(n)).cast("int")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    held = placed(index).withColumn("part", one("parts")).withColumn("block", every("blocks"))
-    asks = placed(ask).withColumn("part", every("parts")).withColumn("block", one("blocks"))
-    keep = k + SPARE
-
-    def rank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Questions against the vectors of one bucket, in blocks: the best of each question."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"class": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "s": np.zeros(0)})
-        right = right.sort_values("class")
-        other = right["class"].to_numpy()
-        b = _coded(right["u"])
-        out = []
-        for lo in range(0, len(left), 1024):
-            part = left.iloc[lo : lo + 1024]
-            own = part["class"].to_numpy()
-            s = _coded(part["u"]) @ b.T
-            s[own[:, None] == other[None, :]] = -9
-            if s.shape[1] > keep:
-                best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            else:
-                best = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            got = np.take_along_axis(s, best, 1)
-            r, c = np.nonzero(got >= max(least - SLACK, -2))
-            out.append(pd.DataFrame({"class": own[r], "other": other[best[r, c]], "s": got[r, c].astype(float)}))
-        return pd.concat(out)
+    asks, held = _sides(first, asked, plan, dim)
+    number = to_arrow_type(first.schema["class"].dataType)
+    found_types = pa.schema([("class", number), ("other", number), ("s", pa.float32())])
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Questions against the vectors of one part of a bucket, in slices: the best of each question, with all that
+        may be as good."""
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            a, b = _coded(left["u"]), _coded(right["u"])
+            own, other = left["class"].to_numpy(), right["class"].to_numpy()
+            order = np.argsort(other)
+            b, other = np.ascontiguousarray(b[order].T), other[order]
+            for lo in range(0, len(a), 1024):
+                s, mine = a[lo : lo + 1024] @ b, own[lo : lo + 1024]
+                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+                same = np.flatnonzero(other[at] == mine)
+                s[same, at[same]] = -9
+                low = np.full(len(s), max(least, -2.0) - SLACK, np.float32)
+                many = np.flatnonzero((s >= low[:, None]).sum(1) > k) if least > -1 else np.arange(len(s) if s.shape[1] > k else 0)
+                if len(many):
+                    low[many] = np.maximum(low[many], np.partition(s[many], -k, axis=1)[:, -k] - SLACK)
+                r, c = np.nonzero(s >= low[:, None])
+                out.append((mine[r], other[c], s[r, c]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, found_types)], schema=found_types)
 
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = ["t", "level", "key", "part", "block"]
-    found = (
-        asks.select(*place, "class", "u").repartition(parts, *place).groupBy(*place)
-        .cogroup(held.select(*place, "class", "u").repartition(parts, *place).groupBy(*place))
-        .applyInPandas(rank, f"class {kind}, other {kind}, s double")
-    )
-    # single precision chose the candidates; the order is made in double from the vectors themselves
+    found = asks.repartition(parts, "place").groupBy("place").cogroup(held.repartition(parts, "place").groupBy("place")).applyInArrow(rank, f"class {kind}, other {kind}, s float")
+    # the order is made in double from the vectors themselves
     pairs = found.groupBy("class", "other").agg(F.max("s").alias("s"))
-    few = pairs.withColumn("r", F.row_number().over(W.partitionBy("class").orderBy(F.desc("s"), "other"))).filter(F.col("r") <= keep).select("class", "other")
+    kth = F.nth_value("s", k).over(W.partitionBy("class").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    few = cut(pairs.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("s") >= F.col("kth") - SLACK)).select("class", "other"))
+    exact = rows.select(F.col("id").alias("class"), "v")
+    if few.count() <= SMALL:
+        exact = exact.join(F.broadcast(few.select("class").union(few.select("other")).distinct()), "class", "left_semi")
     scaled = let(F.array_max(F.transform("v", lambda x: F.abs(x))), lambda m: F.transform("v", lambda x: x / m))
-    exact = rows.select(F.col("id").alias("class"), scaled.alias("v"))
+    exact = exact.select("class", scaled.alias("v"))
     exact = exact.select("class", let(norm(F.col("v")), lambda n: F.transform("v", lambda x: x / n)).alias("v"))
     both = few.join(exact, "class").join(exact.select(F.col("class").alias("other"), F.col("v").alias("w")), "other")
     both = both.select("class", "other", F.round(dot(F.col("v"), F.col("w")), 12).alias("s")).groupBy("class", "other").agg(F.max("s").alias("s")).filter(F.col("s") >= least)

@@ -34,11 +34,11 @@ def test_near_pairs_against_brute_force(spark):
     assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
-def test_hot_buckets_are_refined_and_cut_without_loss(spark):
+def test_hot_buckets_are_cut_without_loss(spark):
     x = np.random.default_rng(1).standard_normal((400, 8)) * 0.05 + 1
     want = {(i, j) for i, near in brute(x, 3).items() for j, _ in near}
     rows = K.usable(table(spark, enumerate(x)), "t", 8)
-    got = {(r["id"], r["neighbour"]) for r in K.neighbours(rows, 3, K.Plan(tables=3, functions=1, step=1, levels=2, width=2.0, probes=3, most=50)).collect()}
+    got = {(r["id"], r["neighbour"]) for r in K.neighbours(rows, 3, K.Plan(tables=3, functions=1, width=2.0, probes=3, most=50)).collect()}
     assert len(got & want) >= 0.97 * len(want)
 
 
@@ -92,6 +92,48 @@ def test_blocks_of_questions_lose_nothing(spark):
     assert whole == blocks
 
 
+@pytest.mark.parametrize("n", [40_000, 160_000])
+def test_no_task_holds_a_hot_group(spark, n):
+    """Nearly a third of all rows around one direction (cosine 0.98): the questions of the group step into the same
+    few buckets, which are cut on both sides."""
+    rng = np.random.default_rng(0)
+    centre = rng.standard_normal(64)
+    x = np.concatenate([centre / np.linalg.norm(centre) + 0.018 * rng.standard_normal((3 * n // 10, 64)), rng.standard_normal((n - 3 * n // 10, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    first = spark.createDataFrame(pd.DataFrame({"class": np.arange(n), "u": [c.tobytes() for c in K._codes(x)]}))
+    asks, held = K._sides(first, first, K.near_plan(n), 64)
+    largest = lambda df: df.groupBy("place").count().agg({"count": "max"}).first()[0]
+    assert largest(asks) <= 31_000 and largest(held) <= 4_400
+
+
+def test_recall_of_the_default_plan(spark, data):
+    """Every vector of the table's tensors, however far its neighbours are."""
+    v = spark.read.parquet(f"{data}/vectors.parquet").unionByName(spark.read.parquet(f"{data}/../sf0.01/vectors.parquet").selectExpr("id + 1000000 as id", "tensor", "corpus", "rel", "e"))
+    for tensor, dim in (("clip", 64), ("embeds", 48)):
+        rows = K.usable(v, tensor, dim)
+        p = rows.toPandas().sort_values("id")
+        want = {(a, b) for a, near in brute(np.stack(p["v"].to_numpy()), 5).items() for b, _ in near}
+        at = dict(zip(p["id"].tolist(), range(len(p))))
+        got = {(at[r["id"]], at[r["neighbour"]]) for r in K.neighbours(rows, 5).collect()}
+        assert len(got & want) >= 0.9 * len(want)
+
+
+def test_a_fitted_plan_reads_less_than_everything(spark):
+    """Where neighbours are near, few buckets are enough, and the recall holds for rows outside the sample."""
+    x = clustered(12_000, 32, 3)
+    rows = K.usable(spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "tensor": "t", "e": list(x)})), "t", 32)
+    plan = K.fitted_plan(K._classes(rows)[0], 5)
+    assert plan.functions > 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ask = np.arange(0, len(x), 20)
+    s = u[ask] @ u.T
+    s[np.arange(len(ask)), ask] = -9
+    want = {(i, j) for i, near in zip(ask.tolist(), np.argpartition(-s, 5, axis=1)[:, :5].tolist()) for j in near}
+    got = {(r["id"], r["neighbour"]) for r in K.neighbours(rows, 5, plan, asking=rows.filter("id % 20 = 0")).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert K.fitted_plan(K._classes(rows.limit(0))[0], 5).probes == 3
+
+
 def test_copies(spark):
     """A group of copies links every member to k others, and costs no pair for each pair of copies."""
     x = [[1.0, 0, 0]] * 40 + [[2.0, 0, 0]] * 3 + [[0, 1.0, 0.01]] * 2 + [[0, 1.0, 0.02]]
