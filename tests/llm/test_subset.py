@@ -41,6 +41,65 @@ def test_more_than_there_is(spark):
     assert S.varied(table(spark, x[:10]), 0).collect() == [] == S.varied(table(spark, x[:10]).limit(0), 5).collect()
 
 
+def test_more_than_one_round(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROUND", 16)
+    x, which = kinds(5)
+    got = [r["id"] for r in S.varied(table(spark, x).repartition(3), 60).orderBy("rank").collect()]
+    assert len(set(got)) == 60 and len(set(which[got[:30]])) == 21
+
+
+def test_the_result_is_a_function_of_the_data(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 100)
+    x, _ = kinds(6)
+    first, second = ([r["id"] for r in S.varied(table(spark, x[::1]).repartition(n), 30).orderBy("rank").collect()] for n in (2, 9))
+    assert first == second
+
+
+def test_rows_that_stand_for_nothing_but_themselves_come_late(spark):
+    """Groups before single rows, though a single row is the farthest from all others."""
+    x, which = kinds(7)
+    lone = np.random.default_rng(8).standard_normal((200, 32))
+    got = [r["id"] for r in S.varied(table(spark, np.concatenate([x, 3 * lone])), 21).collect()]
+    assert sum(i < len(x) for i in got) >= 19 and len({which[i] for i in got if i < len(x)}) >= 19
+
+
+def groups(x, least, size=5):
+    """Connected components of at least ``size`` rows at a cosine of ``least``; -1 for the rest."""
+    s = x @ x.T >= least
+    label = np.full(len(x), -1)
+    for i in range(len(x)):
+        if label[i] < 0:
+            todo = [i]
+            label[i] = i
+            while todo:
+                near = np.flatnonzero(s[todo.pop()] & (label < 0))
+                label[near] = i
+                todo += near.tolist()
+    few = np.bincount(label, minlength=len(x)) < size
+    return np.where(few[label], -1, label)
+
+
+def test_groups_and_distances_of_the_tables_against_random_picks(spark, data):
+    """More groups are touched, and the mean distance to the nearest pick is less, than by any of 20 random draws."""
+    from embermill.llm import knn
+
+    rows = knn.usable(spark.read.parquet(f"{data}/../sf0.1/vectors.parquet"), "clip", 64)
+    p = rows.toPandas().sort_values("id").reset_index(drop=True)
+    x = np.stack(p["v"].to_numpy())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = dict(zip(p["id"], p.index))
+    picks = [at[r["id"]] for r in S.varied(rows, 200).orderBy("rank").collect()]
+    labels = groups(x, 0.6), groups(x, 0.9)
+
+    def measures(k):
+        return *(len({*g[k].tolist()} - {-1}) for g in labels), np.sqrt(np.maximum(2 - 2 * (x @ x[k].T).max(1), 0)).mean()
+
+    for n in (12, 48, 200):
+        draws = [measures(np.random.default_rng(i).choice(len(x), n, False)) for i in range(20)]
+        a, b, far = measures(picks[:n])
+        assert a > max(d[0] for d in draws) and b > max(d[1] for d in draws) and far < min(d[2] for d in draws)
+
+
 def test_copies_come_last(spark):
     x = [[1.0, 0, 0]] * 50 + [[0, 2.0, 0]] + [[0, 0, 0.5]] + [[3.0, 0, 0]] * 2
     got = [r["id"] for r in S.varied(table(spark, x).repartition(3), 6).orderBy("rank").collect()]
@@ -60,7 +119,7 @@ def test_pivots_span():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((40, 3)) @ rng.standard_normal((3, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    k = S.pivoted(x, np.ones(40), 10, 0.0)
+    k = S.pivoted(x, np.ones(40), 10)
     assert len(k) == 3
     q = np.linalg.qr(x[k].T)[0]
     assert np.abs(x - x @ q @ q.T).max() < 1e-9
