@@ -65,26 +65,34 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, r
 def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str = "n_tokens", max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Every item in one container of each kind of ``containers`` (container, capacity_tokens).
 
-    Columns: container, bin, ``id``, piece, start, n_tokens. An item above the capacity is cut into full containers
-    and one rest, which is packed like an item; no other item is cut. Null and negative sizes count as 0; items of
-    size 0 take a place but no tokens. Without ``max_docs`` a container takes as many documents as tokens, without
-    ``max_cost`` the square of its tokens; neither binds items that have tokens. Rows with equal ids are separate
-    items, ties of size go by id. Kinds without name or positive capacity are left out; empty tables give no rows."""
+    Columns: container, bin, ``id``, piece, start, n_tokens. An item that no container holds, for its tokens or its
+    attention cost, is cut into pieces as large as one holds, each with a container to itself, and one rest, which is
+    packed like an item; no other item is cut. Null and negative sizes count as 0; items of size 0 take a place but no
+    tokens. The limits ``max_docs`` and ``max_cost`` hold for every kind, those of columns with these names in
+    ``containers`` for theirs; without any, a container takes as many documents as tokens and the square of its tokens
+    in cost, which binds no items that have tokens. Rows with equal ids are separate items, ties of size go by id.
+    Kinds without name or positive capacity are left out; empty tables give no rows."""
     spark, kind = items.sparkSession, dict(items.dtypes)[id]
     sized = cut(items.select(F.col(id).alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size")))
-    kinds = sorted({(r["container"], int(r["capacity_tokens"])) for r in containers.select("container", "capacity_tokens").collect() if r["container"] is not None and (r["capacity_tokens"] or 0) > 0})  # the settings
+    limits = {}
+    for r in containers.collect():  # the settings
+        r = r.asDict()
+        if r["container"] is not None and (r["capacity_tokens"] or 0) > 0:
+            cap = int(r["capacity_tokens"])
+            limits[r["container"], cap] = max(1, int(r.get("max_docs") or max_docs or cap)), max(1.0, float(r.get("max_cost") or max_cost or float(cap) ** 2))
+    kinds = sorted((c, cap, min(cap, math.isqrt(int(cost)))) for (c, cap), (_, cost) in limits.items())
     if not kinds:
         return spark.createDataFrame([], T.StructType.fromDDL(f"container string, bin string, {id} {kind}, piece int, start bigint, n_tokens bigint"))
-    each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in kinds])
+    each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity"), F.lit(k).cast("bigint").alias("largest")) for c, n, k in kinds])
     # rows are told apart by number, not id: of one id (or none) there may be any number
     both = sized.select("id", "size", F.monotonically_increasing_id().alias("row"), F.inline(each))
-    full = F.floor(F.col("size") / F.col("capacity")).cast("int")
-    cuts = both.filter(F.col("size") > F.col("capacity")).withColumn("pieces", full)
-    whole = cuts.select("container", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    whole = whole.select("container", F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), F.col("piece").cast("string")).alias("bin"), "id", "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("size"))
-    rest = F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size"))
-    piece = F.when(F.col("size") > F.col("capacity"), full).otherwise(0)
-    todo = both.filter((F.col("size") <= F.col("capacity")) | (rest > 0)).select("container", "capacity", "row", "id", piece.alias("piece"), (piece * F.col("capacity")).alias("start"), rest.alias("size"))
+    over, full = F.col("size") > F.col("largest"), F.floor(F.col("size") / F.col("largest")).cast("int")
+    cuts = both.filter(over).withColumn("pieces", full)
+    whole = cuts.select("container", "largest", "row", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    whole = whole.select("container", F.concat_ws("-", F.lit("full"), F.col("row").cast("string"), F.col("piece").cast("string")).alias("bin"), "id", "piece", (F.col("piece") * F.col("largest")).alias("start"), F.col("largest").alias("size"))
+    rest = F.when(over, F.col("size") % F.col("largest")).otherwise(F.col("size"))
+    piece = F.when(over, full).otherwise(0)
+    todo = both.filter(~over | (rest > 0)).select("container", "capacity", "row", "id", piece.alias("piece"), (piece * F.col("largest")).alias("start"), rest.alias("size"))
 
     schema = f"container string, capacity bigint, row bigint, bin string, id {kind}, piece int, start bigint, size bigint, again boolean"
 
@@ -93,7 +101,7 @@ def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str
             pdf = pdf.sort_values(["size", "id", "row"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             cap = int(pdf["capacity"].iloc[0])
             sizes = pdf["size"].to_numpy()
-            bins = best_fit(sizes, cap, max_docs or cap, max_cost or float(cap) ** 2, rule)
+            bins = best_fit(sizes, cap, *limits[pdf["container"].iloc[0], cap], rule)
             fill = np.bincount(bins, weights=sizes)
             held = np.bincount(bins)
             again = np.zeros(len(fill), bool)

@@ -7,6 +7,7 @@ merge by a group-by, and the percentile is read off the running count."""
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,22 +43,24 @@ def merge(*sketches: DataFrame) -> DataFrame:
 
 def percentiles(counts: DataFrame, keys: list[str], wanted: tuple[float, ...], error: float = ERROR) -> DataFrame:
     """``keys``, ``q``, ``estimate``, ``low``, ``high``, ``n``: the value of rank floor(q * (n - 1)) is in
-    [low, high], and within ``error`` of the estimate. Groups without values have no rows."""
+    [low, high], and within ``error`` of the estimate. The counts may be those of one sketch or of several, not yet
+    merged. Groups without values have no rows."""
     if any(not 0 <= q <= 1 for q in wanted):
         raise ValueError("percentiles lie between 0 and 1")
-    merged = counts.groupBy(*keys, "sign", "bucket").agg(F.sum("n").alias("n"))
+    whole = merge(counts.select(*keys, "sign", "bucket", "n"))
     order = F.col("sign") * (F.col("bucket").cast("bigint") + 10_000_000)
     w = W.partitionBy(*keys)  # a group's buckets, a bounded number
     upto = F.sum("n").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    run = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(w))
+    run = whole.withColumn("upto", upto).withColumn("total", F.sum("n").over(w))
     run = run.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in wanted])))
     rank = F.floor(F.col("q") * (F.col("total") - 1))
     hit = run.filter((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
     width = math.log1p(2 * error / (1 - error))
-    upper = F.exp(F.col("bucket") * width)
-    lower = F.exp((F.col("bucket") - 1) * width)
-    gamma = (1 + error) / (1 - error)
-    middle = upper * (2 / (gamma + 1))
+    upper, lower = F.exp(F.col("bucket") * width), F.exp((F.col("bucket") - 1) * width)
+    gamma, largest = (1 + error) / (1 - error), F.lit(sys.float_info.max)
+    # the last bucket ends beyond the largest double, which then is the bound
+    middle = F.when(upper <= largest, upper * (2 / (gamma + 1))).otherwise(F.least(lower * (2 * gamma / (gamma + 1)), largest))
+    upper = F.least(upper, largest)
     zero = F.lit(0.0)
     pick = lambda pos, neg: F.when(F.col("sign") == 0, zero).when(F.col("sign") > 0, pos).otherwise(-neg)
     return hit.select(*keys, "q", pick(middle, middle).alias("estimate"), pick(lower, upper).alias("low"), pick(upper, lower).alias("high"), F.col("total").alias("n"))

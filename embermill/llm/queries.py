@@ -14,6 +14,7 @@ from embermill.sources.tables import table
 DIMENSIONS = {"clip": 64, "embeds": 48}
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 DEFAULT_BACKEND = "sd15"
+DOCS_A_BIN, COST_SHARE = 4, 0.4  # limits of ``p7_limited``; the cost as a share of the square of the capacity
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
@@ -38,12 +39,17 @@ def p2_sketch(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_days(spark: SparkSession, d: str) -> DataFrame:
     """The sketches of separate days; ``merge`` of all of them, without the day, is ``p2_sketch``."""
+    return quantiles.merge(_counted(spark, d))
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by backend and day, which may repeat."""
     by_job = quantiles.sketch(measured(spark, d), ["job", "day"], "dist").join(backends(spark, d), "job")
-    return quantiles.merge(by_job.select("backend", F.col("day").cast("string").alias("day"), "sign", "bucket", "n"))
+    return by_job.select("backend", F.col("day").cast("string").alias("day"), "sign", "bucket", "n")
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = quantiles.percentiles(quantiles.merge(p2_days(spark, d).drop("day")), ["backend"], PERCENTILES)
+    p = quantiles.percentiles(_counted(spark, d).drop("day"), ["backend"], PERCENTILES)
     return p.withColumns({c: F.round(c, 9) for c in ("estimate", "low", "high")})
 
 
@@ -97,6 +103,13 @@ def p7_placed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "containers"))
 
 
+def p7_limited(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p7_placed``, with limits that bind beside the tokens: places for documents, and attention cost."""
+    sizes = tokenizer.encode(table(spark, d, "documents"), counts_only=True)
+    kinds = table(spark, d, "containers").withColumns({"max_docs": F.lit(DOCS_A_BIN), "max_cost": COST_SHARE * F.col("capacity_tokens").cast("double") ** 2})
+    return packing.pack(sizes, kinds)
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How many containers of each kind there are, and how many there must be at least."""
     capacity = table(spark, d, "containers").select("container", "capacity_tokens").distinct()
@@ -153,5 +166,5 @@ SQL = {
 
 
 def register(registry) -> None:
-    for f in (p2_percentiles, p2_sketch, p2_days, p4_found, p4_neighbours, p5_picked, p6_ids, p6_decoded, p7_placed, p7_fill, p8_found, p8_levels, p8_profile):
+    for f in (p2_percentiles, p2_sketch, p2_days, p4_found, p4_neighbours, p5_picked, p6_ids, p6_decoded, p7_placed, p7_limited, p7_fill, p8_found, p8_levels, p8_profile):
         registry.add(f.__name__, SQL.get(f.__name__))(f)

@@ -65,6 +65,28 @@ def test_dirt(spark):
     assert P.pack(items.limit(0), kinds).collect() == [] == P.pack(items, kinds.limit(0)).collect()
 
 
+def test_equal_and_null_ids_above_the_capacity_are_separate_items(spark):
+    items, kinds = frames(spark, [(1, 30, None, None, None), (1, 30, None, None, None), (None, 25, None, None, None), (None, 25, None, None, None), (2, 10, None, None, None)], [("ten", 10)])
+    got = P.pack(items, kinds).toPandas()
+    assert got.groupby("bin")["n_tokens"].sum().max() == 10 and got["n_tokens"].sum() == 120
+    assert sorted(got[got["doc_id"].isna()]["piece"].tolist()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_the_query_with_every_limit_binding(spark, data):
+    """Places and attention cost bind beside the tokens; no container exceeds any of the three."""
+    from embermill.llm import queries as Q
+
+    got = Q.p7_limited(spark, data).toPandas()
+    caps = {r["container"]: r["capacity_tokens"] for r in spark.read.parquet(f"{data}/containers.parquet").collect()}
+    per = got.assign(cost=got["n_tokens"].astype(float) ** 2).groupby(["container", "bin"]).agg(tokens=("n_tokens", "sum"), docs=("doc_id", "size"), cost=("cost", "sum")).reset_index()
+    for c, cap in caps.items():
+        g = per[per["container"] == c]
+        assert g["tokens"].max() <= cap and g["docs"].max() == Q.DOCS_A_BIN and g["cost"].max() <= Q.COST_SHARE * cap**2
+        single = g["docs"] > 1
+        assert (g[single]["cost"] > 0.8 * Q.COST_SHARE * cap**2).any()
+    assert got.groupby(["container", "doc_id"])["n_tokens"].sum().groupby("container").sum().nunique() == 1
+
+
 def test_document_limit(spark):
     items, kinds = frames(spark, [(i, 1, None, None, None) for i in range(100)], [("short", 512)])
     got = P.pack(items, kinds, max_docs=8).toPandas()
