@@ -45,53 +45,66 @@ def total_variance(vectors: DataFrame) -> DataFrame:
     return c.groupBy("tensor").agg(F.sum("s").alias("total_var"))
 
 
-def covariance(vectors: DataFrame, dim: int) -> DataFrame:
-    """(tensor, i, j, cov), i <= j: the sample covariances. Each task adds up outer products of its vectors; one row
-    of dim * dim numbers per tensor and task is shuffled. Vectors of another length or with nulls are left out."""
+def _moments(vectors: DataFrame, dim: int) -> DataFrame:
+    """(tensor, at, v): the number of vectors (at 0), their sum (from 1) and the sum of their outer products (from
+    dim + 1). The vectors are read once; one row of these numbers per tensor and task is shuffled. Vectors of another
+    length or with nulls are left out."""
 
     def sums(it):
         acc: dict = {}
         for pdf in it:
             for t, g in pdf.groupby("tensor", dropna=False):
                 x = np.stack(g["e"].to_numpy()).astype(float)
-                n, s, o = acc.get(t, (0, 0.0, 0.0))
-                acc[t] = (n + len(x), s + x.sum(0), o + x.T @ x)
+                acc[t] = acc.get(t, 0.0) + np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
         if acc:
-            yield pd.DataFrame({"tensor": list(acc), "n": [a[0] for a in acc.values()], "s": [list(a[1]) for a in acc.values()], "o": [list(a[2].ravel()) for a in acc.values()]})
+            yield pd.DataFrame({"tensor": list(acc), "v": list(acc.values())})
 
     fine = vectors.filter((F.size("e") == dim) & F.forall("e", lambda x: x.isNotNull())).select("tensor", F.col("e").cast("array<double>").alias("e"))
     kind = dict(vectors.dtypes)["tensor"]
-    part = fine.mapInPandas(sums, f"tensor {kind}, n bigint, s array<double>, o array<double>")
-    o = part.select("tensor", F.posexplode("o").alias("at", "o")).groupBy("tensor", "at").agg(F.sum("o").alias("o"))
-    s = part.select("tensor", "n", F.posexplode("s").alias("pos", "s")).groupBy("tensor", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    o = o.withColumn("i", F.floor(F.col("at") / dim).cast("int")).withColumn("j", (F.col("at") % dim).cast("int")).filter("i <= j")
-    a = s.select("tensor", F.col("pos").alias("i"), F.col("s").alias("si"), "n")
-    b = s.select("tensor", F.col("pos").alias("j"), F.col("s").alias("sj"))
-    c = o.join(a, ["tensor", "i"]).join(b, ["tensor", "j"])
-    return c.filter("n > 1").select("tensor", "i", "j", ((F.col("o") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+    part = fine.mapInPandas(sums, f"tensor {kind}, v array<double>")
+    return part.select("tensor", F.posexplode("v").alias("at", "v")).groupBy("tensor", "at").agg(F.sum("v").alias("v"))
+
+
+def _matrix(pdf: pd.DataFrame, dim: int) -> tuple[int, np.ndarray]:
+    """(n, the covariance matrix) from the moments of a tensor."""
+    v = np.zeros(1 + dim + dim * dim)
+    v[pdf["at"]] = pdf["v"]
+    n, s, o = round(v[0]), v[1 : dim + 1], v[dim + 1 :].reshape(dim, dim)
+    return n, (o - np.outer(s, s) / max(n, 1)) / max(n - 1, 1)
+
+
+def covariance(vectors: DataFrame, dim: int) -> DataFrame:
+    """(tensor, i, j, cov), i <= j: the sample covariances; none for fewer than two vectors. The matrix, as wide as a
+    vector however many there are, is put together in one task per tensor."""
+    kind = dict(vectors.dtypes)["tensor"]
+
+    def upper(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, c = _matrix(pdf, dim)
+        i, j = np.triu_indices(dim) if n > 1 else (np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"tensor": [pdf["tensor"].iloc[0]] * len(i), "i": i, "j": j, "cov": c[i, j]})
+
+    return _moments(vectors, dim).groupBy("tensor").applyInPandas(upper, f"tensor {kind}, i int, j int, cov double")
 
 
 def principal_axes(vectors: DataFrame, dim: int, components: int) -> DataFrame:
     """(tensor, k, std, axis): the leading principal axes by falling std, at most n - 1 of them.
 
     The covariance matrix of each tensor, whose size is that of the vectors and not of the data, is decomposed in one
-    task per tensor. An axis points so that its largest coordinate is positive."""
-    cov = covariance(vectors, dim)
-    n = vectors.filter(F.size("e") == dim).groupBy("tensor").agg(F.count("*").alias("n"))
+    task per tensor; the vectors are read once. An axis points so that its largest coordinate is positive."""
     kind = dict(vectors.dtypes)["tensor"]
 
     def eig(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros((dim, dim))
-        c[pdf["i"], pdf["j"]] = pdf["cov"]
-        c = np.triu(c) + np.triu(c, 1).T
+        n, c = _matrix(pdf, dim)
+        if n < 2:
+            return pd.DataFrame({"tensor": [], "k": [], "std": [], "axis": []})
         val, vec = np.linalg.eigh(c)
-        k = max(1, min(components, int(pdf["n"].iloc[0]) - 1, dim))
+        k = max(1, min(components, n - 1, dim))
         order = np.argsort(val)[::-1][:k]
         axes = vec[:, order].T
         axes *= np.sign(axes[np.arange(k), np.abs(axes).argmax(1)])[:, None]
         return pd.DataFrame({"tensor": pdf["tensor"].iloc[0], "k": range(k), "std": np.sqrt(np.clip(val[order], 0, None)), "axis": list(axes)})
 
-    return cov.join(n, "tensor").groupBy("tensor").applyInPandas(eig, f"tensor {kind}, k int, std double, axis array<double>")
+    return _moments(vectors, dim).groupBy("tensor").applyInPandas(eig, f"tensor {kind}, k int, std double, axis array<double>")
 
 
 def variance_fraction(axes: DataFrame, total: DataFrame) -> DataFrame:

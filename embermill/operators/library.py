@@ -14,15 +14,18 @@ from pyspark.sql import Window as W
 from embermill.session import cut
 
 # Which file names belong to which bucket; the first prefix that fits counts.
-BUCKETS = (("anarchy_", "generated"), ("temperature_sweep_", "temperature"), ("sampler_sweep_", "sampler"), ("mined_marginals_", "marginals"))
+BUCKETS = (("anarchy_", "generated"), ("temperature_sweep", "temperature"), ("sampler_sweep", "sampler"), ("mined_marginals", "marginals"))
 FIRST_STAR, SMALLEST_SCORE = 80, 5.0
+SLOT = 0.001  # relative width of the slots of ``index_quantiles``
+MOST_KEYS = 64  # keyframes of a film
 
 
 def bucket_of(name: Column) -> Column:
+    """The gallery's bucket of a file name; null for names of no bucket, which the gallery doesn't show."""
     c = F.when(F.lit(False), F.lit(None).cast("string"))
     for prefix, bucket in BUCKETS:
         c = c.when(name.startswith(prefix), bucket)
-    return c.otherwise("other")
+    return c
 
 
 def gallery(items: DataFrame, **caches: DataFrame) -> DataFrame:
@@ -153,17 +156,23 @@ def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, mean to 2 digits, lo, hi): values of the raw ranks n // 4 and 3n // 4 (not interpolated), without
     nulls.
 
-    No group is gathered: values are counted once each, and the ranks found on running counts over value ranges."""
+    No group is gathered: values are counted once each, and the ranks found on running counts, first over logarithmic
+    slots of a fixed relative width (so that wild values leave the others apart), then within the slots that hold a
+    wanted rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 2).alias("mean"), F.min(value).alias("_a"), F.max(value).alias("_b"))
-    slot = F.least(F.lit(1023), F.floor((F.col(value) - F.col("_a")) / F.greatest(F.col("_b") - F.col("_a"), F.lit(1e-300)) * 1024))
-    c = counts.join(stats, keys).withColumn("_s", slot)
-    slots = c.groupBy(*keys, "_s").agg(F.sum("c").alias("_m"))
-    before = slots.withColumn("_before", F.coalesce(F.sum("_m").over(W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    run = F.sum("c").over(W.partitionBy(*keys, "_s").orderBy(value)) + F.col("_before")
-    at = c.join(before.select(*keys, "_s", "_before"), [*keys, "_s"]).withColumn("_upto", run)
-    hit = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
-    return at.groupBy(*keys, "n", "mean").agg(hit(F.floor(F.col("n") / 4)).alias("lo"), hit(F.floor(3 * F.col("n") / 4)).alias("hi"))
+    stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 2).alias("mean"))
+    x = F.col(value)
+    slot = F.when(x == 0, 0).otherwise(F.signum(x).cast("int") * (F.ceil(F.log(F.abs(x)) / SLOT).cast("int") + 1_000_000))
+    counts = counts.withColumn("_s", slot)
+    w = W.partitionBy(*keys).orderBy("_s")  # a bounded number of slots
+    slots = counts.groupBy(*keys, "_s").agg(F.sum("c").alias("_m")).withColumn("_end", F.sum("_m").over(w)).join(stats, keys)
+    lo, hi = F.floor(F.col("n") / 4), F.floor(3 * F.col("n") / 4)
+    start = F.col("_end") - F.col("_m")
+    held = [(start <= r) & (r < F.col("_end")) for r in (lo, hi)]
+    slots = slots.filter(held[0] | held[1]).select(*keys, "_s", "n", "mean", start.alias("_before"))
+    at = counts.join(slots, [*keys, "_s"]).withColumn("_upto", F.sum("c").over(W.partitionBy(*keys, "_s").orderBy(value)) + F.col("_before"))
+    hit = lambda rank: F.min(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank), x))
+    return at.groupBy(*keys, "n", "mean").agg(hit(lo).alias("lo"), hit(hi).alias("hi"))
 
 
 def novelty(vectors: DataFrame, asking: DataFrame | None = None, block: int = 16_384) -> DataFrame:
@@ -247,10 +256,13 @@ def wipe_candidates(scores: DataFrame, keep: DataFrame, least: float = SMALLEST_
 
 def keyframe_tensors(vectors: DataFrame, keys: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     """(key, missing, e): for each keyframe the wanted tensors' vectors by name, and the names of those it lacks. Only
-    the wanted tensors are read. ``vectors``: (key, tensor, e); keyframes are a short list."""
-    got = vectors.filter(F.col("tensor").isin(*wanted)).join(F.broadcast(keys.select("key").limit(64)), "key", "left_semi")
+    the wanted tensors are read. ``vectors``: (key, tensor, e). More than 64 keyframes are an error."""
+    keys = cut(keys.select("key"))
+    if keys.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keyframes")
+    got = vectors.filter(F.col("tensor").isin(*wanted)).join(F.broadcast(keys), "key", "left_semi")
     have = got.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("tensor", "e"))).alias("e"))
-    out = keys.select("key").join(have, "key", "left")
+    out = keys.join(have, "key", "left")
     names = F.array(*[F.lit(t) for t in wanted])
     return out.select("key", F.array_except(names, F.coalesce(F.map_keys("e"), F.array().cast("array<string>"))).alias("missing"), "e")
 
@@ -258,3 +270,13 @@ def keyframe_tensors(vectors: DataFrame, keys: DataFrame, wanted: tuple[str, ...
 def incremental(todo: DataFrame, done: DataFrame, key: str, work) -> DataFrame:
     """What is done already, and ``work`` on the rest: nothing is computed twice, and a repeated run adds nothing."""
     return done.unionByName(work(todo.join(done.select(key), key, "left_anti")))
+
+
+def films(videos: DataFrame, manifests: DataFrame) -> DataFrame:
+    """The films, newest first: ``videos`` (dir, name, mtime, size), each with its folder's manifest (dir, text of
+    film.json; repeated ones count once), whose fields are null where it is missing or no JSON."""
+    fields = "frames int, fps double, refine string, interp string, easing string, loop boolean, backend string, duration double, keyframes array<string>"
+    parsed = F.from_json("text", f"{fields}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    m = manifests.groupBy("dir").agg(F.min("text").alias("text")).select("dir", parsed.alias("m"))
+    known = [F.when(F.col("m._broken").isNull(), F.col(f"m.{f.split()[0]}")).alias(f.split()[0]) for f in fields.split(", ")]
+    return videos.join(m, "dir", "left").select("dir", "name", "mtime", "size", *known).orderBy(F.desc("mtime"), "dir", "name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,26 +15,37 @@ from pyspark.sql import Window as W
 BACKENDS, DEFAULT_BACKEND = ("flux2", "krea2", "sdxl", "sd2"), "sd15"
 
 
+def _named(name: Column, backends: tuple[str, ...], end: str = "_") -> Column:
+    """The first of the backends that a file's name tells behind the studio's mark, or null. Letter case counts."""
+    c = F.when(F.lit(False), F.lit(""))
+    for b in backends:
+        c = c.when(name.contains(f"anarchy_{b}{end}"), b)
+    return c
+
+
 def backend_of(name: Column) -> Column:
     """The backend that a file's name tells."""
-    c = F.when(F.lit(False), F.lit(""))
-    for b in BACKENDS:
-        c = c.when(F.lower(name).contains(b), b)
-    return c.otherwise(DEFAULT_BACKEND)
+    return F.coalesce(_named(name, BACKENDS), F.lit(DEFAULT_BACKEND))
+
+
+def starred_backend(name: Column) -> Column:
+    """The backend of a starred image; null where its name tells none."""
+    return _named(name, ("sdxl", "sd15", "sd2", "flux2", "krea2"))
 
 
 def backend_variants(name: Column, sidecar: Column) -> dict[str, Column]:
     """How the reference's tools tell a backend, which differ: by the name alone; by the sidecar first (films); for
-    refining, where the two flow models count as sdxl; for upscaling, which knows three; for inverting, which wants the
-    backend behind the first word and else gives nothing."""
+    refining, where the two flow models count as sdxl and nothing need follow the backend; for upscaling, which knows
+    three and ignores any other sidecar; for inverting, which takes what stands behind the mark that begins the name."""
     by_name = backend_of(name)
-    three = F.when(F.lower(name).contains("sdxl"), "sdxl").when(F.lower(name).contains("sd2"), "sd2").otherwise(DEFAULT_BACKEND)
+    three = ("sd15", "sd2", "sdxl")
+    refine = F.when(_named(name, ("sdxl", "flux2", "krea2"), "").isNotNull(), "sdxl")
     return {
         "by_name": by_name,
-        "film": F.coalesce(sidecar, by_name),
-        "refine": F.when(by_name.isin("flux2", "krea2"), "sdxl").otherwise(by_name),
-        "upscale": F.coalesce(sidecar, three),
-        "invert": F.regexp_extract(name, r"^[a-z]+_(sd15|sd2|sdxl|flux2|krea2)_", 1),
+        "film": F.coalesce(F.nullif(sidecar, F.lit("")), by_name),
+        "refine": F.coalesce(refine, _named(name, ("sd2",), ""), F.lit(DEFAULT_BACKEND)),
+        "upscale": F.coalesce(F.when(sidecar.isin(*three), sidecar), _named(name, three), F.lit(DEFAULT_BACKEND)),
+        "invert": F.regexp_extract(name, r"^anarchy_([a-z0-9]+)_", 1),
     }
 
 
@@ -79,7 +91,22 @@ def as_flag(text: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    return F.when(n > 1_000_000, F.concat(F.format_number(n / 1e6, "0.0"), F.lit("M"))).otherwise(F.concat(F.format_number(n / 1e3, "0"), F.lit("K")))
+    """Bytes as the gallery shows them: above a million in millions with one digit (the nearer tenth, of two equally
+    near ones the larger), else in rounded thousands."""
+    million = n / 1e6
+    tenth = F.floor(million * 10)
+    tenth = F.when(million - tenth / 10 < (tenth + 1) / 10 - million, tenth).otherwise(tenth + 1)
+    large = F.concat(F.floor(tenth / 10).cast("string"), F.lit("."), F.pmod(tenth, F.lit(10)).cast("string"), F.lit("M"))
+    return F.when(n > 1_000_000, large).otherwise(F.concat(F.floor(n / 1e3 + 0.5).cast("string"), F.lit("K")))
+
+
+def duration(started: Column, ended: Column) -> Column:
+    """The time between two timestamps, in whole seconds, from a minute on in minutes and seconds; empty without a
+    start."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    s = F.greatest(F.lit(0), F.floor((micros(ended) - micros(started)) / 1e6 + 0.5))
+    text = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s")))
+    return F.when(started.isNull(), "").otherwise(text)
 
 
 def move(df: DataFrame, at: int, to: int) -> DataFrame:
@@ -99,23 +126,26 @@ def move(df: DataFrame, at: int, to: int) -> DataFrame:
 # --- arithmetic -----------------------------------------------------------------------------------------------------
 
 
-class _Sum:
-    """Recursive descent over + - * / % ^ (to the right), signs and parentheses."""
+_LEXEME = re.compile(r" *(?:([0-9]*\.?[0-9]+)|([-+*/%^()]))")
 
-    def __init__(self, text: str):
-        self.s, self.i = text, 0
 
-    def _next(self) -> str:
-        while self.i < len(self.s) and self.s[self.i].isspace():
-            self.i += 1
-        return self.s[self.i] if self.i < len(self.s) else ""
+class _Sum:
+    """Recursive descent over lexemes: sums of products of powers (to the right). A sign belongs to the number or
+    parenthesis behind it, so it binds tighter than a power. Only blanks may separate lexemes."""
 
-    def _take(self, chars: str) -> str:
-        c = self._next()
-        if c and c in chars:
-            self.i += 1
-            return c
-        return ""
+    def __init__(self, text: str):
+        self.lexemes: list = []
+        at, text = 0, text.strip()
+        while at < len(text):
+            m = _LEXEME.match(text, at)
+            if not m:
+                raise ValueError(f"{text[at]!r} in an expression")
+            self.lexemes.append(float(m.group(1)) if m.group(1) else m.group(2))
+            at = m.end()
+
+    def _take(self, wanted: str) -> str:
+        head = self.lexemes[0] if self.lexemes else None
+        return self.lexemes.pop(0) if isinstance(head, str) and head in wanted else ""
 
     def sum(self) -> float:
         v = self.product()
@@ -125,49 +155,65 @@ class _Sum:
         return v
 
     def product(self) -> float:
-        v = self.sign()
+        v = self.power()
         while op := self._take("*/%"):
-            w = self.sign()
+            w = self.power()
             v = v * w if op == "*" else v / w if op == "/" else math.fmod(v, w)
         return v
 
-    def sign(self) -> float:
-        if op := self._take("+-"):
-            v = self.sign()
-            return -v if op == "-" else v
-        return self.power()
-
     def power(self) -> float:
         v = self.atom()
-        return float(v ** self.sign()) if self._take("^") else v
+        return float(v ** self.power()) if self._take("^") else v
 
     def atom(self) -> float:
+        if op := self._take("+-"):
+            v = self.atom()
+            return -v if op == "-" else v
         if self._take("("):
             v = self.sum()
             if not self._take(")"):
                 raise ValueError("unclosed")
             return v
-        self._next()
-        j = self.i
-        while j < len(self.s) and (self.s[j].isdigit() or self.s[j] == "."):
-            j += 1
-        v = float(self.s[self.i : j])
-        self.i = j
-        return v
+        if not self.lexemes or isinstance(self.lexemes[0], str):
+            raise ValueError("a number is missing")
+        return self.lexemes.pop(0)
 
 
 def calculate(text: str | None) -> float | None:
     """The value of an arithmetic expression; None for anything else, and where it isn't finite."""
     if text is None or not text.strip():
         return None
-    p = _Sum(text)
     try:
+        p = _Sum(text)
         v = p.sum()
-        return float(v) if not p._next() and not isinstance(v, complex) and math.isfinite(v) else None
+        return float(v) if not p.lexemes and not isinstance(v, complex) and math.isfinite(v) else None
     except (ValueError, ZeroDivisionError, OverflowError, TypeError, RecursionError):
         return None
 
 
+def field_text(text: str | None, whole: bool) -> str | None:
+    """What a number field shows after an expression was typed: its value, rounded to whole or to six digits, halves
+    up; None where there is nothing to change."""
+    v = calculate(text)
+    if v is None:
+        return None
+    n = math.floor(v + 0.5) if whole else math.floor(v * 1e6 + 0.5) / 1e6
+    shown = f"{n:.6f}".rstrip("0").rstrip(".")
+    shown = "0" if shown == "-0" else shown
+    return None if shown == text.strip() else shown
+
+
+def with_field(df: DataFrame, text: str, whole: str, out: str = "shown") -> DataFrame:
+    """``df`` with what the fields show; ``whole`` names a boolean column."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def shown(s: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([field_text(a, bool(b)) for a, b in zip(s, w)], dtype=object)
+
+    return df.withColumn(out, shown(F.col(text), F.col(whole)))
+
+
 def with_value(df: DataFrame, text: str, out: str = "value") -> DataFrame:
     """``df`` with the value of the expressions in a column; Arrow batches, since no built-in function parses."""
     from pyspark.sql.functions import pandas_udf

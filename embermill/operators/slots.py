@@ -49,13 +49,14 @@ def backend(name: str) -> Backend:
     return _BACKENDS[name]
 
 
-# Tensors of the known backends (tokens, features), prompts encoded at once, knobs.
+# Tensors of the known backends (tokens, features), prompts encoded at once, knobs. The features of the
+# flow models are those of the text encoder that is loaded, which a slot with an encoder states.
 for _name, _tensors, _batch, _knobs in (
-    ("sd15", {"embeds": (77, 768)}, 16, {"steps": 30, "guidance": 7.5, "width": 512}),
-    ("sd2", {"embeds": (77, 1024)}, 16, {"steps": 30, "guidance": 7.5, "width": 768}),
-    ("sdxl", {"prompt_embeds": (77, 2048), "pooled": (1280,)}, 8, {"steps": 30, "guidance": 6.0, "width": 1024}),
-    ("flux2", {"embeds": (128,)}, 8, {"steps": 28, "guidance": 4.0, "width": 1024}),
-    ("krea2", {"embeds": (64,)}, 8, {"steps": 28, "guidance": 4.5, "width": 1024}),
+    ("sd15", {"embeds": (77, 768)}, 16, {"steps": 30, "guidance": 7.5, "height": 512, "width": 512}),
+    ("sd2", {"embeds": (77, 1024)}, 16, {"steps": 30, "guidance": 9.0, "height": 768, "width": 768}),
+    ("sdxl", {"prompt_embeds": (77, 2048), "pooled": (1280,)}, 8, {"steps": 1, "guidance": 0.0, "height": 1024, "width": 1024}),
+    ("flux2", {}, 8, {"steps": 28, "guidance": 4.0, "height": 1024, "width": 1024}),
+    ("krea2", {}, 8, {"steps": 28, "guidance": 4.5, "height": 1024, "width": 1024}),
 ):
     register(Backend(_name, _tensors, _knobs, _batch))
 

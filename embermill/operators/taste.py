@@ -65,21 +65,33 @@ def first_gradient(rows: DataFrame, rate: float = RATE) -> DataFrame:
     return g.groupBy("pos").agg((-rate * F.sum(F.col("g") * F.col("x"))).alias("w"))
 
 
-def weighted_choice(counts: DataFrame, draws: DataFrame, prior: float = 1.0) -> DataFrame:
+def weighted_choice(counts: DataFrame, draws: DataFrame, prior: float | dict[str, float] = 1.0) -> DataFrame:
     """(draw, choice): for each uniform ``u`` the option whose share of count + prior it falls into, options by name.
-    ``counts`` (option, n) is a short list of options and is broadcast."""
+    ``counts`` (option, n) is a short list of options and is broadcast. With a prior for each option, these are the
+    options, and those that weren't counted have their prior alone."""
+    if isinstance(prior, dict):
+        p = counts.sparkSession.createDataFrame([(k, float(v)) for k, v in prior.items()], "option string, prior double")
+        counts = p.join(counts, "option", "left").select("option", (F.coalesce("n", F.lit(0)) + F.col("prior")).alias("weight"))
+    else:
+        counts = counts.select("option", (F.col("n") + prior).alias("weight"))
     w = W.orderBy("option").rowsBetween(W.unboundedPreceding, 0)
-    c = counts.withColumn("upto", F.sum(F.col("n") + prior).over(w))
-    total = counts.agg(F.sum(F.col("n") + prior).alias("total"))
+    c = counts.withColumn("upto", F.sum("weight").over(w))
+    total = counts.agg(F.sum("weight").alias("total"))
     c = c.crossJoin(F.broadcast(total)).select("option", (F.col("upto") / F.col("total")).alias("upto"))
     return draws.join(F.broadcast(c), F.col("u") < F.col("upto")).groupBy("draw").agg(F.min_by("option", "upto").alias("choice"))
 
 
-def strategy_arm(u: Column, points: Column, spread: Column) -> Column:
-    """free below 0.30; band below 0.55 if there are 10 points with a spread of 0.35, else free*; axes below 0.80;
-    else hybrid."""
-    band = (points >= 10) & (spread >= 0.35)
-    return F.when(u < 0.30, "free").when(u < 0.55, F.when(band, F.lit("band")).otherwise("free*")).when(u < 0.80, "axes").otherwise("hybrid")
+ARM_POINTS, LEAST_SPREAD = 10, 0.35
+
+
+def strategy_arm(u: Column, points: Column) -> Column:
+    """free below 0.30; band below 0.55 if there are 10 points, else free*; axes below 0.80; else hybrid."""
+    return F.when(u < 0.30, "free").when(u < 0.55, F.when(points >= ARM_POINTS, F.lit("band")).otherwise("free*")).when(u < 0.80, "axes").otherwise("hybrid")
+
+
+def band_target(normal: Column, mean: Column, spread: Column) -> Column:
+    """A distance drawn around the starred ones, whose spread counts as at least 0.35, between 1.3 and 2.4."""
+    return F.least(F.lit(2.4), F.greatest(F.lit(1.3), mean + F.greatest(F.lit(LEAST_SPREAD), spread) * normal))
 
 
 def scored(rows: DataFrame, scorer, column: str = "score") -> DataFrame:

@@ -60,3 +60,17 @@ def values_sql(rows: list[tuple], columns: str) -> str:
         return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def sidecar(*fields: str) -> dict[str, Column]:
+    """Fields (``name type``) of the JSON sidecar ``meta_raw``; null where it is cut off or missing."""
+    meta = F.from_json("meta_raw", f"{', '.join(fields)}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return {f.split()[0]: F.when(meta["_broken"].isNull(), meta[f.split()[0]]) for f in fields}
+
+
+def backend_sql(name: str, backends: tuple[str, ...], otherwise: str = "NULL", end: str = "_") -> str:
+    return "CASE " + " ".join(f"WHEN contains({name}, 'anarchy_{b}{end}') THEN '{b}'" for b in backends) + f" ELSE {otherwise} END"
+
+
+def side_sql(field: str) -> str:
+    return f"CASE WHEN json_valid(meta_raw) THEN meta_raw->>'$.{field}' END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from embermill.operators import film as M
-from embermill.plans.common import rnd, values, values_sql, vectors
+from embermill.plans.common import backend_sql, rnd, values, values_sql, vectors
 from embermill.plans.registry import registry
 from embermill.plans.statistics import _slerp_sql
 from embermill.sources.tables import table
@@ -155,21 +155,21 @@ def grid_layout(spark: SparkSession, d: str) -> DataFrame:
 
 @add(
     "offsize_keys",
-    """WITH k AS (SELECT job_id, seed, received_at, width, first_value(width) OVER (PARTITION BY job_id ORDER BY received_at, seed) AS w0 FROM (SELECT DISTINCT job_id, seed, received_at, width FROM run_requests WHERE width IS NOT NULL))
-    SELECT job_id, width, w0 FROM k WHERE width <> w0""",
+    """WITH k AS (SELECT o_custkey AS film, o_orderkey AS key, 512 + 8 * (o_orderkey % 3) AS width, first_value(512 + 8 * (o_orderkey % 3)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS w0 FROM orders)
+    SELECT film, key, width, w0 FROM k WHERE width <> w0""",
 )
 def offsize_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keyframes of another size than the film's first one; here forms of a job."""
-    k = table(spark, d, "run_requests").filter("width is not null").select("job_id", "seed", "received_at", "width").distinct()
-    w = W.partitionBy("job_id").orderBy("received_at", "seed")
-    return k.withColumn("w0", F.first("width").over(w)).filter("width <> w0").select("job_id", "width", "w0")
+    """Keyframes of another size than the film's first one; orders of a customer stand in for the keyframes of a film."""
+    k = table(spark, d, "orders").select(F.col("o_custkey").alias("film"), F.col("o_orderkey").alias("key"), (512 + 8 * (F.col("o_orderkey") % 3)).alias("width"), "o_orderdate")
+    w = W.partitionBy("film").orderBy("o_orderdate", "key")
+    return k.withColumn("w0", F.first("width").over(w)).filter("width <> w0").select("film", "key", "width", "w0")
 
 
-@add("mixed_backend", "SELECT bucket, count(DISTINCT regexp_extract(name, '(flux2|krea2|sdxl|sd2|sd15)', 1)) AS backends, count(DISTINCT regexp_extract(name, '(flux2|krea2|sdxl|sd2|sd15)', 1)) > 1 AS mixed FROM items GROUP BY bucket")
+@add("mixed_backend", f"SELECT bucket, count(DISTINCT b) AS backends, count(DISTINCT b) > 1 AS mixed FROM (SELECT bucket, {backend_sql('name', ('flux2', 'krea2', 'sdxl', 'sd2'), chr(39) + 'sd15' + chr(39))} AS b FROM items WHERE name IS NOT NULL) GROUP BY bucket")
 def mixed_backend(spark: SparkSession, d: str) -> DataFrame:
     from embermill.operators.records import backend_of
 
-    n = table(spark, d, "items").groupBy("bucket").agg(F.count_distinct(backend_of(F.col("name"))).alias("backends"))
+    n = table(spark, d, "items").filter("name is not null").groupBy("bucket").agg(F.count_distinct(backend_of(F.col("name"))).alias("backends"))
     return n.withColumn("mixed", F.col("backends") > 1)
 
 

@@ -11,18 +11,28 @@ from embermill.operators import library as L
 from embermill.operators import lineage as A
 from embermill.operators import records as R
 from embermill.operators import taste as S
-from embermill.plans.common import GAL, gallery, rnd, values, vectors
+from embermill.plans.common import GAL, backend_sql, gallery, rnd, side_sql, sidecar, values, vectors
 from embermill.plans.registry import registry
 from embermill.sources.tables import prompt_lines, table
 from embermill.streaming import tails
 
 add = registry.add
-_BUCKET = "CASE WHEN name LIKE 'anarchy\\_%' ESCAPE '\\' THEN 'generated' WHEN name LIKE 'temperature\\_sweep\\_%' ESCAPE '\\' THEN 'temperature' WHEN name LIKE 'sampler\\_sweep\\_%' ESCAPE '\\' THEN 'sampler' WHEN name LIKE 'mined\\_marginals\\_%' ESCAPE '\\' THEN 'marginals' ELSE 'other' END"
+_BUCKET = "CASE " + " ".join(f"WHEN starts_with(name, '{prefix}') THEN '{bucket}'" for prefix, bucket in (("anarchy_", "generated"), ("temperature_sweep", "temperature"), ("sampler_sweep", "sampler"), ("mined_marginals", "marginals"))) + " END"
 
 
-@add("gallery_buckets", f"WITH {GAL} SELECT {_BUCKET} AS bucket, count(*) AS n, sum(size)::bigint AS bytes FROM gal GROUP BY 1")
+@add("gallery_buckets", f"WITH {GAL} SELECT {_BUCKET} AS bucket, count(*) AS n, sum(size)::bigint AS bytes FROM gal GROUP BY 1 HAVING {_BUCKET} IS NOT NULL")
 def gallery_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return gallery(spark, d).groupBy(L.bucket_of(F.col("name")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    g = gallery(spark, d).withColumn("bucket", L.bucket_of(F.col("name"))).filter("bucket is not null")
+    return g.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+_NAMES = ["anarchy_1.png", "temperature_sweep.png", "temperature_sweep_2.png", "sampler_sweep3.png", "mined_marginals.png", "my_anarchy_1.png", "Anarchy_1.png", "photo.png", ""]
+
+
+@add("bucket_rules", f"SELECT name, {_BUCKET} AS bucket FROM (SELECT unnest({_NAMES}) AS name)")
+def bucket_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are no bucket's, or only just."""
+    return values(spark, [(n,) for n in _NAMES], "name string").withColumn("bucket", L.bucket_of(F.col("name")))
 
 
 @add("sidecar_metric", f"WITH {GAL} SELECT rel, CASE WHEN json_valid(meta_raw) THEN round((meta_raw->>'$.distance')::double, 3) + 0.0 END AS distance, CASE WHEN json_valid(meta_raw) THEN meta_raw->>'$.sampler' END AS sampler FROM gal")
@@ -55,7 +65,7 @@ def favorites_bucket(spark: SparkSession, d: str) -> DataFrame:
     return g.select("rel", "mtime").join(g.filter("fav").select("rel"), "rel")
 
 
-@add("elite_scan", f"WITH {GAL}, {FAVS} SELECT rel FROM gal SEMI JOIN favs USING (rel) WHERE name LIKE '%sdxl%' AND rel IN (SELECT rel FROM vectors WHERE rel IS NOT NULL)")
+@add("elite_scan", f"WITH {GAL}, {FAVS} SELECT rel FROM gal SEMI JOIN favs USING (rel) WHERE {backend_sql('name', ('flux2', 'krea2', 'sdxl', 'sd2'), chr(39) + 'sd15' + chr(39))} = 'sdxl' AND rel IN (SELECT rel FROM vectors WHERE rel IS NOT NULL)")
 def elite_scan(spark: SparkSession, d: str) -> DataFrame:
     """Favourites of a backend that have a vector."""
     g, v = gallery(spark, d), table(spark, d, "vectors")
@@ -109,17 +119,33 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
     return L.pareto_front(L.rated(gallery(spark, d)))
 
 
-@add("pareto_layers")
+@add(
+    "pareto_layers",
+    f"""WITH RECURSIVE {_RATED}, p AS (
+      SELECT 0 AS layer, rel, nov, r, coalesce(r > max(r) OVER (ORDER BY nov DESC, rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS front FROM rated
+      UNION ALL SELECT layer + 1, rel, nov, r, coalesce(r > max(r) OVER (ORDER BY nov DESC, rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) FROM p WHERE NOT front)
+    SELECT rel, nov, r, layer::int AS layer FROM p WHERE front ORDER BY layer, r DESC, nov DESC, rel LIMIT 120""",
+)
 def pareto_layers(spark: SparkSession, d: str) -> DataFrame:
     return L.pareto_layers(L.rated(gallery(spark, d)))
 
 
+_ORDERS = {"new": "1", "score": "coalesce(score, -1.0) DESC", "far": "coalesce(dist, -1.0) DESC", "near": "coalesce(dist, 1e9::double)", "nov": "coalesce(nov, -1.0) DESC", "res": "coalesce(res, -1.0) DESC"}
+_FINITE = "dist IS NULL OR (NOT isnan(dist) AND NOT isinf(dist))"  # the client's numbers
+
+
 @add(
     "sort_orders",
-    f"""WITH {GAL} SELECT rel, row_number() OVER (ORDER BY coalesce(nov, -1.0) DESC, mtime DESC NULLS LAST, rel) AS by_novelty FROM gal""",
+    f"WITH {GAL}, f AS (SELECT * FROM gal WHERE {_FINITE}) " + " UNION ALL ".join(f"SELECT '{k}' AS sorted_by, rel, row_number() OVER (ORDER BY {o}, mtime DESC NULLS LAST, rel) AS place FROM f" for k, o in _ORDERS.items()),
 )
 def sort_orders(spark: SparkSession, d: str) -> DataFrame:
-    return L.resort(gallery(spark, d).select("rel", "mtime", "score", "dist", "nov", "res"), "nov").select("rel", F.col("place").alias("by_novelty"))
+    """The client's six orders."""
+    g = gallery(spark, d).select("rel", "mtime", "score", "dist", "nov", "res").filter(F.col("dist").isNull() | (F.abs("dist") < float("inf")))
+    out = None
+    for key in _ORDERS:
+        one = L.resort(g, key).select(F.lit(key).alias("sorted_by"), "rel", "place")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @add("page_nav", f"WITH {GAL}, k AS (SELECT rel, mtime, row_number() OVER (ORDER BY mtime DESC NULLS LAST, rel) AS place FROM gal) SELECT rel, place, ((place - 1) // 200 + 1)::bigint AS page FROM k WHERE place BETWEEN 201 AND 600")
@@ -140,11 +166,11 @@ def jobs_recent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").orderBy(F.desc("id")).limit(12).select("id", "action", "status")
 
 
-@add("hunt_next", f"WITH {GAL} SELECT rel FROM gal ANTI JOIN (SELECT DISTINCT rel FROM vectors WHERE rel IS NOT NULL) USING (rel) WHERE nov IS NOT NULL ORDER BY nov DESC, rel LIMIT 2")
+@add("hunt_next", f"WITH {GAL} SELECT rel FROM gal ANTI JOIN (SELECT DISTINCT rel FROM gal WHERE score >= 5) USING (rel) WHERE nov IS NOT NULL ORDER BY nov DESC, rel LIMIT 2")
 def hunt_next(spark: SparkSession, d: str) -> DataFrame:
-    """The first two of the frontier's order that haven't been visited (here: have no vector)."""
-    seen = table(spark, d, "vectors").filter("rel is not null").select("rel")
-    return gallery(spark, d).filter("nov is not null").join(seen, "rel", "left_anti").orderBy(F.desc("nov"), "rel").limit(2).select("rel")
+    """The first two of the frontier's order that haven't been visited (here: have no score of 5 or more)."""
+    g = gallery(spark, d)
+    return g.filter("nov is not null").join(g.filter("score >= 5").select("rel"), "rel", "left_anti").orderBy(F.desc("nov"), "rel").limit(2).select("rel")
 
 
 _MEASURED = "m AS (SELECT bucket, dist FROM gal WHERE dist IS NOT NULL AND NOT isnan(dist) AND NOT isinf(dist) AND dist >= 0)"
@@ -156,20 +182,46 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return g.filter(F.col("dist").isNotNull() & ~F.isnan("dist") & (F.abs("dist") < float("inf")) & (F.col("dist") >= 0))
 
 
-@add("taste_band", f"WITH {GAL}, {_MEASURED} SELECT 'all' AS band, {_BAND} FROM m")
+_STARRED = f"starred AS (SELECT rel, name, ({side_sql('distance')})::double AS dist, ({side_sql('temperature')})::double AS temperature, {side_sql('sampler')} AS sampler FROM gal WHERE fav)"
+
+
+def starred(spark: SparkSession, d: str) -> DataFrame:
+    """Favourites with what their sidecars say."""
+    s = sidecar("distance double", "temperature double", "sampler string")
+    return gallery(spark, d).filter("fav").select("rel", "name", s["distance"].alias("dist"), s["temperature"].alias("temperature"), s["sampler"].alias("sampler"))
+
+
+@add("taste_band", f"WITH {GAL}, {_STARRED}, m AS (SELECT dist FROM starred WHERE dist IS NOT NULL) SELECT 'all' AS band, {_BAND} FROM m HAVING count(*) > 0")
 def taste_band(spark: SparkSession, d: str) -> DataFrame:
-    one = F.when(F.col("dist") >= 0, "all")  # always; a literal would leave the joins on it without a key
-    q = L.index_quantiles(_measured(spark, d).withColumn("band", one), ["band"], "dist")
+    """Where the favourites' distances lie: their number, mean and raw quartiles."""
+    one = F.when(F.col("dist").isNotNull(), "all")  # always; a literal would leave the joins on it without a key
+    q = L.index_quantiles(starred(spark, d).filter("dist is not null").withColumn("band", one), ["band"], "dist")
     return q.withColumn("mean", rnd("mean", 2))
 
 
-@add("taste_bands", f"WITH {GAL}, {_MEASURED} SELECT coalesce(bucket, '-') AS bucket, {_BAND} FROM m GROUP BY 1")
+_STAR_BACKEND = backend_sql("name", ("sdxl", "sd15", "sd2", "flux2", "krea2"))
+
+
+@add(
+    "taste_bands",
+    f"""WITH {GAL}, {_STARRED}, b AS (SELECT {_STAR_BACKEND} AS backend, dist FROM starred WHERE dist <> 0)
+    SELECT backend, count(*) AS n, round(avg(dist), 5) + 0.0 AS mean, round(greatest(0.35::double, stddev_pop(dist)), 5) + 0.0 AS spread, count(*) >= 10 AS enough FROM b WHERE backend IS NOT NULL GROUP BY 1""",
+)
 def taste_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The favourites' distances by backend, with the spread that the band arm draws with."""
+    s = starred(spark, d).filter("dist <> 0").withColumn("backend", R.starred_backend(F.col("name"))).filter("backend is not null")
+    n = s.groupBy("backend").agg(F.count("*").alias("n"), rnd(F.avg("dist"), 5).alias("mean"), rnd(F.greatest(F.lit(S.LEAST_SPREAD), F.stddev_pop("dist")), 5).alias("spread"))
+    return n.withColumn("enough", F.col("n") >= S.ARM_POINTS)
+
+
+@add("dist_bands", f"WITH {GAL}, {_MEASURED} SELECT coalesce(bucket, '-') AS bucket, {_BAND} FROM m GROUP BY 1")
+def dist_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The same statistics of all measured images, by bucket."""
     m = _measured(spark, d).withColumn("bucket", F.coalesce("bucket", F.lit("-")))
     return L.index_quantiles(m, ["bucket"], "dist").withColumn("mean", rnd("mean", 2))
 
 
-_BACKEND = "CASE WHEN lower(name) LIKE '%flux2%' THEN 'flux2' WHEN lower(name) LIKE '%krea2%' THEN 'krea2' WHEN lower(name) LIKE '%sdxl%' THEN 'sdxl' WHEN lower(name) LIKE '%sd2%' THEN 'sd2' ELSE 'sd15' END"
+_BACKEND = backend_sql("name", ("flux2", "krea2", "sdxl", "sd2"), "'sd15'")
 
 
 @add("detect_backend", f"WITH {GAL} SELECT rel, {_BACKEND} AS backend FROM gal")
@@ -177,42 +229,65 @@ def detect_backend(spark: SparkSession, d: str) -> DataFrame:
     return gallery(spark, d).select("rel", R.backend_of(F.col("name")).alias("backend"))
 
 
-_THREE = "CASE WHEN lower(name) LIKE '%sdxl%' THEN 'sdxl' WHEN lower(name) LIKE '%sd2%' THEN 'sd2' ELSE 'sd15' END"
+def _variants_sql(source: str, keys: str) -> str:
+    three, refine = ("sd15", "sd2", "sdxl"), "CASE WHEN contains(name, 'anarchy_sdxl') OR contains(name, 'anarchy_flux2') OR contains(name, 'anarchy_krea2') THEN 'sdxl' WHEN contains(name, 'anarchy_sd2') THEN 'sd2' ELSE 'sd15' END"
+    upscale = f"CASE WHEN side IN {three} THEN side ELSE {backend_sql('name', three, chr(39) + 'sd15' + chr(39))} END"
+    return f"SELECT {keys}, {_BACKEND} AS by_name, coalesce(nullif(side, ''), {_BACKEND}) AS film, {refine} AS refine, {upscale} AS upscale, regexp_extract(name, '^anarchy_([a-z0-9]+)_', 1) AS invert FROM {source}"
 
 
-@add(
-    "detect_backend_variants",
-    f"""WITH {GAL}, m AS (SELECT rel, name, CASE WHEN json_valid(meta_raw) THEN meta_raw->>'$.backend' END AS side FROM gal)
-    SELECT rel, {_BACKEND} AS by_name, coalesce(side, {_BACKEND}) AS film, CASE WHEN {_BACKEND} IN ('flux2', 'krea2') THEN 'sdxl' ELSE {_BACKEND} END AS refine, coalesce(side, {_THREE}) AS upscale,
-    regexp_extract(name, '^[a-z]+_(sd15|sd2|sdxl|flux2|krea2)_', 1) AS invert FROM m""",
-)
+@add("detect_backend_variants", f"WITH {GAL}, m AS (SELECT rel, name, {side_sql('backend')} AS side FROM gal) {_variants_sql('m', 'rel')}")
 def detect_backend_variants(spark: SparkSession, d: str) -> DataFrame:
-    side = F.get_json_object("meta_raw", "$.backend")
+    side = sidecar("backend string")["backend"]
     return gallery(spark, d).select("rel", *[c.alias(k) for k, c in R.backend_variants(F.col("name"), side).items()])
 
 
+_ODD = [("anarchy_sd15_sdxl-look_1.png", None), ("mysd2pic.png", None), ("anarchy_sd2.png", None), ("anarchy_SDXL_1.png", "sdxl"), ("x_anarchy_krea2_1.png", ""), ("anarchy_flux2_1.png", "flux2"), ("anarchy_sdxl_1.png", "krea2"), ("anarchy_sdxlturbo.png", "sd2"), ("anarchy_new9_1.png", None)]
+
+
+@add("backend_rules", _variants_sql("(VALUES " + ", ".join(f"('{n}', {'NULL' if s is None else chr(39) + s + chr(39)})" for n, s in _ODD) + ") AS t(name, side)", "name"))
+def backend_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Names and sidecars on which the rules differ."""
+    v = values(spark, _ODD, "name string, side string")
+    return v.select("name", *[c.alias(k) for k, c in R.backend_variants(F.col("name"), F.col("side")).items()])
+
+
 @add(
     "keyframe_tensors",
-    """WITH k AS (SELECT id FROM vectors WHERE id % 500 = 0), g AS (SELECT id, list(tensor) AS have FROM vectors WHERE tensor IN ('clip', 'embeds') GROUP BY 1)
-    SELECT k.id AS key, NOT list_contains(have, 'clip') AS no_clip, NOT list_contains(have, 'embeds') AS no_embeds FROM (SELECT id FROM k ORDER BY id LIMIT 64) k JOIN g USING (id)""",
+    f"""WITH {GAL}, k AS (SELECT rel AS key FROM gal WHERE nov IS NOT NULL ORDER BY nov DESC, rel LIMIT 40), g AS (SELECT rel AS key, list(tensor) AS have FROM vectors WHERE rel IS NOT NULL GROUP BY 1)
+    SELECT key, NOT coalesce(list_contains(have, 'clip'), false) AS no_clip, NOT coalesce(list_contains(have, 'embeds'), false) AS no_embeds FROM k LEFT JOIN g USING (key)""",
 )
 def keyframe_tensors(spark: SparkSession, d: str) -> DataFrame:
-    """Keyframes (at most 64 of them) with the tensors a backend needs, and which they lack."""
-    v = table(spark, d, "vectors").select(F.col("id").alias("key"), "tensor", "e")
-    keys = v.filter("key % 500 = 0").select("key").distinct().orderBy("key").limit(64)
+    """The keyframes of a film (the forty most novel images) with the tensors it needs, and which they lack."""
+    v = table(spark, d, "vectors").filter("rel is not null").select(F.col("rel").alias("key"), "tensor", "e").dropDuplicates(["key", "tensor"])
+    keys = gallery(spark, d).filter("nov is not null").orderBy(F.desc("nov"), "rel").limit(40).select(F.col("rel").alias("key"))
     t = L.keyframe_tensors(v, keys, ("clip", "embeds"))
     return t.select("key", F.array_contains("missing", "clip").alias("no_clip"), F.array_contains("missing", "embeds").alias("no_embeds"))
 
 
-@add("most_starred", f"WITH {GAL} SELECT {_BACKEND} AS backend, count(*) AS n FROM gal WHERE fav GROUP BY 1 ORDER BY n DESC, backend LIMIT 1")
+@add("most_starred", f"WITH {GAL}, b AS (SELECT {_STAR_BACKEND} AS backend FROM gal WHERE fav) SELECT backend, count(*) AS n FROM b WHERE backend IS NOT NULL GROUP BY 1 ORDER BY n DESC, backend LIMIT 1")
 def most_starred(spark: SparkSession, d: str) -> DataFrame:
-    return gallery(spark, d).filter("fav").groupBy(R.backend_of(F.col("name")).alias("backend")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "backend").limit(1)
+    """The backend of most favourites; no row where the names of none tell one."""
+    b = gallery(spark, d).filter("fav").select(R.starred_backend(F.col("name")).alias("backend")).filter("backend is not null")
+    return b.groupBy("backend").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "backend").limit(1)
 
 
-@add("taste_infer", "SELECT coalesce(sampler, '-') AS sampler, count(*) AS n, round(avg(temperature), 4) + 0.0 AS temperature FROM (SELECT DISTINCT * FROM run_requests) GROUP BY 1")
+@add(
+    "taste_infer",
+    f"""WITH {GAL}, {_STARRED}, b AS (SELECT {backend_sql('rel', ('sd2', 'sdxl', 'sd15'), end='')} AS backend FROM starred)
+    SELECT 'backend' AS knob, backend AS option, count(*) AS n, NULL::double AS mean FROM b WHERE backend IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'sampler', sampler, count(*), NULL FROM starred WHERE sampler <> '' GROUP BY 2
+    UNION ALL SELECT 'temperature', NULL, count(temperature), round(avg(temperature), 5) + 0.0 FROM starred UNION ALL SELECT 'stars', NULL, count(*), NULL FROM starred""",
+)
 def taste_infer(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "run_requests").distinct()
-    return r.groupBy(F.coalesce("sampler", F.lit("-")).alias("sampler")).agg(F.count("*").alias("n"), rnd(F.avg("temperature"), 4).alias("temperature"))
+    """What the favourites say of each knob: how often each backend and sampler, the temperatures, how many there are."""
+    s = starred(spark, d)
+    none = F.lit(None).cast("string")
+    count = lambda knob, df, option: df.groupBy(option.alias("option")).agg(F.count("*").alias("n")).select(F.lit(knob).alias("knob"), "option", "n", F.lit(None).cast("double").alias("mean"))
+    backend = s.withColumn("b", R._named(F.col("rel"), ("sd2", "sdxl", "sd15"), "")).filter("b is not null")
+    total = s.agg(F.count("temperature").alias("t"), rnd(F.avg("temperature"), 5).alias("mean"), F.count("*").alias("n"))
+    temperature = total.select(F.lit("temperature").alias("knob"), none.alias("option"), F.col("t").alias("n"), "mean")
+    stars = total.select(F.lit("stars").alias("knob"), none.alias("option"), "n", F.lit(None).cast("double").alias("mean"))
+    return count("backend", backend, F.col("b")).unionByName(count("sampler", s.filter("sampler <> ''"), F.col("sampler"))).unionByName(temperature).unionByName(stars)
 
 
 @add("novelty_nn", "SELECT a.vec_id AS id, round(1 - max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 4) + 0.0 AS novelty FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1")
@@ -357,21 +432,63 @@ def weighted_choice(spark: SparkSession, d: str) -> DataFrame:
     return S.weighted_choice(c, table(spark, d, "events").select(F.col("event_id").alias("draw"), rng.uniform(rng.key(9, "choice", F.col("event_id"))).alias("u")))
 
 
-@add("strategy_arm", f"SELECT event_id, CASE WHEN {_U} < 0.30 THEN 'free' WHEN {_U} < 0.55 THEN CASE WHEN user_id >= 10 AND value / 100 >= 0.35 THEN 'band' ELSE 'free*' END WHEN {_U} < 0.80 THEN 'axes' ELSE 'hybrid' END AS arm FROM events")
+# What is believed of each option before a star is counted.
+_BACKEND_PRIOR, _SAMPLER_PRIOR = {"sdxl": 4, "flux2": 4, "sd2": 1, "sd15": 1}, {"diagonal": 1, "blend": 1, "pca": 4, "hybrid": 3}
+_WEIRD = (40, 60, 90, 120, 160, 200)
+
+
+@add("strategy_arm", f"SELECT event_id, CASE WHEN {_U} < 0.30 THEN 'free' WHEN {_U} < 0.55 THEN CASE WHEN user_id >= 10 THEN 'band' ELSE 'free*' END WHEN {_U} < 0.80 THEN 'axes' ELSE 'hybrid' END AS arm, CASE WHEN {_U} >= 0.30 AND {_U} < 0.55 AND user_id >= 10 THEN round(least(2.4, greatest(1.3, 1.8 + greatest(0.35::double, value / 100) * {rng.normal_sql(rng.key_sql(9, 'band', 'event_id'))})), 4) + 0.0 END AS target FROM events")
 def strategy_arm(spark: SparkSession, d: str) -> DataFrame:
+    """An arm for each draw, and the band arm's target; here ten points are ten in ``user_id``, the spread a hundredth
+    of ``value``."""
     u = rng.uniform(rng.key(9, "choice", F.col("event_id")))
-    return table(spark, d, "events").select("event_id", S.strategy_arm(u, F.col("user_id"), F.col("value") / 100).alias("arm"))
+    e = table(spark, d, "events").withColumn("arm", S.strategy_arm(u, F.col("user_id")))
+    target = S.band_target(rng.normal(rng.key(9, "band", F.col("event_id"))), F.lit(1.8), F.col("value") / 100)
+    return e.select("event_id", "arm", F.when(F.col("arm") == "band", rnd(target, 4)).alias("target"))
+
+
+def _weights_sql(prior: dict[str, int], counts: str) -> str:
+    listed = ", ".join(f"('{k}', {v}.0::double)" for k, v in prior.items())
+    weight = "prior + coalesce(n, 0)"
+    return f"SELECT option, sum({weight}) OVER (ORDER BY option) / sum({weight}) OVER () AS upto FROM (VALUES {listed}) AS p(option, prior) LEFT JOIN ({counts}) c USING (option)"
 
 
-_G, _X = rng.normal_sql(rng.key_sql(9, "combo", "event_id")), rng.uniform_sql(rng.key_sql(9, "explore", "event_id"))
+@add(
+    "guided_sampler",
+    f"""WITH {GAL}, {_STARRED}, k AS ({_weights_sql(_SAMPLER_PRIOR, "SELECT sampler AS option, count(*) AS n FROM starred WHERE sampler <> '' GROUP BY 1")}), b AS ({_weights_sql(_BACKEND_PRIOR, "SELECT 'none' AS option, 0 AS n")}),
+    s AS (SELECT event_id, arg_min(option, upto) AS sampler FROM events JOIN k ON {rng.uniform_sql(rng.key_sql(9, 'sampler', 'event_id'))} < upto GROUP BY 1)
+    SELECT event_id, s.sampler, arg_min(option, upto) AS backend FROM events JOIN s USING (event_id) JOIN b ON {rng.uniform_sql(rng.key_sql(9, 'backend', 'event_id'))} < upto GROUP BY ALL""",
+)
+def guided_sampler(spark: SparkSession, d: str) -> DataFrame:
+    """A sampler for each draw by the stars and a prior for each option, and a backend by the prior alone."""
+    stars = taste_infer(spark, d).filter("knob = 'sampler'").select("option", "n")
+    draw = lambda stream: table(spark, d, "events").select(F.col("event_id").alias("draw"), rng.uniform(rng.key(9, stream, F.col("event_id"))).alias("u"))
+    sampler = S.weighted_choice(stars, draw("sampler"), _SAMPLER_PRIOR).withColumnRenamed("choice", "sampler")
+    backend = S.weighted_choice(stars.limit(0), draw("backend"), _BACKEND_PRIOR).withColumnRenamed("choice", "backend")
+    return sampler.join(backend, "draw").select(F.col("draw").alias("event_id"), "sampler", "backend")
 
 
-@add("guided_combo", f"SELECT event_id, {_X} < 0.15 AS explore, CASE WHEN {_X} < 0.15 THEN round(0.8 + 1.2 * {_U}, 4) + 0.0 ELSE round(greatest(1.6, least(1.9, 1.75 + 0.18 * {_G})), 4) + 0.0 END AS temperature FROM events")
+_G, _X, _W, _LO = rng.normal_sql(rng.key_sql(9, "combo", "event_id")), rng.uniform_sql(rng.key_sql(9, "explore", "event_id")), rng.uniform_sql(rng.key_sql(9, "weird", "event_id")), rng.uniform_sql(rng.key_sql(9, "lo", "event_id"))
+
+
+@add(
+    "guided_combo",
+    f"""WITH {GAL}, {_STARRED}, mu AS (SELECT CASE WHEN count(temperature) >= 2 THEN greatest(avg(temperature), 1.6) ELSE 1.9 END AS mu, count(*) AS stars FROM starred),
+    e AS (SELECT *, {_X} < 0.15 OR stars = 0 AS explore, {_W} < 0.7 AS weird FROM events, mu)
+    SELECT event_id, explore, CASE WHEN weird THEN ([{', '.join(map(str, _WEIRD))}])[(floor({_LO} * 6) + 1)::int] ELSE 0 END::int AS comp_lo,
+    round(CASE WHEN weird THEN 1.05 + 0.35 * {_U} WHEN explore THEN 0.8 + 1.1 * {_U} ELSE greatest(1.6, least(1.9, mu + 0.18 * {_G})) END, 4) + 0.0 AS temperature FROM e""",
+)
 def guided_combo(spark: SparkSession, d: str) -> DataFrame:
-    """A temperature for each draw: now and then anything, else near what was liked, within its bounds."""
-    x, u, g = rng.uniform(rng.key(9, "explore", F.col("event_id"))), rng.uniform(rng.key(9, "choice", F.col("event_id"))), rng.normal(rng.key(9, "combo", F.col("event_id")))
-    t = F.when(x < 0.15, rnd(0.8 + 1.2 * u, 4)).otherwise(rnd(F.greatest(F.lit(1.6), F.least(F.lit(1.9), 1.75 + 0.18 * g)), 4))
-    return table(spark, d, "events").select("event_id", (x < 0.15).alias("explore"), t.alias("temperature"))
+    """A temperature for each draw of the axes' sampler: mostly low on the minor axes; else now and then anything (or
+    where there are no stars), else near what was liked, within its bounds."""
+    s = starred(spark, d).agg(F.count("temperature").alias("t"), F.avg("temperature").alias("m"), F.count("*").alias("stars"))
+    mu = s.select(F.when(F.col("t") >= 2, F.greatest("m", F.lit(1.6))).otherwise(1.9).alias("mu"), "stars")
+    key = lambda stream: rng.key(9, stream, F.col("event_id"))
+    u, g = rng.uniform(key("choice")), rng.normal(key("combo"))
+    e = table(spark, d, "events").crossJoin(F.broadcast(mu)).withColumns({"explore": (rng.uniform(key("explore")) < 0.15) | (F.col("stars") == 0), "weird": rng.uniform(key("weird")) < 0.7})
+    lo = F.get(F.array(*[F.lit(x) for x in _WEIRD]), F.floor(rng.uniform(key("lo")) * len(_WEIRD)).cast("int"))
+    t = F.when(F.col("weird"), 1.05 + 0.35 * u).when(F.col("explore"), 0.8 + 1.1 * u).otherwise(F.greatest(F.lit(1.6), F.least(F.lit(1.9), F.col("mu") + 0.18 * g)))
+    return e.select("event_id", "explore", F.when(F.col("weird"), lo).otherwise(0).alias("comp_lo"), rnd(t, 4).alias("temperature"))
 
 
 # --- prompts --------------------------------------------------------------------------------------------------------
@@ -435,14 +552,20 @@ def idle_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.filter("before = 'click' and event_type = 'view'").select("user_id", "ts")
 
 
-@add("lost_jobs", "SELECT r.job_id FROM (SELECT DISTINCT job_id FROM log_lines) r ANTI JOIN jobs ON jobs.id = r.job_id UNION SELECT DISTINCT job_id FROM run_requests WHERE job_id > (SELECT max(id) - 5 FROM jobs)")
+@add("lost_jobs", "WITH known AS (SELECT id FROM jobs WHERE id <= (SELECT max(id) // 2 FROM jobs)) SELECT DISTINCT job_id FROM run_requests WHERE job_id > (SELECT max(id) FROM known)")
 def lost_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Awaited jobs beyond the newest (but five) that is known, and lines of unknown jobs."""
-    jobs = table(spark, d, "jobs")
-    unknown = table(spark, d, "log_lines").select("job_id").distinct().join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti")
-    last = jobs.agg((F.max("id") - 5).alias("last"))
-    late = table(spark, d, "run_requests").select("job_id").distinct().crossJoin(F.broadcast(last)).filter("job_id > last").select("job_id")
-    return unknown.union(late).distinct()
+    """Awaited jobs beyond the newest that is known: the server was started anew. Here the first half of the jobs is
+    known."""
+    jobs = table(spark, d, "jobs").select("id")
+    half = jobs.agg(F.floor(F.max("id") / 2).alias("half"))
+    last = jobs.crossJoin(F.broadcast(half)).filter("id <= half").agg(F.max("id").alias("last"))
+    return table(spark, d, "run_requests").select("job_id").distinct().crossJoin(F.broadcast(last)).filter("job_id > last").select("job_id")
+
+
+@add("durations", "SELECT id, CASE WHEN started IS NULL THEN '' WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS took FROM (SELECT id, started, greatest(0, floor((epoch_us(coalesce(ended, TIMESTAMP '2026-01-01')) - epoch_us(started)) / 1e6 + 0.5))::bigint AS s FROM jobs)")
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    """How long each job took, or has taken up to a stated moment."""
+    return table(spark, d, "jobs").select("id", R.duration(F.col("started"), F.coalesce("ended", F.lit("2026-01-01").cast("timestamp_ntz"))).alias("took"))
 
 
 @add("job_states", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY 1")

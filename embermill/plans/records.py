@@ -2,36 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from embermill.operators import records as R
-from embermill.plans.common import GAL, gallery, values, values_sql
+from embermill.plans.common import GAL, gallery, sidecar, values, values_sql
 from embermill.plans.registry import registry
 from embermill.sources.tables import table
 
 add = registry.add
 
 
-@add("validate_enum", "SELECT job_id, sampler, coalesce(sampler IN ('diagonal', 'pca', 'blend', 'hybrid'), false) AS sampler_ok, coalesce(scheduler IN ('default', 'ddim', 'dpm', 'euler', 'euler_a'), true) AS scheduler_ok FROM run_requests")
+# What a form may name.
+_KNOWN = {"backend": ("sd15", "sd2", "sdxl", "flux2", "krea2"), "sampler": ("diagonal", "pca", "blend", "hybrid"), "neg_mode": ("mean", "empty", "zeros"), "scheduler": ("default", "ddim", "euler", "euler_a", "dpm")}
+_FORM = {"backend": "sd15", "sampler": "diagonal"}  # of a form that names none; the others may be missing or empty
+_NEG = "CASE job_id % 5 WHEN 0 THEN 'mean' WHEN 1 THEN '' WHEN 2 THEN 'none' END"  # the table has no such column
+
+
+@add(
+    "validate_enum",
+    "SELECT job_id, received_at, CASE "
+    + " ".join(f"WHEN {f'coalesce({c}, {chr(39)}{_FORM[c]}{chr(39)})' if c in _FORM else f'coalesce(nullif({c}, {chr(39)}{chr(39)}), {chr(39)}{k[0]}{chr(39)})'} NOT IN {k} THEN '{c}'" for c, k in _KNOWN.items())
+    + f" END AS first_error FROM (SELECT *, {_NEG} AS neg_mode FROM run_requests)",
+)
 def validate_enum(spark: SparkSession, d: str) -> DataFrame:
-    ok = lambda c, known, missing: F.coalesce(F.col(c).isin(*known), F.lit(missing))
-    return table(spark, d, "run_requests").select(
-        "job_id", "sampler", ok("sampler", ("diagonal", "pca", "blend", "hybrid"), False).alias("sampler_ok"), ok("scheduler", ("default", "ddim", "dpm", "euler", "euler_a"), True).alias("scheduler_ok")
-    )
+    """The first field of a form that names nothing known, as it was written."""
+    error = F.when(F.lit(False), F.lit(""))
+    for c, known in _KNOWN.items():
+        given = F.coalesce(c, F.lit(_FORM[c])) if c in _FORM else F.coalesce(F.nullif(c, F.lit("")), F.lit(known[0]))
+        error = error.when(~given.isin(*known), c)
+    return table(spark, d, "run_requests").withColumn("neg_mode", F.expr(_NEG)).select("job_id", "received_at", error.alias("first_error"))
 
 
-_RULES = [("width", "width BETWEEN 64 AND 2048 AND width % 8 = 0"), ("n", "n BETWEEN 1 AND 32"), ("steps", "steps BETWEEN 4 AND 30"), ("temperature", "temperature > 0 AND temperature <= 1.5")]
+# Film forms made of events (no table holds any), so that every rule is broken and kept.
+_FILM_FORMS = """SELECT event_id, event_id % 67 AS keys, event_id * 7 % 66 - 2 AS fps, CASE WHEN event_id % 11 = 0 THEN 40 ELSE event_id * 13 % 500 END AS frames_per, event_id % 25 / 20.0D AS noise_window,
+event_id % 40 / 12.0D AS scale, event_id % 23 / 20.0D AS strength, CASE WHEN event_id % 4 > 0 THEN 40 + event_id % 253 * 8 END AS height, CASE WHEN event_id % 3 > 0 THEN 512 + event_id % 2 * 4 END AS width, event_id % 2 = 0 AS loop FROM events"""
+_RULES = [
+    ("keys", "keys BETWEEN 2 AND 64"), ("fps", "fps BETWEEN 1 AND 60"), ("frames_per", "frames_per BETWEEN 1 AND 480"), ("noise_window", "noise_window BETWEEN 0.05 AND 1.0"), ("scale", "scale > 0 AND scale <= 3.0"),
+    ("strength", "strength > 0 AND strength <= 1.0"), ("height", "coalesce(height BETWEEN 64 AND 2048 AND height % 8 = 0, true)"), ("width", "coalesce(width BETWEEN 64 AND 2048 AND width % 8 = 0, true)"),
+    ("frames", "(CASE WHEN loop THEN keys ELSE keys - 1 END) * frames_per + 1 <= 3000"),
+]
 
 
-@add("validate_ranges", "SELECT job_id, n, width, steps, CASE " + " ".join(f"WHEN NOT coalesce({rule}, true) THEN '{name}'" for name, rule in _RULES) + " END AS first_error FROM run_requests")
+@add("validate_ranges", "SELECT event_id, CASE " + " ".join(f"WHEN NOT ({rule}) THEN '{name}'" for name, rule in _RULES) + f" END AS first_error FROM ({_FILM_FORMS.replace('0D', '0::double')})")
 def validate_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule that a form breaks; null fields break none."""
+    """The first rule that a film's form breaks; a missing size breaks none."""
     error = F.when(F.lit(False), F.lit(""))
     for name, rule in _RULES:
-        error = error.when(~F.coalesce(F.expr(rule), F.lit(True)), name)
-    return table(spark, d, "run_requests").select("job_id", "n", "width", "steps", error.alias("first_error"))
+        error = error.when(~F.expr(rule), name)
+    made = _FILM_FORMS.removeprefix("SELECT ").removesuffix(" FROM events")
+    return table(spark, d, "events").selectExpr(*re.split(r",\s+", made)).select("event_id", error.alias("first_error"))
 
 
 _LISTS = [(1, "0.8, 1.0,1.6"), (2, " 7 ,, 8 "), (3, "1,x,3"), (4, ""), (5, None), (6, "1e3,-2.5"), (7, ",")]
@@ -47,21 +70,21 @@ def clean_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 # What a form's missing fields mean for each backend.
-_DEFAULTS = [("sd15", 30, 7.5, 512), ("sd2", 30, 7.5, 768), ("sdxl", 30, 6.0, 1024), ("flux2", 28, 4.0, 1024), ("krea2", 28, 4.5, 1024)]
+_DEFAULTS = [("sd15", 30, 7.5, "empty", 512, 512), ("sd2", 30, 9.0, "empty", 768, 768), ("sdxl", 1, 0.0, "mean", 1024, 1024), ("flux2", 28, 4.0, "empty", 1024, 1024), ("krea2", 28, 4.5, "empty", 1024, 1024)]
 
 
 @add(
     "resolve_defaults",
-    f"""SELECT r.job_id, k.backend, coalesce(r.steps, k.steps) AS steps, coalesce(r.guidance, k.guidance) AS guidance, coalesce(nullif(r.width, 0), k.width) AS width
-    FROM run_requests r JOIN {values_sql(_DEFAULTS, 'backend, steps, guidance, width').replace(' AS t(', ' AS k(')} ON k.backend = coalesce(lower(trim(r.backend)), 'sd15')""",
+    f"""SELECT r.job_id, r.received_at, k.backend, coalesce(r.steps, k.steps) AS steps, coalesce(r.guidance, k.guidance) AS guidance, k.neg_mode, k.height, coalesce(nullif(r.width, 0), k.width) AS width
+    FROM run_requests r JOIN {values_sql(_DEFAULTS, 'backend, steps, guidance, neg_mode, height, width').replace(' AS t(', ' AS k(')} ON k.backend = coalesce(lower(trim(r.backend)), 'sd15')""",
 )
 def resolve_defaults(spark: SparkSession, d: str) -> DataFrame:
-    """Missing fields filled with the backend's defaults; a size of 0 counts as missing. The defaults are a fixed list
-    and are broadcast."""
-    k = values(spark, _DEFAULTS, "backend string, d_steps int, d_guidance double, d_width int")
+    """Missing fields filled with the backend's defaults; a size of 0 counts as missing. (The table has no negative
+    mode and no height, so these are always the defaults.) The defaults are a fixed list and are broadcast."""
+    k = values(spark, _DEFAULTS, "backend string, d_steps int, d_guidance double, neg_mode string, height int, d_width int")
     r = table(spark, d, "run_requests").withColumn("backend", F.coalesce(F.lower(F.trim("backend")), F.lit(R.DEFAULT_BACKEND)))
     return r.join(F.broadcast(k), "backend").select(
-        "job_id", "backend", F.coalesce("steps", "d_steps").alias("steps"), F.coalesce("guidance", "d_guidance").alias("guidance"), F.coalesce(F.nullif("width", F.lit(0)), F.col("d_width")).alias("width")
+        "job_id", "received_at", "backend", F.coalesce("steps", "d_steps").alias("steps"), F.coalesce("guidance", "d_guidance").alias("guidance"), "neg_mode", "height", F.coalesce(F.nullif("width", F.lit(0)), F.col("d_width")).alias("width")
     )
 
 
@@ -90,23 +113,23 @@ def vocab_mask(spark: SparkSession, d: str) -> DataFrame:
     return w.filter(F.col("word").rlike("^[a-z0-9]+$")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-# Fixed value: the order in which a form's parameters are shown.
-_ORDER = ("action", "backend", "model", "sampler", "temperature", "n", "seed", "steps", "guidance", "coherence", "components", "scheduler", "width", "dist", "target_distance")
+# Fixed value: the order in which an image's parameters are shown.
+_ORDER = """kind mode parent parent_b distance anchor_distance radius mutate direction step walk_frame target_distance elites base_blend dist backend model sampler temperature coherence components comp_lo equalize truncation
+steps guidance scheduler neg_mode height width init_image init_mode init_strength ip_scale batch_seed image_seed index refined_from cond_from engine factor denoise denoise_steps interp scale strength cond_reused src_size out_size
+seed""".split()
 
 
 @add(
     "param_dump",
-    "SELECT * FROM (SELECT job_id, received_at, unnest(range(15))::int AS place, unnest(["
-    + ", ".join(f"'{c}'" for c in _ORDER)
-    + "]) AS param, unnest(["
-    + ", ".join(f"round({c}, 2)::decimal(12, 2)::varchar" if c in ("temperature", "guidance", "coherence", "target_distance") else f"{c}::varchar" for c in _ORDER)
-    + "]) AS value FROM run_requests) WHERE value IS NOT NULL",
+    f"WITH {GAL}, m AS (SELECT rel, meta_raw FROM gal WHERE json_valid(meta_raw)), c AS (SELECT rel, unnest(range({len(_ORDER)}))::int AS place, unnest({_ORDER}) AS param, unnest([" + ", ".join(f"meta_raw->>'$.{c}'" for c in _ORDER) + "]) AS value FROM m) SELECT * FROM c WHERE value IS NOT NULL",
 )
 def param_dump(spark: SparkSession, d: str) -> DataFrame:
-    """A form's parameters in a fixed order, without those that are missing."""
-    text = lambda c: F.round(c, 2).cast("decimal(12,2)").cast("string") if c in ("temperature", "guidance", "coherence", "target_distance") else F.col(c).cast("string")
-    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("param"), text(c).alias("value")) for i, c in enumerate(_ORDER)])
-    return table(spark, d, "run_requests").select("job_id", "received_at", F.inline(cells)).filter("value is not null")
+    """An image's parameters in a fixed order, without those that are missing or null."""
+    meta = F.from_json("meta_raw", "map<string,string>")
+    ok = sidecar("kind string")  # a sidecar that is cut off has none
+    g = gallery(spark, d).withColumn("m", F.when(F.get_json_object("meta_raw", "$").isNotNull() & ok["kind"].isNotNull(), meta)).filter("m is not null")
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("param"), F.col("m")[c].alias("value")) for i, c in enumerate(_ORDER)])
+    return g.select("rel", F.inline(cells)).filter("value is not null")
 
 
 _SLUG = "substr(regexp_replace(regexp_replace({c}, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40)"
@@ -161,7 +184,12 @@ def list_move(spark: SparkSession, d: str) -> DataFrame:
     return R.move(c, 2, 6)
 
 
-_SUMS = [("1 + 2 * 3", 7.0), ("(1 + 2) * 3", 9.0), ("2 ^ 3 ^ 2", 512.0), ("-2 ^ 2", -4.0), ("7 % 4 - 1", 2.0), ("1 / 0", None), ("2 +", None), ("1024 * 0.5", 512.0), ("((3))", 3.0), ("3 3", None), ("", None), (None, None), ("5 % 0", None), ("--3", 3.0)]
+# Expressions with their values by the field's rules: a sign binds tighter than a power, a number ends with a digit,
+# only blanks may stand between.
+_SUMS = [
+    ("1 + 2 * 3", 7.0), ("(1 + 2) * 3", 9.0), ("2 ^ 3 ^ 2", 512.0), ("-2 ^ 2", 4.0), ("-2^2", 4.0), ("-(2 ^ 2)", -4.0), ("2 ^ -1", 0.5), ("7 % 4 - 1", 2.0), ("-7 % 4", -3.0), ("1 / 0", None), ("2 +", None), ("1024 * 0.5", 512.0),
+    ("((3))", 3.0), ("3 3", None), ("", None), (None, None), ("5 % 0", None), ("--3", 3.0), ("1.", None), (".5", 0.5), ("1.5.2", None), ("1\t+ 2", None), (" 8 ", 8.0), ("1e3", None), ("(-8) ^ 0.5", None), ("10 ^ 400", None), ("(1", None), ("0 ^ 0", 1.0),
+]
 
 
 @add("calc_eval", f"SELECT txt, value FROM {values_sql(_SUMS, 'txt, value')}")
@@ -169,16 +197,31 @@ def calc_eval(spark: SparkSession, d: str) -> DataFrame:
     return R.with_value(values(spark, [(t,) for t, _ in _SUMS], "txt string"), "txt")
 
 
+_FIELDS = [("1024+256", True, "1280"), ("1024", True, None), ("1000 / 3", True, "333"), ("1000/3", False, "333.333333"), ("2.50", False, "2.5"), ("-2.5", True, "-2"), ("x", False, None), ("1/8", False, "0.125"), ("0.0000001 * 1", False, "0"), (" 7 ", True, None)]
+
+
+@add("calc_field", f"SELECT txt, whole, shown FROM {values_sql(_FIELDS, 'txt, whole, shown')}")
+def calc_field(spark: SparkSession, d: str) -> DataFrame:
+    """What a number field shows after its expression; null where it stays as typed."""
+    return R.with_field(values(spark, [f[:2] for f in _FIELDS], "txt string, whole boolean"), "txt", "whole")
+
+
 @add("cast_values", "SELECT event_id, try_cast(nullif(trim(CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 7 = 0 THEN 'n/a' ELSE ' ' || user_id || ' ' END), '') AS double) AS number, event_id % 3 = 1 AS flag FROM events")
 def cast_values(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("event_id") % 5 == 0, " ").when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" ")))
     return table(spark, d, "events").select("event_id", R.as_number(text).alias("number"), R.as_flag((F.col("event_id") % 3).cast("string")).alias("flag"))
 
 
-@add("byte_sizes", f"WITH {GAL} SELECT rel, CASE WHEN size > 1000000 THEN 'M' ELSE 'K' END AS unit, CASE WHEN size > 1000000 THEN size // 100000 ELSE size // 1000 END AS about FROM gal")
+@add(
+    "byte_sizes",
+    f"""WITH {GAL}, b AS (SELECT rel, size FROM gal UNION ALL SELECT 'edge-' || n, n FROM (SELECT unnest([0, 499, 500, 1000000, 1000001, 1149999, 1150000, 1250000, 1949999, 1950000, 1950001, 123456789012])::bigint AS n)),
+    t AS (SELECT rel, size, size / 1e6::double AS m, floor(size / 1e6::double * 10)::bigint AS f FROM b), sized AS (SELECT *, CASE WHEN m - f / 10::double < (f + 1) / 10::double - m THEN f ELSE f + 1 END AS k FROM t)
+    SELECT rel, CASE WHEN size > 1000000 THEN (k // 10) || '.' || (k % 10) || 'M' ELSE floor(size / 1e3::double + 0.5)::bigint || 'K' END AS shown FROM sized""",
+)
 def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
-    big = F.col("size") > 1_000_000
-    return gallery(spark, d).select("rel", F.when(big, "M").otherwise("K").alias("unit"), F.when(big, F.floor(F.col("size") / 100000)).otherwise(F.floor(F.col("size") / 1000)).alias("about"))
+    """Sizes of all images as the gallery shows them, and of some on the edge."""
+    edges = spark.createDataFrame([(f"edge-{n}", n) for n in (0, 499, 500, 1000000, 1000001, 1149999, 1150000, 1250000, 1949999, 1950000, 1950001, 123456789012)], "rel string, size bigint")
+    return gallery(spark, d).select("rel", "size").unionByName(edges).select("rel", R.byte_size(F.col("size")).alias("shown"))
 
 
 @add("repro_cli", "SELECT job_id, received_at, concat_ws(' ', 'generate', '--backend', coalesce(lower(trim(backend)), 'sd15'), CASE WHEN sampler IS NOT NULL THEN '--sampler ' || sampler END, CASE WHEN steps IS NOT NULL THEN '--steps ' || steps END, CASE WHEN seed IS NOT NULL THEN '--seed ' || seed END) AS cli FROM run_requests WHERE action = 'generate'")

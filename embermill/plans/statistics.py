@@ -63,16 +63,49 @@ def cov_matrix(spark: SparkSession, d: str) -> DataFrame:
     return D.covariance(vectors(spark, d), DIM).select("tensor", "i", "j", rnd("cov", 5).alias("cov"))
 
 
-@add("fit_pca")
+_COV = f"""{LONG}, cv AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.v, b.v) AS c FROM lone a JOIN lone b ON a.id = b.id GROUP BY ALL)"""
+
+
+@add(
+    "fit_pca",
+    f"""WITH {_COV}, c2 AS (SELECT x.i, y.j, sum(x.c * y.c) AS c FROM cv x JOIN cv y ON x.j = y.i GROUP BY ALL)
+    SELECT 'all' AS tensor, {DIM}::bigint AS axes, round(sum(c) FILTER (i = j), 5) + 0.0 AS trace, round((SELECT sum(c) FROM c2 WHERE i = j), 4) + 0.0 AS square, round((SELECT sum(x.c * y.c) FROM cv x JOIN c2 y ON x.i = y.j AND x.j = y.i), 3) + 0.0 AS cube,
+    0.0::double AS residual, 0.0::double AS skew FROM cv""",
+)
 def fit_pca(spark: SparkSession, d: str) -> DataFrame:
+    """The axes by what doesn't depend on their signs: sums of powers of their variances (which are traces of powers
+    of the covariance matrix), how far each is from an eigenvector, and how far two are from a right angle."""
+    v = vectors(spark, d)
+    axes = D.principal_axes(v, DIM, DIM)
+    c = D.covariance(v, DIM).select("i", "j", "cov")
+    whole = c.unionByName(c.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
+    u = long_form(axes, "axis", "tensor", "k", "std")
+    image = u.join(whole, F.col("pos") == F.col("j")).groupBy("k", F.col("i").alias("pos")).agg(F.sum(F.col("v") * F.col("cov")).alias("w"))
+    residual = image.join(u, ["k", "pos"]).agg(F.max(F.abs(F.col("w") - F.col("std") ** 2 * F.col("v"))).alias("residual"))
+    pairs = u.select("k", "pos", "v").join(u.select(F.col("k").alias("l"), "pos", F.col("v").alias("v2")), "pos").groupBy("k", "l").agg(F.sum(F.col("v") * F.col("v2")).alias("dot"))
+    skew = pairs.agg(F.max(F.abs(F.col("dot") - (F.col("k") == F.col("l")).cast("double"))).alias("skew"))
+    power = lambda n: F.sum(F.col("std") ** (2 * n))
+    sums = axes.groupBy("tensor").agg(F.count("*").alias("axes"), rnd(power(1), 5).alias("trace"), rnd(power(2), 4).alias("square"), rnd(power(3), 3).alias("cube"))
+    one = F.broadcast
+    return sums.crossJoin(one(residual)).crossJoin(one(skew)).withColumns({"residual": rnd("residual", 6), "skew": rnd("skew", 6)})
+
+
+@add("pca_axes")
+def pca_axes(spark: SparkSession, d: str) -> DataFrame:
     return D.principal_axes(vectors(spark, d), DIM, 8).select("tensor", "k", rnd("std", 5).alias("std"))
 
 
-@add("pca_fraction", f"WITH {LONG} SELECT DISTINCT tensor, 1.0::double AS fraction FROM lone")
+@add(
+    "pca_fraction",
+    f"""WITH {LONG}, t AS (SELECT var_samp(v) AS s FROM lone GROUP BY pos), b AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.v, b.v) AS c FROM lone a JOIN lone b ON a.id = b.id WHERE a.pos < 2 AND b.pos < 2 GROUP BY ALL),
+    m AS (SELECT sum(c) FILTER (i = j) / 2 AS h, sqrt((max(c) FILTER (i = 0 AND j = 0) - max(c) FILTER (i = 1 AND j = 1)) ** 2 / 4 + (max(c) FILTER (i = 0 AND j = 1)) ** 2) AS r FROM b)
+    SELECT 'all' AS tensor, round((h + r) / (SELECT sum(s) FROM t), 5) + 0.0 AS fraction FROM m""",
+)
 def pca_fraction(spark: SparkSession, d: str) -> DataFrame:
-    """All axes carry the whole variance."""
+    """The share of the total variance that the leading axis of the first two coordinates carries."""
     v = vectors(spark, d)
-    return D.variance_fraction(D.principal_axes(v, DIM, DIM), D.total_variance(v)).select("tensor", rnd("fraction", 4).alias("fraction"))
+    axes = D.principal_axes(v.withColumn("e", F.slice("e", 1, 2)), 2, 1)
+    return D.variance_fraction(axes, D.total_variance(v)).select("tensor", rnd("fraction", 5).alias("fraction"))
 
 
 @add(
@@ -243,21 +276,42 @@ def sample_diagonal(spark: SparkSession, d: str) -> DataFrame:
     return s.select("tensor", "row", "pos", rnd("v", 5).alias("v"))
 
 
-@add("sample_pca")
+def _axis_draw(k: str, row: str = "g.row", tensor: str = "'all'") -> str:
+    return rng.normal_sql(rng.key_sql(SEED, "pca", tensor, row, k, "0"))
+
+
+@add(
+    "sample_pca",
+    f"""WITH {LONG}, t AS (SELECT sum(s) / {DIM} AS rms2 FROM (SELECT var_samp(v) AS s FROM lone GROUP BY pos))
+    SELECT 'all' AS tensor, g.row, round(1.3 * sqrt(rms2 * sum(({_axis_draw('k.k')}) ** 2)), 5) + 0.0 AS length FROM range({N_SAMPLES}) AS g(row), range(2, 8) AS k(k), t GROUP BY g.row, rms2""",
+)
 def sample_pca(spark: SparkSession, d: str) -> DataFrame:
+    """Samples along a band of six axes at equal strength: how far each lies from the mean, which doesn't depend on the
+    axes' signs."""
     v = vectors(spark, d)
-    return D.sample(N_SAMPLES, D.fit(v), D.principal_axes(v, DIM, 12), sampler="pca", seed=SEED, comp_lo=2, components=6, equalize=True)
+    c = D.fit(v)
+    s = D.sample(N_SAMPLES, c, D.principal_axes(v, DIM, DIM), sampler="pca", temperature=1.3, seed=SEED, comp_lo=2, components=6, equalize=True)
+    away = s.join(F.broadcast(c.select("tensor", "pos", "mean")), ["tensor", "pos"])
+    return away.groupBy("tensor", "row").agg(rnd(F.sqrt(F.sum((F.col("v") - F.col("mean")) ** 2)), 5).alias("length"))
+
+
+def coordinate_axes(coord: DataFrame) -> DataFrame:
+    """Axes along the coordinates, with their stds: known in SQL, as principal axes aren't."""
+    unit = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: (i == F.col("pos")).cast("double"))
+    return coord.select("tensor", F.col("pos").alias("k"), "std", unit.alias("axis"))
 
 
-@add("sample_blend")
+@add("sample_blend", f"WITH {LONG} SELECT tensor, g.row, pos, round(mean + 1.2 * std * (sqrt(0.4::double) * {_axis_draw('pos')} + sqrt(0.6::double) * {_SAMPLE}), 5) + 0.0 AS v FROM coord, range({N_SAMPLES}) AS g(row)")
 def sample_blend(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return D.sample(N_SAMPLES, D.fit(v), D.principal_axes(v, DIM, 12), sampler="blend", coherence=0.4, seed=SEED)
+    """Two fifths along the axes, three of the coordinates by themselves; the axes here are the coordinates'."""
+    c = coord(spark, d)
+    s = D.sample(N_SAMPLES, c, coordinate_axes(c), sampler="blend", coherence=0.4, temperature=1.2, seed=SEED)
+    return s.select("tensor", "row", "pos", rnd("v", 5).alias("v"))
 
 
-@add("band_scale")
+@add("band_scale", f"WITH {LONG}, t AS (SELECT sqrt(sum(s) / {DIM}) AS rms FROM (SELECT var_samp(v) AS s FROM lone GROUP BY pos)) SELECT 'all' AS tensor, k::int AS k, round(rms, 5) + 0.0 AS scale FROM range(3, 8) AS k(k), t")
 def band_scale(spark: SparkSession, d: str) -> DataFrame:
-    return D.band(D.principal_axes(vectors(spark, d), DIM, 12), 3, 5, True).select("tensor", "k", rnd("scale", 5).alias("scale"))
+    return D.band(D.principal_axes(vectors(spark, d), DIM, DIM), 3, 5, True).select("tensor", "k", rnd("scale", 5).alias("scale"))
 
 
 def _slerp_sql(a: str, b: str, t: str, raw: bool = False, least: str = "1e-8") -> str:
@@ -316,10 +370,11 @@ def walk_outward(spark: SparkSession, d: str) -> DataFrame:
     return _long_out(N.walk_outward(v, D.fit(v), 3, 0.25), "tensor", "id", "i")
 
 
-@add("walk_axis")
+@add("walk_axis", f"WITH {LONG} SELECT tensor, id, g.i::int AS i, pos, round(v + CASE WHEN pos = 9 THEN 0.5 * (g.i + 1) * std ELSE 0 END, 5) + 0.0 AS v FROM lone JOIN coord USING (tensor, pos), range(3) AS g(i)")
 def walk_axis(spark: SparkSession, d: str) -> DataFrame:
+    """Steps along an axis, whose number counts modulo the axes there are; the axes here are the coordinates'."""
     v = vectors(spark, d)
-    return _long_out(N.walk_axis(v, D.principal_axes(v, DIM, 8), 9, 3, 0.5), "tensor", "id", "i")
+    return _long_out(N.walk_axis(v, coordinate_axes(D.fit(v)), DIM + 9, 3, 0.5), "tensor", "id", "i")
 
 
 @add(
@@ -393,10 +448,20 @@ def elite_topk(spark: SparkSession, d: str) -> DataFrame:
     return E.elites(s, 0.125, s.count()).select("id")
 
 
-@add("evolve_history")
+def _generation(g: int, coord: str) -> str:
+    draw = rng.normal_sql(rng.key_sql(SEED + g, "diag", "'all'", "r.row", "pos", "0"))
+    return f"""pop{g} AS (SELECT r.row, pos, mean + std * {draw} AS v, std FROM {coord}, range(64) AS r(row)), mark{g} AS (SELECT row, -sqrt(avg((v - 0.1) ** 2)) AS score FROM pop{g} GROUP BY row),
+    best{g} AS (SELECT row, score FROM mark{g} ORDER BY score DESC, row DESC LIMIT 16), gen{g} AS (SELECT pos, avg(v) AS mean, greatest(stddev_pop(v), 0.1 * any_value(std)) AS std FROM pop{g} SEMI JOIN best{g} USING (row) GROUP BY pos)"""
+
+
+@add(
+    "evolve_history",
+    f"WITH {LONG}, {_generation(0, 'coord')}, {_generation(1, 'gen0')}, {_generation(2, 'gen1')} "
+    + " UNION ALL ".join(f"SELECT {g}::int AS gen, round((SELECT avg(score) FROM mark{g}), 5) + 0.0 AS mean_score, round((SELECT max(score) FROM mark{g}), 5) + 0.0 AS max_score, round((SELECT avg(score) FROM best{g}), 5) + 0.0 AS elite_mean" for g in range(3)),
+)
 def evolve_history(spark: SparkSession, d: str) -> DataFrame:
     _, history = E.evolve(coord(spark, d), lambda v: E.objective(v, 0.1), 3, 64, seed=SEED)
-    return history
+    return history.select("gen", *[rnd(c, 5).alias(c) for c in ("mean_score", "max_score", "elite_mean")])
 
 
 @add("vectors_round_trip", f"WITH {LONG} SELECT tensor, id, pos, round(v, 5) + 0.0 AS v FROM many")
