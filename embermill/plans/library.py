@@ -11,7 +11,7 @@ from embermill.operators import library as L
 from embermill.operators import lineage as A
 from embermill.operators import records as R
 from embermill.operators import taste as S
-from embermill.plans.common import GAL, backend_sql, gallery, rnd, side_sql, sidecar, values, vectors
+from embermill.plans.common import GAL, LONG, backend_sql, gallery, rnd, side_sql, sidecar, values, vectors
 from embermill.plans.registry import registry
 from embermill.sources.tables import prompt_lines, table
 from embermill.streaming import tails
@@ -414,7 +414,19 @@ def resonance_grad1(spark: SparkSession, d: str) -> DataFrame:
     return S.first_gradient(_training(spark, d)).select("pos", rnd("w", 5).alias("w"))
 
 
-@add("resonance")
+_LEARNED = f"""pos AS (SELECT vec_id AS id, embedding::double[] AS e, 1.0::double AS y FROM embeddings WHERE vec_id % 9 = 0),
+    neg AS (SELECT vec_id AS id, embedding::double[] AS e, 0.0::double AS y FROM embeddings WHERE vec_id % 9 <> 0 QUALIFY row_number() OVER (ORDER BY md5({rng.key_sql(0, 'resonance', 'vec_id')}), vec_id) <= 5 * (SELECT count(*) FROM pos)),
+    rows AS (SELECT * FROM pos UNION ALL SELECT * FROM neg), sizes AS (SELECT count(*)::double AS n, sum(y) AS p FROM rows),
+    t AS (SELECT e, y, CASE WHEN y = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END / n AS weight FROM rows, sizes),
+    steps AS (SELECT 0 AS step, list_transform(range(64), lambda x: 0.0::double) AS w, 0.0::double AS b
+      UNION ALL SELECT step + 1, list_transform(range(1, 65), lambda k: w[k] - 0.5 * (gw[k] + 1e-3 * w[k])), b - 0.5 * gb
+      FROM (SELECT any_value(step) AS step, any_value(w) AS w, any_value(b) AS b, list(gx ORDER BY pos) AS gw, any_value(gb) AS gb FROM (
+        SELECT any_value(step) AS step, any_value(w) AS w, any_value(b) AS b, pos, sum(g * x) AS gx, sum(g) AS gb FROM (
+          SELECT step, w, b, g, unnest(e) AS x, unnest(range(64)) AS pos FROM (SELECT step, w, b, e, weight * (1 / (1 + exp(-(list_dot_product(e, w) + b))) - y) AS g FROM steps, t WHERE step < 400)) GROUP BY pos)) WHERE step IS NOT NULL),
+    learned AS (SELECT vec_id AS id, round(1 / (1 + exp(-(list_dot_product(embedding::double[], w) + b))), 4) + 0.0 AS resonance FROM embeddings, steps WHERE step = 400)"""
+
+
+@add("resonance", f"WITH RECURSIVE {_LEARNED} SELECT id, resonance FROM learned")
 def resonance(spark: SparkSession, d: str) -> DataFrame:
     return S.resonance(vectors(spark, d), S.fit_resonance(_training(spark, d)))
 
@@ -615,7 +627,16 @@ def scale_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(l, "o_orderkey", "left_anti").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
 
 
-@add("frontier")
+@add(
+    "frontier",
+    f"""WITH RECURSIVE {_LEARNED}, {LONG},
+    near AS (SELECT a.vec_id AS id, round(1 - max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 4) + 0.0 AS nov FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1),
+    rated AS (SELECT id, id::varchar AS rel, nov, resonance AS r FROM near JOIN learned USING (id) WHERE resonance <> 0),
+    p AS (SELECT 0 AS layer, id, rel, nov, r, coalesce(r > max(r) OVER (ORDER BY nov DESC, rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS front FROM rated
+      UNION ALL SELECT layer + 1, id, rel, nov, r, coalesce(r > max(r) OVER (ORDER BY nov DESC, rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) FROM p WHERE NOT front),
+    shown AS (SELECT id, layer::int AS layer, nov, r FROM p WHERE front ORDER BY layer, r DESC, nov DESC, rel LIMIT 120)
+    SELECT s.id, layer, nov, r, round(sqrt(avg(((v - mean) / sd) ** 2)), 3) + 0.0 AS distance FROM shown s JOIN lone l ON l.id = s.id JOIN sd USING (tensor, pos) GROUP BY ALL""",
+)
 def frontier(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: novelty and learned preference of every vector, the Pareto layers over both, and the whitened
     distance of what is shown."""
