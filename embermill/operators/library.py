@@ -79,19 +79,31 @@ def pareto_front(items: DataFrame) -> DataFrame:
 
     Every task first keeps its own front, which holds all rows of the whole front; only these meet."""
 
+    def front(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["nov", "rel"], ascending=[False, True], kind="stable")
+        return rows[rows["r"] > rows["r"].cummax().shift(fill_value=-np.inf)]
+
     def local(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in it:
-            best = pdf if best is None else pd.concat([best, pdf])
-            best = best.sort_values(["nov", "rel"], ascending=[False, True], kind="stable")
-            top = best["r"].cummax().shift(fill_value=-np.inf)
-            best = best[best["r"] > top]
-        if best is not None:
-            yield best
+        yield from _folded(it, front)
 
     return _front(items.select("rel", "nov", "r").mapInPandas(local, "rel string, nov double, r double")).filter("front").drop("front")
 
 
+def _folded(it: Iterator[pd.DataFrame], keep, least: int = 50_000) -> Iterator[pd.DataFrame]:
+    """What ``keep`` leaves of all rows of a task. New rows are taken in when they are as many as those kept, so the
+    work stays near linear even where most rows are kept."""
+    kept, waiting, n = None, [], 0
+    for pdf in it:
+        waiting.append(pdf)
+        n += len(pdf)
+        if n >= max(least, 0 if kept is None else len(kept)):
+            kept, waiting, n = keep(pd.concat(waiting if kept is None else [kept, *waiting])), [], 0
+    if waiting:
+        kept = keep(pd.concat(waiting if kept is None else [kept, *waiting]))
+    if kept is not None:
+        yield kept
+
+
 def _front(rows: DataFrame) -> DataFrame:
     """Rows with whether they are on the front: r above the running maximum in the order of falling novelty. The
     maximum runs in the ranges of a sort and, by a row for each range, between them."""
@@ -127,14 +139,12 @@ def pareto_layers(items: DataFrame, most: int = 120, one_task: int = 500_000) ->
             out.append(at)
         return pdf.assign(layer=np.array(out, "int32"))
 
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = layers(rows)
+        return rows.loc[rows["layer"] < most, ["rel", "nov", "r"]]
+
     def local(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for pdf in it:
-            both = pdf if kept is None else pd.concat([kept[["rel", "nov", "r"]], pdf])
-            kept = layers(both)
-            kept = kept[kept["layer"] < most]
-        if kept is not None:
-            yield kept[["rel", "nov", "r"]]
+        yield from _folded(it, first)
 
     few = cut(items.select("rel", "nov", "r").mapInPandas(local, "rel string, nov double, r double"))
     if few.count() <= one_task:

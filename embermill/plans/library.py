@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from embermill.functions import rng
 from embermill.operators import library as L
 from embermill.operators import lineage as A
+from embermill.operators import prompts as P
 from embermill.operators import records as R
 from embermill.operators import taste as S
 from embermill.plans.common import GAL, LONG, backend_sql, gallery, rnd, side_sql, sidecar, values, vectors
@@ -531,26 +532,22 @@ def prompt_fill(spark: SparkSession, d: str) -> DataFrame:
     return R.first_kept(p, ["prompt"], ["rank", "o"]).orderBy("rank", "o").limit(500).select("prompt", "rank")
 
 
-# Parts of generated prompts.
-_SUBJECTS, _MEDIA, _LIGHTS = ["lantern", "harbour", "moth", "glasshouse", "staircase", "orchard"], ["ink wash", "oil sketch", "paper cutout", "photograph"], ["low sun", "blue hour", "candle light"]
+# A small vocabulary for both shapes.
+_WORDS = {
+    "subject": ["a lantern", "a harbour", "a moth", "a glasshouse", "a staircase", "an orchard"], "medium": ["ink wash", "oil sketch", "paper cutout", "photograph"], "aesthetic": ["spare", "baroque"], "lighting": ["low sun", "blue hour", "candle light"],
+    "composition": ["close view", "wide view"], "mood": ["calm", "uneasy"], "palette": ["pale teal", "warm greys"], "quality": ["fine grain", "sharp focus", "soft edges"],
+    "entity": ["heron", "teapot", "windmill", "beetle"], "material": ["of felt", "of glass"], "state": ["half asleep", "in bloom"], "setting": ["on salt flats", "under a tin roof"], "style": ["woodcut", "collage"], "extra": ["rim light", "haze", "candy colors"],
+}
 
 
-def _pick_sql(options: list[str], stream: str) -> str:
-    listed = ", ".join(f"'{o}'" for o in options)
-    return f"([{listed}])[(floor({rng.uniform_sql(rng.key_sql(11, stream, 'g'))} * {len(options)}) + 1)::int]"
+@add("prompt_gen", P.compose_sql(120, 11, P.PLAIN, _WORDS))
+def prompt_gen(spark: SparkSession, d: str) -> DataFrame:
+    return P.compose(spark, 120, 11, P.PLAIN, _WORDS)
 
 
-@add(
-    "prompt_gen",
-    f"""WITH t AS (SELECT g, {_pick_sql(_SUBJECTS, 'subject')} || ', ' || {_pick_sql(_MEDIA, 'medium')} || CASE WHEN {rng.uniform_sql(rng.key_sql(11, 'lit', 'g'))} < 0.6 THEN ', ' || {_pick_sql(_LIGHTS, 'light')} ELSE '' END AS prompt FROM range(40 * 200) AS r(g))
-    SELECT prompt FROM (SELECT prompt, min(g) AS g FROM t GROUP BY prompt) ORDER BY g LIMIT 40""",
-)
-def prompt_gen(spark: SparkSession, d: str) -> DataFrame:
-    """Forty different prompts composed from parts, from at most 200 tries each."""
-    pick = lambda options, s: F.get(F.array(*[F.lit(o) for o in options]), F.floor(rng.uniform(rng.key(11, s, F.col("id"))) * len(options)).cast("int"))
-    lit = F.when(rng.uniform(rng.key(11, "lit", F.col("id"))) < 0.6, F.concat(F.lit(", "), pick(_LIGHTS, "light"))).otherwise("")
-    t = spark.range(40 * 200).select("id", F.concat(pick(_SUBJECTS, "subject"), F.lit(", "), pick(_MEDIA, "medium"), lit).alias("prompt"))
-    return t.groupBy("prompt").agg(F.min("id").alias("g")).orderBy("g").limit(40).select("prompt")
+@add("prompt_gen_wild", P.compose_sql(120, 12, P.WILD, _WORDS))
+def prompt_gen_wild(spark: SparkSession, d: str) -> DataFrame:
+    return P.compose(spark, 120, 12, P.WILD, _WORDS)
 
 
 # --- jobs and logs --------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from embermill.operators import film as M
 from embermill.operators import library as L
 from embermill.operators import lineage as A
+from embermill.operators import prompts as P
 from embermill.operators import records as R
 from embermill.operators import taste as S
 from embermill.sources import tables as sources
@@ -124,7 +125,7 @@ def test_weighted_choice(spark):
     assert rows(S.weighted_choice(counts, draws)) == [(0, "a"), (1, "a"), (2, "b"), (3, "c")]
 
 
-@pytest.mark.parametrize(("text", "value"), [("1+2*3", 7), ("2^3^2", 512), ("-(2)", -2), ("7%4", 3), ("1/0", None), ("5%0", None), ("2+", None), ("(", None), ("", None), (None, None), ("1.5e", None), ("-2^2", -4), ("2^-1", 0.5), ("9^9^9", None), ("(" * 9000, None)])
+@pytest.mark.parametrize(("text", "value"), [("1+2*3", 7), ("2^3^2", 512), ("-(2)", -2), ("7%4", 3), ("1/0", None), ("5%0", None), ("2+", None), ("(", None), ("", None), (None, None), ("1.5e", None), ("-2^2", 4), ("-(2^2)", -4), ("1.", None), ("2^-1", 0.5), ("9^9^9", None), ("(" * 9000, None)])
 def test_calc(text, value):
     assert R.calculate(text) == value
 
@@ -168,6 +169,41 @@ def test_tiles_cover(spark, length):
     assert s[0] == 0 and s[-1] == max(0, length - 768) and all(b - a <= 640 for a, b in zip(s, s[1:]))
 
 
+def test_film_manifests(spark):
+    videos = spark.createDataFrame([("a", "a.mp4", 10, 5), ("b", "b.mp4", 30, 6), ("c", "c.mp4", 20, 7), ("a", "z.mp4", 10, 8)], "dir string, name string, mtime bigint, size bigint")
+    texts = spark.createDataFrame([("a", '{"frames": 49, "fps": 24, "interp": "slerp", "loop": true, "keyframes": ["x", "y"]}'), ("a", None), ("b", '{"frames": 4'), ("d", "{}")], "dir string, text string")
+    got = L.films(videos, texts).collect()
+    assert [(r["name"], r["frames"], r["loop"], r["keyframes"]) for r in got] == [("b.mp4", None, None, None), ("c.mp4", None, None, None), ("a.mp4", 49, True, ["x", "y"]), ("z.mp4", 49, True, ["x", "y"])]
+
+
+def test_too_many_keyframes(spark):
+    v = spark.range(70).select(F.col("id").cast("string").alias("key"), F.lit("clip").alias("tensor"), F.array(F.lit(1.0)).alias("e"))
+    with pytest.raises(ValueError, match="64"):
+        L.keyframe_tensors(v, v.select("key"), ("clip",))
+    assert L.keyframe_tensors(v, v.select("key").limit(64), ("clip",)).filter("size(missing) > 0").count() == 0
+
+
+def test_wild_values_leave_the_others_apart(spark):
+    x = [float(i % 97) / 7 for i in range(2000)] + [1e300, -1e300, 1e12, 0.0]
+    got = L.index_quantiles(spark.createDataFrame([("a", v) for v in x] + [("b", None)], "k string, x double"), ["k"], "x").collect()
+    x.sort()
+    assert [(r["k"], r["n"], r["lo"], r["hi"]) for r in got] == [("a", 2004, x[501], x[1503])]
+
+
+def test_composed_prompts(spark):
+    words = {"subject": ["a", "b"], "medium": ["c"], **dict.fromkeys(("aesthetic", "lighting", "composition", "mood", "palette"), ["d"]), "quality": ["e", "f"]}
+    got = [r["prompt"] for r in P.compose(spark, 30, 1, P.PLAIN, words).collect()]
+    assert len(set(got)) == 30 and all(p.split(", ")[1] == "c" and not ("e, e" in p or "f, f" in p) for p in got)
+    with pytest.raises(ValueError, match="only"):
+        P.compose(spark, 3, 1, P.PLAIN[:2], words)
+
+
+def test_priors_for_each_option(spark):
+    counts = spark.createDataFrame([("a", 1), ("gone", 50)], "option string, n bigint")
+    draws = spark.createDataFrame([(i, i / 10) for i in range(10)], "draw int, u double")
+    assert [r[1] for r in rows(S.weighted_choice(counts, draws, {"a": 1, "b": 5, "c": 3}))] == ["a"] * 2 + ["b"] * 5 + ["c"] * 3
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "p.txt").write_text("# no\n\n  a red fox  \n b\n\t\n")
     assert rows(sources.read_prompts(spark, str(tmp_path / "p.txt"))) == [("a red fox",), ("b",)]
