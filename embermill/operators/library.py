@@ -162,15 +162,15 @@ def pareto_layers(items: DataFrame, most: int = 120, one_task: int = 500_000) ->
     return whole.orderBy("layer", F.desc("r"), F.desc("nov"), "rel").limit(most)
 
 
-def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, n, mean to 2 digits, lo, hi): values of the raw ranks n // 4 and 3n // 4 (not interpolated), without
+def index_quantiles(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
+    """(keys, n, mean to ``digits``, lo, hi): values of the raw ranks n // 4 and 3n // 4 (not interpolated), without
     nulls.
 
     No group is gathered: values are counted once each, and the ranks found on running counts, first over logarithmic
     slots of a fixed relative width (so that wild values leave the others apart), then within the slots that hold a
     wanted rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 2).alias("mean"))
+    stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), digits).alias("mean"))
     x = F.col(value)
     slot = F.when(x == 0, 0).otherwise(F.signum(x).cast("int") * (F.ceil(F.log(F.abs(x)) / SLOT).cast("int") + 1_000_000))
     counts = counts.withColumn("_s", slot)

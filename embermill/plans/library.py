@@ -175,7 +175,7 @@ def hunt_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MEASURED = "m AS (SELECT bucket, dist FROM gal WHERE dist IS NOT NULL AND NOT isnan(dist) AND NOT isinf(dist) AND dist >= 0)"
-_BAND = "count(*) AS n, round(avg(dist), 2) + 0.0 AS mean, (list_sort(list(dist)))[(count(*) // 4 + 1)::int] AS lo, (list_sort(list(dist)))[(3 * count(*) // 4 + 1)::int] AS hi"
+_BAND = "count(*) AS n, round(avg(dist), 8) + 0.0 AS mean, (list_sort(list(dist)))[(count(*) // 4 + 1)::int] AS lo, (list_sort(list(dist)))[(3 * count(*) // 4 + 1)::int] AS hi"
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
@@ -196,8 +196,8 @@ def starred(spark: SparkSession, d: str) -> DataFrame:
 def taste_band(spark: SparkSession, d: str) -> DataFrame:
     """Where the favourites' distances lie: their number, mean and raw quartiles."""
     one = F.when(F.col("dist").isNotNull(), "all")  # always; a literal would leave the joins on it without a key
-    q = L.index_quantiles(starred(spark, d).filter("dist is not null").withColumn("band", one), ["band"], "dist")
-    return q.withColumn("mean", rnd("mean", 2))
+    q = L.index_quantiles(starred(spark, d).filter("dist is not null").withColumn("band", one), ["band"], "dist", 8)  # ties of two digits are rounded differently by each engine
+    return q.withColumn("mean", rnd("mean", 8))
 
 
 _STAR_BACKEND = backend_sql("name", ("sdxl", "sd15", "sd2", "flux2", "krea2"))
@@ -219,7 +219,7 @@ def taste_bands(spark: SparkSession, d: str) -> DataFrame:
 def dist_bands(spark: SparkSession, d: str) -> DataFrame:
     """The same statistics of all measured images, by bucket."""
     m = _measured(spark, d).withColumn("bucket", F.coalesce("bucket", F.lit("-")))
-    return L.index_quantiles(m, ["bucket"], "dist").withColumn("mean", rnd("mean", 2))
+    return L.index_quantiles(m, ["bucket"], "dist", 8).withColumn("mean", rnd("mean", 8))
 
 
 _BACKEND = backend_sql("name", ("flux2", "krea2", "sdxl", "sd2"), "'sd15'")
