@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,17 @@ from pyspark.sql import functions as F
 
 from embermill.operators import distribution as D
 from embermill.operators import navigate as N
+from embermill.operators.records import DEFAULT_BACKEND
+
+
+def prefix(base: str, backend: str) -> str:
+    """Where a backend's distribution lies, so that backends never clash: the default one's at ``base`` itself."""
+    return base if backend == DEFAULT_BACKEND else f"{base}_{backend}"
+
+
+def fresh_seed() -> int:
+    """For a run whose seed isn't given; record it with the results, which are a function of it."""
+    return secrets.randbelow(2**31)
 
 
 @dataclass(frozen=True)
@@ -68,8 +80,9 @@ class Distribution:
     def summary(self) -> DataFrame:
         return D.summary(self.coord, self.axes, self.total, self.corpus)
 
-    def save(self, path: str) -> list[str]:
-        return D.save(path, self.coord, self.total, self.axes, self.corpus)
+    def save(self, path: str, backend: str | None = None) -> list[str]:
+        """Under ``path``, or with a backend under the path that is its own (``prefix``)."""
+        return D.save(prefix(path, backend) if backend else path, self.coord, self.total, self.axes, self.corpus)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tensors: list[str] | None = None) -> Distribution:

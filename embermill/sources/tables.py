@@ -42,3 +42,14 @@ def png_sizes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         "path", "length", "modificationTime", F.when(ok, number(41)).alias("height"), F.when(ok, number(33)).alias("width")
     )
+
+
+def read_films(spark: SparkSession, path: str) -> DataFrame:
+    """The films below a folder (``<film>/*.mp4``) with what their ``film.json`` says, newest first."""
+    from embermill.operators.library import films
+
+    below = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
+    parts = F.split("path", "/")
+    videos = below("*.mp4").select(F.element_at(parts, -2).alias("dir"), F.element_at(parts, -1).alias("name"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    manifests = below("film.json").select(F.element_at(parts, -2).alias("dir"), F.col("content").cast("string").alias("text"))
+    return films(videos, manifests)

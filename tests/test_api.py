@@ -4,7 +4,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from embermill.__main__ import main
-from embermill.api import Distribution
+from embermill.api import Distribution, fresh_seed, prefix
 from embermill.operators import sinks, slots
 
 
@@ -31,6 +31,8 @@ def test_distribution(spark, vectors, tmp_path):
     assert len(d.save(str(tmp_path / "d"))) == 4
     back = Distribution.load(spark, str(tmp_path / "d"), ["a"])
     assert rows(back.sample(3, "pca", seed=1).withColumn("v", F.round("v", 9))) == rows(d.sample(3, "pca", seed=1).filter("tensor = 'a'").select("tensor", "row", "pos", F.round("v", 9)))
+    assert (prefix("d", "sd15"), prefix("d", "sdxl")) == ("d", "d_sdxl") and 0 <= fresh_seed() < 2**31
+    assert d.save(str(tmp_path / "e"), "sd2")[0] == str(tmp_path / "e_sd2/coord")
     pooled = Distribution.fit(vectors, hidden=2)
     assert pooled.coord.select("tensor", "mean").distinct().count() == 4
 

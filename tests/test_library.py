@@ -176,6 +176,16 @@ def test_film_manifests(spark):
     assert [(r["name"], r["frames"], r["loop"], r["keyframes"]) for r in got] == [("b.mp4", None, None, None), ("c.mp4", None, None, None), ("a.mp4", 49, True, ["x", "y"]), ("z.mp4", 49, True, ["x", "y"])]
 
 
+def test_films_of_a_folder(spark, tmp_path):
+    for name, text in (("a", '{"frames": 9, "interp": "slerp"}'), ("b", None)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.mp4").write_bytes(b"12345")
+        if text:
+            (tmp_path / name / "film.json").write_text(text)
+    got = {(r["dir"], r["name"], r["size"], r["frames"], r["interp"]) for r in sources.read_films(spark, str(tmp_path)).collect()}
+    assert got == {("a", "a.mp4", 5, 9, "slerp"), ("b", "b.mp4", 5, None, None)}
+
+
 def test_too_many_keyframes(spark):
     v = spark.range(70).select(F.col("id").cast("string").alias("key"), F.lit("clip").alias("tensor"), F.array(F.lit(1.0)).alias("e"))
     with pytest.raises(ValueError, match="64"):

@@ -10,7 +10,7 @@ from embermill.plans.common import vectors
 from embermill.plans.registry import registry
 
 #: Queries whose definition is a product with a short list (a grid, a set of draws, the rows of a sample).
-GRIDS = {"combo_grid", "sweep_grid", "sample_diagonal", "sample_blend", "sample_pca", "sample_hybrid", "walk_random", "neighborhood", "resonance_grad1", "neg_vector", "nearest_token", "weighted_choice", "lost_jobs", "band_scale", "trajectory", "film_frames", "evolve_history", "frontier", "resonance"}
+GRIDS = {"combo_grid", "sweep_grid", "sample_diagonal", "sample_blend", "sample_pca", "sample_hybrid", "walk_random", "neighborhood", "resonance_grad1", "neg_vector", "nearest_token", "weighted_choice", "lost_jobs", "band_scale", "trajectory", "film_frames", "evolve_history", "frontier", "resonance", "guided_combo", "guided_sampler"}
 NAMES = sorted(n for n, q in registry.queries.items() if not q.__module__.startswith("embermill.llm"))
 
 
