@@ -315,10 +315,17 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
                 same = np.flatnonzero(other[at] == mine)
                 s[same, at[same]] = -9
                 low = np.full(len(s), max(least, -2.0) - SLACK, np.float32)
-                many = np.flatnonzero((s >= low[:, None]).sum(1) > k) if least > -1 else np.arange(len(s) if s.shape[1] > k else 0)
-                if len(many):
-                    low[many] = np.maximum(low[many], np.partition(s[many], -k, axis=1)[:, -k] - SLACK)
-                r, c = np.nonzero(s >= low[:, None])
+                if least > -1:  # few are near enough: one pass over all finds them
+                    r, c = np.divmod(np.flatnonzero(s.ravel() >= low[0]), s.shape[1])
+                    many = np.flatnonzero(np.bincount(r, minlength=len(s)) > k)
+                    if len(many):
+                        low[many] = np.maximum(low[many], np.partition(s[many], -k, axis=1)[:, -k] - SLACK)
+                        near = s[r, c] >= low[r]
+                        r, c = r[near], c[near]
+                else:
+                    if s.shape[1] > k:
+                        low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k] - SLACK)
+                    r, c = np.nonzero(s >= low[:, None])
                 out.append((mine[r], other[c], s[r, c]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, found_types)], schema=found_types)
