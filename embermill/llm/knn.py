@@ -150,8 +150,8 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per direction: class and code; the class of every id). Directions equal to nine digits are one class,
-    so copies, whatever their number, are hashed and compared once."""
+    """(one row per direction: class, code, copies; the members of classes of several). Directions equal to nine digits
+    are one class, named by its lowest id, so copies, whatever their number, are hashed and compared once."""
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -167,9 +167,10 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = dict(rows.dtypes)["id"]
     k = rows.select("id", "v").mapInArrow(keyed, f"id {kind}, key binary, u binary")
     k = cut(k.groupBy("id").agg(F.min(F.struct("key", "u")).alias("s")).select("id", "s.key", "s.u"))
-    first = k.groupBy("key").agg(F.min("id").alias("class"), F.min_by("u", "id").alias("u"), F.count("*").alias("copies"))
-    members = k.select("id", "key").join(first.select("key", "class", "copies"), "key").select("id", "class", "copies")
-    return first.select("class", "u"), members
+    first = cut(k.groupBy("key").agg(F.min("id").alias("class"), F.min_by("u", "id").alias("u"), F.count("*").alias("copies")))
+    several = first.filter("copies > 1").select("key", "class", "copies")
+    several = F.broadcast(several) if several.count() <= SMALL else several
+    return first.select("class", "u", "copies"), k.select("id", "key").join(several, "key").select("id", "class", "copies")
 
 
 def fitted_plan(first: DataFrame, k: int, target: float = TARGET) -> Plan:
@@ -292,10 +293,13 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
         return spark.createDataFrame([], T.StructType.fromDDL(f"id {kind}, neighbour {kind}, rank int, similarity double"))
     dim = head[0]
     first, members = _classes(rows)
-    first, members = cut(first), cut(members)
+    members = cut(members)
     if plan is None:
         plan = near_plan(first.count()) if least >= NEAR else fitted_plan(first, k)
-    asked = first if asking is None else first.join(members.join(asking.select("id"), "id", "left_semi").select("class").distinct(), "class")
+    asked = first
+    if asking is not None:
+        some = members.join(asking.select("id"), "id", "left_semi").select("class").union(asking.select(F.col("id").alias("class")))
+        asked = first.join(some, "class", "left_semi")
     asks, held = _sides(first, asked, plan, dim)
     number = to_arrow_type(first.schema["class"].dataType)
     found_types = pa.schema([("class", number), ("other", number), ("s", pa.float32())])
@@ -333,33 +337,35 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = asks.repartition(parts, "place").groupBy("place").cogroup(held.repartition(parts, "place").groupBy("place")).applyInArrow(rank, f"class {kind}, other {kind}, s float")
     # the order is made in double from the vectors themselves
-    pairs = found.groupBy("class", "other").agg(F.max("s").alias("s"))
+    pairs = found.repartition("class").groupBy("class", "other").agg(F.max("s").alias("s"))
     kth = F.nth_value("s", k).over(W.partitionBy("class").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     few = cut(pairs.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("s") >= F.col("kth") - SLACK)).select("class", "other"))
     exact = rows.select(F.col("id").alias("class"), "v")
     if few.count() <= SMALL:
         exact = exact.join(F.broadcast(few.select("class").union(few.select("other")).distinct()), "class", "left_semi")
+        few = F.broadcast(few)
     scaled = let(F.array_max(F.transform("v", lambda x: F.abs(x))), lambda m: F.transform("v", lambda x: x / m))
     exact = exact.select("class", scaled.alias("v"))
     exact = exact.select("class", let(norm(F.col("v")), lambda n: F.transform("v", lambda x: x / n)).alias("v"))
-    both = few.join(exact, "class").join(exact.select(F.col("class").alias("other"), F.col("v").alias("w")), "other")
+    both = exact.join(few, "class").join(exact.select(F.col("class").alias("other"), F.col("v").alias("w")), "other")
     both = both.select("class", "other", F.round(dot(F.col("v"), F.col("w")), 12).alias("s")).groupBy("class", "other").agg(F.max("s").alias("s")).filter(F.col("s") >= least)
-    return _expand(both, members, k, None if asking is None else asking)
+    return _expand(both, members, k, asking)
 
 
 def _expand(pairs: DataFrame, members: DataFrame, k: int, asking: DataFrame | None) -> DataFrame:
-    """From classes of copies to rows: each row's first k among its own copies and the first copies of each
-    neighbouring class (k of them are enough)."""
-    w = W.partitionBy("class").orderBy("id")
-    lowest = members.filter(F.col("copies") <= k + 1).select("class", F.col("id").alias("neighbour"))
-    large = members.filter(F.col("copies") > k + 1).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("class", F.col("id").alias("neighbour"))
-    lowest = lowest.unionByName(large)
-    who = members if asking is None else members.join(asking.select("id"), "id", "left_semi")
-    own = who.filter(F.col("copies") > 1).select("id", "class").join(lowest, "class").filter(F.col("id") != F.col("neighbour")).select("id", "neighbour", F.lit(1.0).alias("s"))
-    near = lowest.withColumnsRenamed({"class": "other"})
-    away = who.filter(F.col("copies") <= k).select("id", "class").join(pairs, "class").join(near, "other").select("id", "neighbour", "s")
+    """From classes to rows: each row's first k among its own copies and the first copies of each neighbouring class
+    (k + 1 of them are enough). ``members``: the rows of classes of several; any other class is a row itself."""
+    members = F.broadcast(members) if members.count() <= SMALL else members
+    copies = members.withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("id"))).filter(F.col("r") <= k + 1)
+    copies = copies.groupBy("class").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    own = members.join(copies, "class").select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("s")).filter(F.col("id") != F.col("neighbour"))
+    away = pairs.join(members.filter(F.col("copies") > k).select("class"), "class", "left_anti").join(members.select("id", "class"), "class", "left")
+    away = away.join(copies.withColumnRenamed("class", "other"), "other", "left")
+    away = away.select(F.coalesce("id", "class").alias("id"), F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"), "s")
+    both = own.unionByName(away)
+    both = both if asking is None else both.join(asking.select("id"), "id", "left_semi")
     order = W.partitionBy("id").orderBy(F.desc("s"), "neighbour")
-    ranked = own.unionByName(away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("id", "neighbour", "rank", F.col("s").alias("similarity"))
 
 
