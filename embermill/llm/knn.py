@@ -66,9 +66,12 @@ SMALL = 500_000  # rows of two numbers that may be broadcast
 def usable(vectors: DataFrame, tensor: str, dim: int, vector: str = "e", id: str = "id") -> DataFrame:
     """``id`` and ``v`` (array<double>) of the vectors of a tensor that are not null, have ``dim`` numbers, all
     finite, not all zero."""
-    e = F.col(vector)
-    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.filter((F.col("tensor") == tensor) & F.col(id).isNotNull()).filter((F.size(e) == dim) & fine).select(F.col(id).alias("id"), e.cast("array<double>").alias("v"))
+    e = F.col(vector).cast("array<double>")
+    # compiled expressions, unlike those with a function for each number; "contains" is null where a number is
+    known = F.array_contains(e, F.lit(float("nan"))) == F.lit(False)
+    finite = (F.array_max(e) < float("inf")) & (F.array_min(e) > float("-inf"))
+    some = (F.array_max(e) > 0) | (F.array_min(e) < 0)
+    return vectors.filter((F.col("tensor") == tensor) & F.col(id).isNotNull()).filter((F.size(e) == dim) & known & finite & some).select(F.col(id).alias("id"), e.alias("v"))
 
 
 class _Hashes:
@@ -150,8 +153,9 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per direction: class, code, copies; the members of classes of several). Directions equal to nine digits
-    are one class, named by its lowest id, so copies, whatever their number, are hashed and compared once."""
+    """(one row per direction: class and code; the members of classes of several: id, class, copies). Directions equal
+    to nine digits are one class, named by its lowest id, so copies, whatever their number, are hashed and compared
+    once. Of an id with several vectors one counts."""
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -161,16 +165,17 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                key = [hashlib.md5(r.tobytes()).digest() for r in np.round(x, SIMILAR_DIGITS) + 0.0]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), _binary(_codes(x))], ["id", "key", "u"])
+                key = np.frombuffer(b"".join([hashlib.md5(r.tobytes()).digest() for r in np.round(x, SIMILAR_DIGITS) + 0.0]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), _binary(_codes(x))], ["id", "k1", "k2", "u"])
 
     kind = dict(rows.dtypes)["id"]
-    k = rows.select("id", "v").mapInArrow(keyed, f"id {kind}, key binary, u binary")
-    k = cut(k.groupBy("id").agg(F.min(F.struct("key", "u")).alias("s")).select("id", "s.key", "s.u"))
-    first = cut(k.groupBy("key").agg(F.min("id").alias("class"), F.min_by("u", "id").alias("u"), F.count("*").alias("copies")))
-    several = first.filter("copies > 1").select("key", "class", "copies")
+    k = cut(rows.select("id", "v").mapInArrow(keyed, f"id {kind}, k1 bigint, k2 bigint, u binary"))
+    if k.count() > k.select("id").distinct().count():
+        k = cut(k.groupBy("id").agg(F.min(F.struct("k1", "k2", "u")).alias("s")).select("id", "s.*"))
+    several = cut(k.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("copies")).filter("copies > 1"))
     several = F.broadcast(several) if several.count() <= SMALL else several
-    return first.select("class", "u", "copies"), k.select("id", "key").join(several, "key").select("id", "class", "copies")
+    first = k.join(several, ["k1", "k2"], "left").filter(F.col("class").isNull() | (F.col("id") == F.col("class")))
+    return first.select(F.col("id").alias("class"), "u"), k.join(several, ["k1", "k2"]).select("id", "class", "copies")
 
 
 def fitted_plan(first: DataFrame, k: int, target: float = TARGET) -> Plan:
