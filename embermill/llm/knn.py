@@ -175,7 +175,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = cut(k.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("copies")).filter("copies > 1"))
     several = F.broadcast(several) if several.count() <= SMALL else several
     first = k.join(several, ["k1", "k2"], "left").filter(F.col("class").isNull() | (F.col("id") == F.col("class")))
-    return first.select(F.col("id").alias("class"), "u"), k.join(several, ["k1", "k2"]).select("id", "class", "copies")
+    return cut(first.select(F.col("id").alias("class"), "u")), cut(k.join(several, ["k1", "k2"]).select("id", "class", "copies"))
 
 
 def fitted_plan(first: DataFrame, k: int, target: float = TARGET) -> Plan:
@@ -298,7 +298,6 @@ def neighbours(rows: DataFrame, k: int = 5, plan: Plan | None = None, asking: Da
         return spark.createDataFrame([], T.StructType.fromDDL(f"id {kind}, neighbour {kind}, rank int, similarity double"))
     dim = head[0]
     first, members = _classes(rows)
-    members = cut(members)
     if plan is None:
         plan = near_plan(first.count()) if least >= NEAR else fitted_plan(first, k)
     asked = first
