@@ -67,11 +67,10 @@ def usable(vectors: DataFrame, tensor: str, dim: int, vector: str = "e", id: str
     """``id`` and ``v`` (array<double>) of the vectors of a tensor that are not null, have ``dim`` numbers, all
     finite, not all zero."""
     e = F.col(vector).cast("array<double>")
-    # compiled expressions, unlike those with a function for each number; "contains" is null where a number is
-    known = F.array_contains(e, F.lit(float("nan"))) == F.lit(False)
-    finite = (F.array_max(e) < float("inf")) & (F.array_min(e) > float("-inf"))
-    some = (F.array_max(e) > 0) | (F.array_min(e) < 0)
-    return vectors.filter((F.col("tensor") == tensor) & F.col(id).isNotNull()).filter((F.size(e) == dim) & known & finite & some).select(F.col(id).alias("id"), e.alias("v"))
+    # the largest size of a number, nulls counted as NaN, which is above all numbers
+    largest = F.aggregate(e, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(F.coalesce(x, F.lit(float("nan"))))))
+    fine = let(largest, lambda m: (m > 0) & (m < float("inf")))
+    return vectors.filter((F.col("tensor") == tensor) & F.col(id).isNotNull()).filter((F.size(e) == dim) & fine).select(F.col(id).alias("id"), e.alias("v"))
 
 
 class _Hashes:
