@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,18 +78,17 @@ def fit_pca(spark: SparkSession, d: str) -> DataFrame:
     """The axes by what doesn't depend on their signs: sums of powers of their variances (which are traces of powers
     of the covariance matrix), how far each is from an eigenvector, and how far two are from a right angle."""
     v = vectors(spark, d)
-    axes = D.principal_axes(v, DIM, DIM)
-    c = D.covariance(v, DIM).select("i", "j", "cov")
-    whole = c.unionByName(c.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
-    u = long_form(axes, "axis", "tensor", "k", "std")
-    image = u.join(whole, F.col("pos") == F.col("j")).groupBy("k", F.col("i").alias("pos")).agg(F.sum(F.col("v") * F.col("cov")).alias("w"))
-    residual = image.join(u, ["k", "pos"]).agg(F.max(F.abs(F.col("w") - F.col("std") ** 2 * F.col("v"))).alias("residual"))
-    pairs = u.select("k", "pos", "v").join(u.select(F.col("k").alias("l"), "pos", F.col("v").alias("v2")), "pos").groupBy("k", "l").agg(F.sum(F.col("v") * F.col("v2")).alias("dot"))
-    skew = pairs.agg(F.max(F.abs(F.col("dot") - (F.col("k") == F.col("l")).cast("double"))).alias("skew"))
-    power = lambda n: F.sum(F.col("std") ** (2 * n))
-    sums = axes.groupBy("tensor").agg(F.count("*").alias("axes"), rnd(power(1), 5).alias("trace"), rnd(power(2), 4).alias("square"), rnd(power(3), 3).alias("cube"))
-    one = F.broadcast
-    return sums.crossJoin(one(residual)).crossJoin(one(skew)).withColumns({"residual": rnd("residual", 6), "skew": rnd("skew", 6)})
+
+    def check(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        u, std = np.stack(a.sort_values("k")["axis"].to_numpy()), a.sort_values("k")["std"].to_numpy()
+        m = np.zeros((DIM, DIM))
+        m[c["i"], c["j"]] = m[c["j"], c["i"]] = c["cov"]
+        powers = [(std ** (2 * n)).sum() for n in (1, 2, 3)]
+        return pd.DataFrame([(a["tensor"].iloc[0], len(u), *powers, np.abs(u @ m - std[:, None] ** 2 * u).max(), np.abs(u @ u.T - np.eye(len(u))).max())])
+
+    both = D.principal_axes(v, DIM, DIM).groupBy("tensor").cogroup(D.covariance(v, DIM).groupBy("tensor"))
+    got = both.applyInPandas(check, "tensor string, axes bigint, trace double, square double, cube double, residual double, skew double")
+    return got.select("tensor", "axes", *[rnd(c, n).alias(c) for c, n in (("trace", 5), ("square", 4), ("cube", 3), ("residual", 6), ("skew", 6))])
 
 
 @add("pca_axes")
