@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from embermill.llm import reading as R
 
@@ -157,3 +158,52 @@ def test_probabilities_add_up():
             if k // v == first:
                 p[:, k % v] = 2.0**b
         assert np.allclose(p.sum(1), 1, atol=1e-3)
+
+
+def test_all_judged_texts_train(spark):
+    """A word that two texts share counts wherever these are among more texts than fit a sample."""
+    rng, name = random.Random(5), lambda k: "zq" + "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    docs = [(i, f"{text(i // 2 % 2 == 1, 2, rng)} it is the {name(i // 2)}", None) for i in range(3_400)]
+    labels = [(i, "r1", 5 if i // 2 % 2 else 1) for i in range(3_400)]
+    model = R.train(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, rater string, reading_level int"), (3,))
+    assert {name(k) for k in range(1_700)} <= model.grams[0].words.keys()
+
+
+def test_all_marked_texts_train(spark):
+    rng, marks = random.Random(6), ["en", *(a + b for a in "kv" for b in "abcdefg")]
+    words = {m: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(5)] for m in marks}
+    rows = [(m, " ".join(rng.choices(words[m], k=9))) for m in marks for _ in range(340 if m == "en" else 12)]
+    rows[0] = ("ka", rows[0][1])  # a wrong mark
+    docs = spark.createDataFrame([(i, t, m.upper()) for i, (m, t) in enumerate(rows)], "doc_id bigint, text string, lang string").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(R.FOLDS)))
+    got = R.train(docs, spark.createDataFrame([], "doc_id bigint, rater string, reading_level int")).languages
+    assert got.names == sorted(marks)
+    want = R.fit_languages([t.split() for _, t in rows], [m for m, _ in rows], fold=np.array([r["fold"] for r in docs.orderBy("doc_id").collect()]))
+    assert got.names == want.names
+    assert np.array_equal(got.table, want.table)
+
+
+def test_training_in_tasks_is_that_in_one_place(spark):
+    docs, labels = tables(spark, 240)
+    cuts = (3, 2)
+    got = R.train(docs, labels, cuts)
+    level = labels.filter("reading_level is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("mean"))
+    rows = docs.join(level, "doc_id").select("text", "mean", F.pmod(F.xxhash64("text"), F.lit(R.FOLDS)).alias("fold")).orderBy(F.xxhash64("doc_id", "text")).collect()
+    texts = [R.prose_words(r["text"])[0] for r in rows]
+    want = R.fit(texts, np.array([r["mean"] for r in rows]), cuts, fold=np.array([r["fold"] for r in rows]))
+    for i in range(len(cuts)):
+        assert got.grams[i].words.keys() == want.grams[i].words.keys() and len(got.grams[i].keys) == len(want.grams[i].keys)
+        assert np.allclose(got.weights[i], want.weights[i])
+        assert np.allclose(got.curves[i][0], want.curves[i][0]) and np.allclose(got.curves[i][1], want.curves[i][1])
+    assert np.allclose(got.gaps(texts), want.gaps(texts), atol=1e-5)
+
+
+def test_words_are_those_of_the_plain_patterns():
+    """Words kept from before, and markup tried where it may begin, give what the patterns give on the whole text."""
+    import re
+
+    plain = re.compile(r"<[^<>]{1,200}>|https?://\S+|\S*[/\\]\S*\.\w+\S*|`[^`]*`|&[a-z]+;|\w*_\w+(?:\.\w+)?")
+    rng = random.Random(7)
+    for _ in range(20_000):
+        t = "".join(rng.choices(["a", "b", "_", ".", "/", "\\", "<", ">", "`", "&", ";", " ", "\n", "http://", "1", "\xe9", "-", "'", "&amp;", "\x1c", "\u00a0", "X"], k=rng.randint(1, 16)))
+        low = (R._MARKS.sub("", R.unicodedata.normalize("NFKD", t)) if not t.isascii() else t).lower()
+        assert list(R._lines(t)) == [R._TOKEN.findall(line) for line in plain.sub(" ", low).split("\n")], t
